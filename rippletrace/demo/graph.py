@@ -123,11 +123,11 @@ def reach_rings(spark, sf):
 
 def cycle_groups(spark, sf):
     return cycles.cycle_groups(
-        impact.traversable(fleet.edges(spark, sf, "bimonth"), IMPORTS)).withColumnRenamed("group", "grp")
+        impact.traversable(fleet.edges(spark, sf, "half"), IMPORTS)).withColumnRenamed("group", "grp")
 
 
 def cycle_edges(spark, sf):
-    e = impact.traversable(fleet.edges(spark, sf, "bimonth"), IMPORTS)
+    e = impact.traversable(fleet.edges(spark, sf, "half"), IMPORTS)
     return cycles.cycle_edges(e, cycles.cycle_groups(e)).withColumnRenamed("group", "grp")
 
 
@@ -208,7 +208,7 @@ walk AS (
   SELECT repo_id, node, 0 AS hops FROM focus
   UNION
   SELECT w.repo_id, e.dst, w.hops + 1 FROM walk w JOIN both_ways e
-    ON e.repo_id = w.repo_id AND e.src = w.node WHERE w.hops < 25),
+    ON e.repo_id = w.repo_id AND e.src = w.node WHERE w.hops < 60),
 dist AS MATERIALIZED (
   SELECT n.repo_id, n.id AS node, coalesce(min(w.hops), 2147483647) AS hops
   FROM nodes n LEFT JOIN walk w ON w.repo_id = n.repo_id AND w.node = n.id GROUP BY n.repo_id, n.id)"""
@@ -273,7 +273,7 @@ JOIN (SELECT repo_id, count(*) FILTER (distance > 0) AS reach FROM impact GROUP
     "hub_tiers": ask("""
 SELECT repo_id, node, round(dependent_fraction, 6) AS dependent_fraction,
        round(CASE WHEN population <= 1 THEN 1.0 WHEN dependent_fraction >= 0.55 THEN 1.6180339887 * 1.6180339887
-             WHEN dependent_fraction >= 0.20 THEN 1.6180339887 ELSE 1.0 END, 6) AS tier FROM spec""",
+             WHEN dependent_fraction >= 0.20 THEN 1.6180339887 ELSE 1.0 END::DOUBLE, 6) AS tier FROM spec""",
                      policy("trav", ("depends_on",)), spec("spec", "package", "trav")),
     "transitive_reach": ask("""
 SELECT repo_id, node, dependents, round(dependents / population, 6) AS fraction, widest, population
@@ -285,12 +285,12 @@ placed AS (SELECT repo_id, node, greatest(0, least(rings - 1,
   round((1 - sqrt(dependents / greatest(widest, 1))) * (rings - 1)))) AS idx FROM ringed)""",
                        _COMPACT, grain="month"),
     "cycle_groups": ask("SELECT repo_id, grp, node FROM mutual",
-                        policy("trav", ("imports",)), _CLOSURE, _GROUPS, grain="bimonth"),
+                        policy("trav", ("imports",)), _CLOSURE, _GROUPS, grain="half"),
     "cycle_edges": ask("""
 SELECT t.repo_id, a.grp, t.id, t.src, t.dst FROM trav t
 JOIN mutual a ON a.repo_id = t.repo_id AND a.node = t.src
 JOIN mutual b ON b.repo_id = t.repo_id AND b.node = t.dst AND b.grp = a.grp""",
-                       policy("trav", ("imports",)), _CLOSURE, _GROUPS, grain="bimonth"),
+                       policy("trav", ("imports",)), _CLOSURE, _GROUPS, grain="half"),
     "focus_distance": ask("SELECT repo_id, node, hops FROM dist", _HOPS),
     "focus_edge_distance": ask("""
 SELECT e.repo_id, e.id, greatest(a.hops, b.hops) AS hops FROM imports e

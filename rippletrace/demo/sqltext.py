@@ -82,6 +82,6 @@ rel AS MATERIALIZED (
     GROUP BY h.repo_id, h.node) r ON r.repo_id = i.repo_id AND r.node = i.node)"""
 
 
-def ask(select: str, *parts: str, grain: str = "quarter") -> str:
+def ask(select: str, *parts: str, grain: str = "half") -> str:
     body = ",\n".join([fleet.ctes(grain), *[p.strip() for p in parts]])
     return f"WITH RECURSIVE {body}\n{select}"

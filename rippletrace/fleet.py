@@ -8,29 +8,31 @@ SQL engine can run over the same tables, and it always reads them whole.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.impact import Filters
+from .plans.durable import stored
 
 TABLES = ["region", "nation", "supplier", "part", "orders", "lineitem", "events"]
 
 _PERIOD = {
     "month": "year(o_orderdate) * 100 + month(o_orderdate)",
-    "bimonth": "year(o_orderdate) * 10 + CAST(floor((month(o_orderdate) - 1) / 2.0) AS INT)",
-    "quarter": "year(o_orderdate) * 10 + quarter(o_orderdate)",
+    "half": "year(o_orderdate) * 10 + CAST(floor((month(o_orderdate) - 1) / 6.0) AS INT)",
 }
 
-_CTES = """
-tagged AS (
+_STEPS = {
+    "tagged": """
   SELECT o_orderkey, 'r' || CAST(@PERIOD@ AS STRING) AS repo_id,
          CAST(100 + dayofyear(o_orderdate) AS BIGINT) AS gen
-  FROM @orders@),
-lines AS @M@ (
+  FROM @orders@""",
+    "lines": """
   SELECT t.repo_id, t.gen, l_orderkey, l_linenumber, l_partkey, l_suppkey,
          l_discount, l_tax, l_quantity
-  FROM @lineitem@ JOIN tagged t ON l_orderkey = t.o_orderkey),
-imports AS @M@ (
+  FROM @lineitem@ JOIN tagged t ON l_orderkey = t.o_orderkey""",
+    "imports": """
   SELECT a.repo_id,
          'e:imp:' || CAST(a.l_partkey AS STRING) || '->' || CAST(b.l_partkey AS STRING) AS id,
          'imports' AS kind,
@@ -46,15 +48,15 @@ imports AS @M@ (
   FROM lines a JOIN lines b
     ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
    AND a.l_partkey <> b.l_partkey
-  GROUP BY a.repo_id, a.l_partkey, b.l_partkey),
-homes AS @M@ (
+  GROUP BY a.repo_id, a.l_partkey, b.l_partkey""",
+    "homes": """
   SELECT repo_id, l_partkey AS part,
          min_by(l_suppkey, @ROW@(l_orderkey, l_linenumber, l_suppkey)) AS supp
-  FROM lines GROUP BY repo_id, l_partkey),
-dirs AS (
+  FROM lines GROUP BY repo_id, l_partkey""",
+    "dirs": """
   SELECT DISTINCT h.repo_id, h.supp, s.s_nationkey AS nation, n.n_regionkey AS region
-  FROM homes h JOIN @supplier@ s ON h.supp = s.s_suppkey JOIN @nation@ n ON s.s_nationkey = n.n_nationkey),
-nodes AS @M@ (
+  FROM homes h JOIN @supplier@ s ON h.supp = s.s_suppkey JOIN @nation@ n ON s.s_nationkey = n.n_nationkey""",
+    "nodes": """
   SELECT h.repo_id, 'file:' || CAST(h.part AS STRING) AS id, 'file' AS kind, p_name AS name,
          'src/n' || CAST(d.nation AS STRING) || '/s' || CAST(h.supp AS STRING) || '/p'
            || CAST(h.part AS STRING) || '.py' AS path,
@@ -74,12 +76,12 @@ nodes AS @M@ (
   SELECT DISTINCT repo_id, 'ws:' || CAST(region AS STRING), 'workspace', 'w' || CAST(region AS STRING),
          'src', 'repo:root', '', 'current' FROM dirs
   UNION ALL
-  SELECT DISTINCT repo_id, 'repo:root', 'repository', repo_id, '', '', '', 'current' FROM dirs),
-owners AS (
+  SELECT DISTINCT repo_id, 'repo:root', 'repository', repo_id, '', '', '', 'current' FROM dirs""",
+    "owners": """
   SELECT h.repo_id, 'file:' || CAST(h.part AS STRING) AS node,
          'pkg:' || CAST(d.nation AS STRING) AS owner
-  FROM homes h JOIN dirs d ON d.repo_id = h.repo_id AND d.supp = h.supp),
-units AS (
+  FROM homes h JOIN dirs d ON d.repo_id = h.repo_id AND d.supp = h.supp""",
+    "units": """
   SELECT i.repo_id, 'e:dep:' || a.owner || '->' || b.owner AS id, 'depends_on' AS kind,
          a.owner AS src, b.owner AS dst,
          CASE WHEN min(CASE WHEN i.confidence = 'heuristic' THEN 1 ELSE 0 END) = 1
@@ -88,39 +90,62 @@ units AS (
          min(i.ord) AS ord, min_by(i.line, @ROW@(i.ord, i.id)) AS line
   FROM imports i JOIN owners a ON a.repo_id = i.repo_id AND a.node = i.src
        JOIN owners b ON b.repo_id = i.repo_id AND b.node = i.dst
-  WHERE a.owner <> b.owner GROUP BY i.repo_id, a.owner, b.owner),
-edges AS @M@ (SELECT * FROM imports UNION ALL SELECT * FROM units)
-"""
+  WHERE a.owner <> b.owner GROUP BY i.repo_id, a.owner, b.owner""",
+    "edges": """SELECT * FROM imports UNION ALL SELECT * FROM units""",
+}
+_KEPT = ["lines", "imports", "homes", "dirs", "nodes", "owners", "units", "edges"]
 
 
-def ctes(grain: str = "quarter", engine: str = "duckdb") -> str:
-    """The derivation as a list of common table expressions."""
-    text = _CTES.replace("@PERIOD@", _PERIOD[grain])
-    spark = engine == "spark"
-    text = text.replace("@M@", "" if spark else "MATERIALIZED")
-    text = text.replace("@ROW@", "struct" if spark else "row")
+def _text(name: str, grain: str, engine: str) -> str:
+    text = _STEPS[name].replace("@PERIOD@", _PERIOD[grain])
+    text = text.replace("@ROW@", "struct" if engine == "spark" else "row")
     for table in TABLES:
-        text = text.replace(f"@{table}@", f"{{{table}}}" if spark else table)
+        text = text.replace(f"@{table}@", f"{{{table}}}" if engine == "spark" else table)
     return text.strip()
 
 
+def ctes(grain: str = "half") -> str:
+    """The derivation as a list of common table expressions."""
+    return ",\n".join(f"{name} AS {'MATERIALIZED ' if name in _KEPT else ''}({_text(name, grain, 'sql')})"
+                      for name in _STEPS)
+
+
 def read_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
 
 
-def query(spark: SparkSession, sf_dir: str, sql: str, grain: str = "quarter") -> DataFrame:
+def _run(spark: SparkSession, sql: str, frames: dict[str, DataFrame]) -> DataFrame:
+    """Run SQL whose FROM and JOIN name derived tables."""
+    named = re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(_STEPS) + r")\b", r"\1 {\2}", sql)
+    return spark.sql(named, **{n: df for n, df in frames.items() if f"{{{n}}}" in named})
+
+
+_derived: dict[tuple[str, str, str], dict[str, DataFrame]] = {}
+
+
+def derive(spark: SparkSession, sf_dir: str, grain: str) -> dict[str, DataFrame]:
+    """The derived tables, written once per application and read by every question."""
+    key = (spark.sparkContext.applicationId, sf_dir, grain)
+    if key not in _derived:
+        frames = read_tables(spark, sf_dir)
+        for name in _STEPS:
+            df = _run(spark, _text(name, grain, "spark"), frames)
+            frames[name] = stored(df, name) if name in _KEPT else df
+        _derived[key] = frames
+    return _derived[key]
+
+
+def query(spark: SparkSession, sf_dir: str, sql: str, grain: str = "half") -> DataFrame:
     """Run ``sql`` over the derived tables ``nodes``, ``edges``, ``imports``, ``lines`` ..."""
-    tables = read_tables(spark, sf_dir)
-    text = f"WITH {ctes(grain, 'spark')} {sql}"
-    return spark.sql(text, **{t: df for t, df in tables.items() if f"{{{t}}}" in text})
+    return _run(spark, sql, derive(spark, sf_dir, grain))
 
 
-def nodes(spark: SparkSession, sf_dir: str, grain: str = "quarter") -> DataFrame:
+def nodes(spark: SparkSession, sf_dir: str, grain: str = "half") -> DataFrame:
     base = query(spark, sf_dir, "SELECT * FROM nodes", grain)
     return base.withColumn("attrs", F.create_map().cast("map<string,string>"))
 
 
-def edges(spark: SparkSession, sf_dir: str, grain: str = "quarter", table: str = "edges") -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, grain: str = "half", table: str = "edges") -> DataFrame:
     base = query(spark, sf_dir, f"SELECT * FROM {table}", grain)
     evidence = F.struct(F.col("src").alias("artifact"), F.col("line"),
                         F.concat(F.lit("import "), "dst").alias("snippet"))

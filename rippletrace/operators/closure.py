@@ -7,8 +7,6 @@ and each round forwards only bits that are new (semi-naive evaluation).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,29 +34,24 @@ def transitive_counts(edges: DataFrame) -> DataFrame:
                                 F.col("bit").alias("src_bit")), ["repo_id", "src"])
         .join(index.select("repo_id", F.col("node").alias("dst"), F.col("word").alias("dst_word"),
                            F.col("bit").alias("dst_bit")), ["repo_id", "dst"]), "wired")
-    delta, found = materialize(
-        wired.groupBy("repo_id", F.col("dst").alias("node"), F.col("src_word").alias("word"))
-        .agg(F.bit_or("src_bit").alias("bits")), "bits")
-    layers = [delta]
+    first = wired.groupBy("repo_id", F.col("dst").alias("node"), F.col("src_word").alias("word")).agg(
+        F.bit_or("src_bit").alias("bits"))
+    state, found = materialize(first.withColumn("fresh", F.col("bits")), "bits")
+    none = F.lit(0).cast("long")
+    step = wired.select("repo_id", F.col("src").alias("node"), "dst", "dst_word", "dst_bit")
     while found:
-        pushed = (delta.join(wired.select("repo_id", F.col("src").alias("node"), "dst", "dst_word",
-                                          "dst_bit"), ["repo_id", "node"])
+        pushed = (state.where("fresh <> 0").join(step, ["repo_id", "node"])
                   .select("repo_id", F.col("dst").alias("node"), "word",
                           F.when(F.col("word") == F.col("dst_word"),
-                                 F.col("bits").bitwiseAND(F.bitwise_not("dst_bit")))
-                          .otherwise(F.col("bits")).alias("new"),
-                          F.lit(0).cast("long").alias("old")))
-        have = reduce(DataFrame.unionByName, layers).select(
-            *_CELL, F.lit(0).cast("long").alias("new"), F.col("bits").alias("old"))
-        merged = pushed.unionByName(have).groupBy(*_CELL).agg(
-            F.bit_or("new").bitwiseAND(F.bitwise_not(F.bit_or("old"))).alias("bits"))
-        delta, found = materialize(merged.where("bits <> 0"), "bits")
-        layers.append(delta)
-        if len(layers) > 8:
-            layers = [stored(reduce(DataFrame.unionByName, layers).groupBy(*_CELL)
-                             .agg(F.bit_or("bits").alias("bits")), "bits")]
-    return (reduce(DataFrame.unionByName, layers).groupBy("repo_id", "node")
-            .agg(F.sum(F.bit_count("bits")).alias("dependents")))
+                                 F.col("fresh").bitwiseAND(F.bitwise_not("dst_bit")))
+                          .otherwise(F.col("fresh")).alias("new"), none.alias("old")))
+        have = state.select(*_CELL, none.alias("new"), F.col("bits").alias("old"))
+        new, old = F.bit_or("new"), F.bit_or("old")
+        merged = (have.unionByName(pushed.where("new <> 0")).groupBy(*_CELL)
+                  .agg(new.bitwiseOR(old).alias("bits"),
+                       new.bitwiseAND(F.bitwise_not(old)).alias("fresh")))
+        state, found = materialize(merged, "bits", F.count_if(F.col("fresh") != 0))
+    return state.groupBy("repo_id", "node").agg(F.sum(F.bit_count("bits")).alias("dependents"))
 
 
 def reach(nodes: DataFrame, edges: DataFrame, level: str,

@@ -1,25 +1,21 @@
 """Level-synchronous traversal: one job per hop, all repositories at once.
 
-Every hop joins the frontier with the edge table, reduces the candidates per node
-before the shuffle, drops nodes already reached and stores the new layer. The
-frontier is broadcast only when its stored size is below the session threshold;
-a hot join key is split by the adaptive skew join.
+The state holds every node reached so far. A hop joins the newest nodes with the edge
+table and merges the candidates with the state in one aggregation, which combines
+before the shuffle; the smaller distance wins, so a node keeps its first visit. The
+new state is a stored table, and counting its newest nodes during the write tells
+when to stop. The frontier is broadcast only when its size is below the session
+threshold; a hot join key is split by the adaptive skew join.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import materialize, stored
 
 
-def _merge(layers: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, layers)
-
-
 def trace_back(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """Reverse breadth-first search keeping one deterministic shortest path per node.
 
@@ -30,32 +26,29 @@ def trace_back(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     Among equally short paths the smallest (seed, edge ids read from the seed) wins,
     which is the path a queue over sorted seeds and sorted in-edges meets first.
     """
-    edges = stored(edges.select("repo_id", "id", F.col("src"), F.col("dst").alias("node"),
-                                "stale", "valid_from"), "edges")
-    first = seeds.select("repo_id", "node").distinct().select(
-        "repo_id", "node", F.lit(0).alias("distance"), F.col("node").alias("seed"),
-        F.array().cast("array<string>").alias("trail"), F.lit(False).alias("stale"),
-        F.lit(None).cast("long").alias("newest"))
-    frontier, found = materialize(first, "hop")
-    layers = [frontier]
-    for depth in range(1, max_depth + 1):
-        if found == 0:
-            break
-        e = edges.select("repo_id", "id", "src", "node", F.col("stale").alias("hop_stale"),
-                         "valid_from")
-        candidates = frontier.join(e, ["repo_id", "node"]).select(
-            "repo_id", F.col("src").alias("node"),
-            F.struct("seed", F.concat("trail", F.array("id")).alias("trail"),
-                     (F.col("stale") | F.col("hop_stale")).alias("stale"),
-                     F.greatest("newest", "valid_from").alias("newest")).alias("best"))
-        seen = _merge(layers).select("repo_id", "node")
-        fresh = (candidates.groupBy("repo_id", "node").agg(F.min("best").alias("best"))
-                 .join(seen, ["repo_id", "node"], "left_anti")
-                 .select("repo_id", "node", F.lit(depth).alias("distance"), "best.*"))
-        frontier, found = materialize(fresh.select(*first.columns), "hop")
-        layers.append(frontier)
-    return _merge(layers).select(
-        "repo_id", "node", "distance", "seed", F.reverse("trail").alias("path"), "stale", "newest")
+    edges = stored(edges.select(
+        "repo_id", "id", "src", F.col("dst").alias("node"), F.col("stale").alias("hop_stale"),
+        "valid_from"), "edges")
+    visit = ["distance", "seed", "trail", "stale", "newest"]
+    state, found = materialize(
+        seeds.select("repo_id", "node").distinct().select(
+            "repo_id", "node", F.lit(0).alias("distance"), F.col("node").alias("seed"),
+            F.array().cast("array<string>").alias("trail"), F.lit(False).alias("stale"),
+            F.lit(None).cast("long").alias("newest")), "reach")
+    depth = 0
+    while found and depth < max_depth:
+        depth += 1
+        step = state.where(F.col("distance") == depth - 1).join(edges, ["repo_id", "node"]).select(
+            "repo_id", F.col("src").alias("node"), F.lit(depth).alias("distance"), "seed",
+            F.concat("trail", F.array("id")).alias("trail"),
+            (F.col("stale") | F.col("hop_stale")).alias("stale"),
+            F.greatest("newest", "valid_from").alias("newest"))
+        merged = (state.unionByName(step).groupBy("repo_id", "node")
+                  .agg(F.min(F.struct(*visit)).alias("visit"))
+                  .select("repo_id", "node", "visit.*"))
+        state, found = materialize(merged, "reach", F.count_if(F.col("distance") == depth))
+    return state.select("repo_id", "node", "distance", "seed", F.reverse("trail").alias("path"),
+                        "stale", "newest")
 
 
 def reach_set(edges: DataFrame, seeds: DataFrame, keys: list[str],
@@ -66,18 +59,14 @@ def reach_set(edges: DataFrame, seeds: DataFrame, keys: list[str],
     too. All searches share the rounds. Result: keys, labels, node, hops.
     """
     who = [*keys, *(labels or [])]
-    frontier, found = materialize(
-        seeds.select(*who, "node").distinct().withColumn("hops", F.lit(0)), "hop")
-    layers, depth = [frontier], 0
+    edges = edges.select(*keys, F.col("src").alias("node"), "dst")
+    state, found = materialize(
+        seeds.select(*who, "node").distinct().withColumn("hops", F.lit(0)), "reach")
+    depth = 0
     while found and (max_depth is None or depth < max_depth):
         depth += 1
-        step = (frontier.drop("hops").withColumnRenamed("node", "src")
-                .join(edges.select(*keys, "src", "dst"), [*keys, "src"])
-                .select(*who, F.col("dst").alias("node")).distinct())
-        seen = _merge(layers).select(*who, "node")
-        fresh = step.join(seen, [*who, "node"], "left_anti").withColumn("hops", F.lit(depth))
-        frontier, found = materialize(fresh, "hop")
-        layers.append(frontier)
-        if len(layers) > 12:  # keep the visited side one table
-            layers = [stored(_merge(layers), "visited")]
-    return _merge(layers)
+        step = state.where(F.col("hops") == depth - 1).join(edges, [*keys, "node"]).select(
+            *who, F.col("dst").alias("node"), F.lit(depth).alias("hops"))
+        merged = state.unionByName(step).groupBy(*who, "node").agg(F.min("hops").alias("hops"))
+        state, found = materialize(merged, "reach", F.count_if(F.col("hops") == depth))
+    return state
