@@ -360,17 +360,17 @@ SELECT DISTINCT e.repo_id, e.id FROM edges e WHERE
 SELECT t.repo_id, t.id AS node, 'missing_parent' AS problem FROM tree t
 WHERE t.parent <> '' AND NOT EXISTS (SELECT 1 FROM tree p WHERE p.repo_id = t.repo_id AND p.id = t.parent)
 UNION ALL
-SELECT DISTINCT repo_id, node, 'cycle' FROM climb WHERE node = at AND steps > 0""", """
+SELECT DISTINCT repo_id, node, 'cycle' FROM climb WHERE node = pos AND steps > 0""", """
 tree AS MATERIALIZED (
   SELECT n.repo_id, n.id, CASE WHEN n.kind = 'workspace' THEN
     (SELECT min(c.id) FROM nodes c WHERE c.repo_id = n.repo_id AND c.kind = 'package' AND c.parent = n.id)
     ELSE n.parent END AS parent FROM nodes n WHERE n.kind <> 'directory' OR n.freshness = 'stale'),
 climb AS (
-  SELECT repo_id, id AS node, id AS at, 0 AS steps FROM tree
+  SELECT repo_id, id AS node, id AS pos, 0 AS steps FROM tree
   UNION ALL
   SELECT c.repo_id, c.node, t.parent, c.steps + 1 FROM climb c
-  JOIN tree t ON t.repo_id = c.repo_id AND t.id = c.at
-  WHERE t.parent <> '' AND c.steps < 64 AND (c.steps = 0 OR c.node <> c.at))"""),
+  JOIN tree t ON t.repo_id = c.repo_id AND t.id = c.pos
+  WHERE t.parent <> '' AND c.steps < 64 AND (c.steps = 0 OR c.node <> c.pos))"""),
     "path_problems": ask("""
 SELECT repo_id, node, 0 AS path_no, 'unknown_edge' AS problem FROM (
   SELECT repo_id, node, unnest(path) AS eid FROM impact) h

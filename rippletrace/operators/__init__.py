@@ -1,5 +1,5 @@
 """Graph, event-log and ownership operators."""
 
 from . import (  # noqa: F401
-    ancestry, closure, cycles, diff, impact, integrity, links, ownership, scores, temporal, view,
+    ancestry, closure, cycles, diff, impact, integrity, links, ownership, resolve, scores, temporal, view,
 )

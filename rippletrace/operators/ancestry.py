@@ -16,14 +16,15 @@ from ..plans.durable import materialize, stored
 from ..schemas import MAX_ANCESTORS
 
 _KEY = ["repo_id", "node"]
+_STEPS_PER_JOB = 4
 
 
 def parent_links(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("parent") != "").select("repo_id", F.col("id").alias("node"), "parent")
 
 
-def _climb(nodes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(existing containers, ancestors of containers at depth 1..limit)."""
+def _climb(nodes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(existing containers, ancestors of containers at depth 1..limit, is it deep)."""
     ids = nodes.select("repo_id", F.col("id").alias("node"))
     links = parent_links(nodes)
     containers = stored(
@@ -33,36 +34,43 @@ def _climb(nodes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
         links.join(containers, _KEY, "left_semi")
         .join(containers.withColumnRenamed("node", "parent"), ["repo_id", "parent"], "left_semi")
         .select("repo_id", "node", "parent"), "up")
-    step, found = materialize(
-        up.select("repo_id", "node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")),
-        "climb")
-    layers, depth = [step], 1
+    hop = up.select("repo_id", F.col("node").alias("ancestor"), F.col("parent").alias("above"))
+    step = up.select("repo_id", "node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    layers, depth, found = [step], 1, 1
     while found and depth < limit:
-        depth += 1
-        hop = up.select("repo_id", F.col("node").alias("ancestor"), F.col("parent").alias("above"))
-        nxt = (step.where("node <> ancestor").join(hop, ["repo_id", "ancestor"])
-               .select("repo_id", "node", F.col("above").alias("ancestor"),
-                       F.lit(depth).alias("depth")))
-        if depth > 8:  # deep chains are cycles more often than trees
-            nxt = nxt.join(reduce(DataFrame.unionByName, layers),
-                           ["repo_id", "node", "ancestor"], "left_anti")
-        step, found = materialize(nxt, "climb")
-        layers.append(step)
-    return containers, reduce(DataFrame.unionByName, layers)
+        # containers are few: climb several steps per job
+        current, climbed = step, []
+        for _ in range(min(_STEPS_PER_JOB, limit - depth)):
+            depth += 1
+            current = (current.where("node <> ancestor").join(hop, ["repo_id", "ancestor"])
+                       .select("repo_id", "node", F.col("above").alias("ancestor"),
+                               F.lit(depth).alias("depth")))
+            if depth > 2 * _STEPS_PER_JOB:  # deeper chains are cycles more often than trees
+                current = current.join(reduce(DataFrame.unionByName, layers),
+                                       ["repo_id", "node", "ancestor"], "left_anti")
+            climbed.append(current)
+        layer, found = materialize(reduce(DataFrame.unionByName, climbed), "climb",
+                                   F.count_if(F.col("depth") == depth))
+        layers.append(layer)
+        step = layer.where(F.col("depth") == depth)
+    return containers, reduce(DataFrame.unionByName, layers), depth > _STEPS_PER_JOB + 1
 
 
 def container_chain(nodes: DataFrame, limit: int = MAX_ANCESTORS) -> DataFrame:
     """repo_id, node, ancestor, depth for every container, itself at depth 0."""
-    containers, above = _climb(nodes, limit)
+    containers, above, deep = _climb(nodes, limit)
     own = containers.select("repo_id", "node", F.col("node").alias("ancestor"),
                             F.lit(0).alias("depth"))
-    return stored(own.unionByName(above).groupBy("repo_id", "node", "ancestor")
-                  .agg(F.min("depth").alias("depth")), "chain")
+    chain = own.unionByName(above)
+    if not deep:
+        return chain
+    return stored(chain.groupBy("repo_id", "node", "ancestor").agg(F.min("depth").alias("depth")),
+                  "chain")
 
 
 def parent_cycles(nodes: DataFrame, limit: int = MAX_ANCESTORS) -> DataFrame:
     """Nodes that are their own ancestor."""
-    _, above = _climb(nodes, limit)
+    _, above, _ = _climb(nodes, limit)
     return above.where("node = ancestor").select("repo_id", "node").distinct()
 
 
@@ -111,12 +119,15 @@ def project(nodes: DataFrame, picked: DataFrame, level: str,
     """``picked`` (repo_id, node) at ``level``: itself when admitted, else its ancestor there."""
     admitted = nodes.where(level_admits(level, F.col("kind"))).select(
         "repo_id", F.col("id").alias("node"))
-    picked = picked.select(*_KEY).distinct()
+    picked = stored(picked.select(*_KEY).distinct(), "picked")
     direct = picked.join(admitted, _KEY, "left_semi")
+    rest, missing = materialize(picked.join(admitted, _KEY, "left_anti"), "lift")
+    if not missing:
+        return picked
     if level in ("file", "symbol"):
         lifted = ancestor_of_kind(nodes, level, chain)
     else:
         lifted = nearest(nodes, admitted, chain)
-    raised = (picked.join(admitted, _KEY, "left_anti").join(lifted, _KEY)
+    raised = (rest.join(lifted, _KEY)
               .select("repo_id", F.col("ancestor").alias("node")))
     return direct.unionByName(raised).distinct()

@@ -1,4 +1,4 @@
-"""Dependency cycles: strongly connected components by trim, pivot and colouring."""
+"""Dependency cycles: strongly connected components by trimming and two-way labelling."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import materialize, stored
-from ..plans.frontier import reach_set
+from ..plans.durable import materialize
 
 # Edge kinds that hold the tree together rather than express a dependency.
 STRUCTURAL_KINDS = ["contains", "owns"]
@@ -22,91 +21,76 @@ def _trim(live: DataFrame, size: int) -> tuple[DataFrame, int]:
         kept, count = materialize(
             live.join(entered, ["repo_id", "src"], "left_semi")
             .join(left, ["repo_id", "dst"], "left_semi").select("repo_id", "src", "dst"), "trim")
-        if count == size:
-            return live, size
-        done = count > size * 0.9
-        live, size = kept, count
-        if done:
+        shrunk, live, size = size - count, kept, count
+        if shrunk < 0.2 * (size + shrunk):
             break
     return live, size
 
 
-def _without(live: DataFrame, nodes: DataFrame) -> tuple[DataFrame, int]:
-    gone = nodes.select("repo_id", "node").distinct()
-    return materialize(
-        live.join(gone.withColumnRenamed("node", "src"), ["repo_id", "src"], "left_anti")
-        .join(gone.withColumnRenamed("node", "dst"), ["repo_id", "dst"], "left_anti")
-        .select("repo_id", "src", "dst"), "rest")
+def _labels(live: DataFrame) -> DataFrame:
+    """The strongest node that reaches each node and the strongest it reaches.
 
-
-def _pivot_components(live: DataFrame) -> DataFrame:
-    """The component of the best connected node of each repository."""
+    Strength is (in-degree x out-degree, id), so a well connected node floods the large
+    component first. Both directions share the rounds, and only nodes whose label moved
+    speak in the next one.
+    """
     degree = (live.select("repo_id", F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"))
               .unionByName(live.select("repo_id", F.col("dst").alias("node"), F.lit(0).alias("o"),
                                        F.lit(1).alias("i")))
               .groupBy("repo_id", "node").agg((F.sum("o") * F.sum("i")).alias("weight")))
-    pivots = (degree.groupBy("repo_id").agg(F.max(F.struct("weight", "node")).alias("top"))
-              .select("repo_id", F.col("top.node").alias("node")))
-    both = stored(
-        live.withColumn("way", F.lit("down")).unionByName(
-            live.select("repo_id", F.col("dst").alias("src"), F.col("src").alias("dst"),
-                        F.lit("up").alias("way"))), "both")
-    ways = F.explode(F.array(F.lit("down"), F.lit("up"))).alias("way")
-    hits = reach_set(both, pivots.select("repo_id", "node", ways), ["repo_id", "way"])
-    core = hits.groupBy("repo_id", "node").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
-    return core.select("repo_id", F.lit("pivot").alias("colour"), "node")
-
-
-def _coloured_components(live: DataFrame) -> DataFrame:
-    """One component per colour, where a node's colour is the largest id that reaches it."""
-    ids = (live.select("repo_id", F.col("src").alias("node"))
-           .union(live.select("repo_id", F.col("dst").alias("node"))).distinct())
-    colours, moved = materialize(
-        ids.withColumn("colour", F.col("node")).withColumn("moved", F.lit(True)), "colour")
+    own = F.struct("weight", "node")
+    state, moved = materialize(
+        degree.select("repo_id", "node", own.alias("above"), own.alias("below"),
+                      F.lit(True).alias("above_moved"), F.lit(True).alias("below_moved")), "labels")
+    silent = F.lit(None).cast("struct<weight:bigint,node:string>")
     while moved:
-        offered = (colours.where("moved").join(live.withColumnRenamed("src", "node"),
-                                               ["repo_id", "node"])
-                   .groupBy("repo_id", F.col("dst").alias("node"))
-                   .agg(F.max("colour").alias("offer")))
-        colours, moved = materialize(
-            colours.drop("moved").join(offered, ["repo_id", "node"], "left").select(
-                "repo_id", "node", F.greatest("colour", "offer").alias("colour"),
-                F.coalesce(F.col("offer") > F.col("colour"), F.lit(False)).alias("moved")),
-            "colour", F.count_if("moved"))
-    colours = colours.drop("moved")
-    inside = stored(
-        live.join(colours.withColumnRenamed("node", "src"), ["repo_id", "src"])
-        .join(colours.select("repo_id", F.col("node").alias("dst"), F.col("colour").alias("dst_colour")),
-              ["repo_id", "dst"])
-        .where("colour = dst_colour")
-        .select("repo_id", "colour", F.col("dst").alias("src"), F.col("src").alias("dst")), "inside")
-    roots = colours.where("node = colour")
-    return reach_set(inside, roots, ["repo_id", "colour"]).select("repo_id", "colour", "node")
+        down = (state.where("above_moved").select("repo_id", F.col("node").alias("src"), "above")
+                .join(live, ["repo_id", "src"])
+                .select("repo_id", F.col("dst").alias("node"), "above", silent.alias("below")))
+        up = (state.where("below_moved").select("repo_id", F.col("node").alias("dst"), "below")
+              .join(live, ["repo_id", "dst"])
+              .select("repo_id", F.col("src").alias("node"), silent.alias("above"), "below"))
+        offers = down.unionByName(up).select("*", silent.alias("old_above"), silent.alias("old_below"))
+        kept = state.select("repo_id", "node", "above", "below", F.col("above").alias("old_above"),
+                            F.col("below").alias("old_below"))
+        merged = kept.unionByName(offers).groupBy("repo_id", "node").agg(
+            *[F.max(c).alias(c) for c in ("above", "below", "old_above", "old_below")])
+        state, moved = materialize(
+            merged.select("repo_id", "node", "above", "below",
+                          (F.col("above") > F.col("old_above")).alias("above_moved"),
+                          (F.col("below") > F.col("old_below")).alias("below_moved")),
+            "labels", F.count_if(F.col("above_moved") | F.col("below_moved")))
+    return state.select("repo_id", "node", F.col("above.node").alias("above"),
+                        F.col("below.node").alias("below"))
 
 
 def cycle_groups(edges: DataFrame) -> DataFrame:
     """repo_id, group, node: groups of nodes that reach each other, larger than one.
 
-    edges: repo_id, src, dst. A group is named by its smallest member.
+    edges: repo_id, src, dst. A group is named by its smallest member. A node whose
+    strongest predecessor and successor are the same node shares a cycle with it. Edges
+    between different label pairs cannot lie on a cycle and are cut; the rest repeats.
     """
     live, size = materialize(
         edges.select("repo_id", "src", "dst").where("src <> dst").distinct(), "edges")
-    found, step = [], _pivot_components
+    found = []
     live, size = _trim(live, size)
     while size:
-        parts = stored(step(live), "components")
-        found.append(parts)
-        live, size = _without(live, parts)
+        labels = _labels(live)
+        found.append(labels.where("above = below").select("repo_id", F.col("above").alias("root"), "node"))
+        ends = labels.where("above <> below")
+        live, size = materialize(
+            live.join(ends.select("repo_id", F.col("node").alias("src"), "above", "below"),
+                      ["repo_id", "src"])
+            .join(ends.select("repo_id", F.col("node").alias("dst"), "above", "below"),
+                  ["repo_id", "dst", "above", "below"]).select("repo_id", "src", "dst"), "rest")
         live, size = _trim(live, size)
-        step = _coloured_components
     if not found:
         return edges.select("repo_id", F.col("src").alias("group"), F.col("dst").alias("node")).limit(0)
-    numbered = reduce(DataFrame.unionByName,
-                      [p.withColumn("step", F.lit(i)) for i, p in enumerate(found)])
-    key = ["repo_id", "step", "colour"]
-    names = (numbered.groupBy(*key).agg(F.min("node").alias("group"), F.count(F.lit(1)).alias("size"))
-             .where("size > 1"))
-    return numbered.join(names, key).select("repo_id", "group", "node")
+    members = reduce(DataFrame.unionByName, found)
+    names = (members.groupBy("repo_id", "root")
+             .agg(F.min("node").alias("group"), F.count(F.lit(1)).alias("size")).where("size > 1"))
+    return members.join(names, ["repo_id", "root"]).select("repo_id", "group", "node")
 
 
 def cycle_edges(edges: DataFrame, groups: DataFrame) -> DataFrame:
