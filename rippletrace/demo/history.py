@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fleet
 from ..operators import diff, temporal
-from ..plans.durable import new_path
+from ..plans.durable import new_path, stored
 from ..schemas import EDGES, NODES
 from ..sources import events as reader
 from ..streaming import live
@@ -56,9 +56,20 @@ def _render(rows):
     return rows.select("repo_id", "seq", F.expr(_RENDER).alias("value"))
 
 
+_stored: dict[tuple[str, str], object] = {}
+
+
+def _decoded(spark, sf):
+    """The decoded log, written once per application and read by every question."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _stored:
+        lines = _lines(spark, sf).withColumn("line", F.col("value"))
+        _stored[key] = stored(reader.decode_events(lines), "log")
+    return _stored[key]
+
+
 def _events(spark, sf):
-    good, _ = reader.validate_events(reader.decode_events(_lines(spark, sf)))
-    return good
+    return reader.validate_events(_decoded(spark, sf))[0]
 
 
 def _empty(spark):
@@ -71,7 +82,7 @@ def decoded_events(spark, sf):
 
 
 def quarantined_events(spark, sf):
-    _, bad = reader.validate_events(reader.decode_events(_lines(spark, sf)))
+    _, bad = reader.validate_events(_decoded(spark, sf))
     return bad.select("repo_id", "seq", "problem")
 
 
@@ -148,8 +159,7 @@ def generation_violations(spark, sf):
 
 
 def dead_letters(spark, sf):
-    lines = _lines(spark, sf).withColumn("line", F.col("value"))
-    return live.dead_letters(reader.decode_events(lines)).select("repo_id", "seq", "problem", "line")
+    return live.dead_letters(_decoded(spark, sf)).select("repo_id", "seq", "problem", "line")
 
 
 def change_bursts(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.blocks import running
 from ..plans.durable import stored
 from ..schemas import EDGE, LOG_LIMIT, NODE
+from ..sources.snapshot import edge_struct, node_struct
 
 # The order in which one graph event is applied.
 _NODE_STEPS = [("added_nodes", 0, "upsert"), ("updated_nodes", 1, "upsert"), ("removed_nodes", 5, "remove")]
@@ -15,8 +16,8 @@ _EDGE_STEPS = [("added_edges", 2, "upsert"), ("updated_edges", 3, "upsert"), ("r
 
 
 def _edge_item(item: Column) -> Column:
-    names = {"src": "from", "dst": "to"}
-    return F.struct(*[item[names.get(f.name, f.name)].alias(f.name) for f in EDGE.fields])
+    filled, names = edge_struct(item), {"src": "from", "dst": "to"}
+    return F.struct(*[filled[names.get(f.name, f.name)].alias(f.name) for f in EDGE.fields])
 
 
 def _ops(events: DataFrame, steps, payload, schema) -> DataFrame:
@@ -38,7 +39,7 @@ def _ops(events: DataFrame, steps, payload, schema) -> DataFrame:
 
 def node_ops(events: DataFrame) -> DataFrame:
     """repo_id, id, at (seq, sub, pos), op, body for every node operation of the log."""
-    return _ops(events, _NODE_STEPS, lambda i: i, NODE)
+    return _ops(events, _NODE_STEPS, node_struct, NODE)
 
 
 def edge_ops(events: DataFrame) -> DataFrame:
@@ -91,6 +92,7 @@ def state_at(nodes: DataFrame, edges: DataFrame, events: DataFrame,
     all_edges = _baseline_ops(edges, EDGE).unionByName(edge_ops(log))
     if "snapshot" in events.columns:
         all_nodes, all_edges = _restart(log, all_nodes, all_edges)
+    all_nodes, all_edges = stored(all_nodes, "node-ops"), stored(all_edges, "edge-ops")
     kept_nodes = (all_nodes.groupBy("repo_id", "id")
                   .agg(F.max_by(F.struct("op", "body"), "at").alias("last"))
                   .where("last.op = 'upsert'").select("repo_id", "last.body.*"))
@@ -121,7 +123,7 @@ def _restart(log: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFr
                  .where("epoch is null or at.seq > epoch").select(*ops.columns))
         return later.unionByName(fresh)
 
-    return since(nodes, "nodes", lambda i: i), since(edges, "edges", _edge_item)
+    return since(nodes, "nodes", node_struct), since(edges, "edges", _edge_item)
 
 
 def changed_files(events: DataFrame) -> DataFrame:

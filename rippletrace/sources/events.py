@@ -8,25 +8,17 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..plans.blocks import sequence_number
-from .snapshot import edge_struct, node_struct
 
 _CORRUPT = "_corrupt"
 _WIDE = T.StructType(S.EVENT_JSON.fields + [T.StructField(_CORRUPT, T.StringType())])
 
 
-def _filled_nodes(name: str) -> Column:
-    return F.transform(F.col(f"e.{name}"), node_struct).alias(name)
-
-
-def _filled_edges(name: str) -> Column:
-    return F.transform(F.col(f"e.{name}"), lambda item: edge_struct(item)).alias(name)
-
-
 def decode_events(lines: DataFrame) -> DataFrame:
     """Decode the column ``value``; other columns are kept. ``problem`` tells what is wrong.
 
-    Defaults of the format are filled in; a line that is not a JSON object has only its
-    ``problem``. Works on batch and streaming frames alike.
+    Defaults of the format are filled in, those of nodes and edges when a graph event is
+    unfolded. A line that is not a JSON object has only its ``problem``. Works on batch and
+    streaming frames alike. Store the result before asking it several questions.
     """
     kept = [c for c in lines.columns if c != "value"]
     parsed = lines.withColumn("e", F.from_json(
@@ -38,10 +30,6 @@ def decode_events(lines: DataFrame) -> DataFrame:
     filters = F.struct(F.coalesce(e("filters")["max_depth"], F.lit(S.MAX_DEPTH)).alias("max_depth"),
                        e("filters")["edge_kinds"].alias("edge_kinds"),
                        F.coalesce(e("filters")["include_heuristic"], F.lit(False)).alias("include_heuristic"))
-    snapshot = F.when(e("snapshot").isNotNull(), F.struct(
-        *[F.transform(e("snapshot")[f.name], node_struct).alias("nodes") if f.name == "nodes"
-          else F.transform(e("snapshot")[f.name], lambda item: edge_struct(item)).alias("edges") if f.name == "edges"
-          else e("snapshot")[f.name].alias(f.name) for f in S.SNAPSHOT_JSON.fields]))
     out = parsed.select(
         *kept, F.coalesce(e("t_ms"), F.lit(0.0)).alias("t_ms"), e("type").alias("type"),
         F.coalesce(e("generation"), F.lit(0).cast("long")).alias("generation"),
@@ -50,16 +38,15 @@ def decode_events(lines: DataFrame) -> DataFrame:
         F.when(changed, F.coalesce(e("change"), F.lit("modified"))).alias("change"),
         F.when(changed, F.coalesce(e("from_path"), F.lit(""))).alias("from_path"),
         F.when(changed, F.coalesce(e("processing"), F.lit("pending"))).alias("processing"),
-        _filled_nodes("added_nodes"), _filled_nodes("updated_nodes"), e("removed_nodes").alias("removed_nodes"),
-        _filled_edges("added_edges"), _filled_edges("updated_edges"), e("removed_edges").alias("removed_edges"),
-        e("note").alias("note"),
+        *[e(c).alias(c) for c in ("added_nodes", "updated_nodes", "removed_nodes", "added_edges",
+                                  "updated_edges", "removed_edges", "note")],
         F.when(impact, F.coalesce(e("level"), F.lit("package"))).alias("level"),
         e("baseline_generation").alias("baseline_generation"), e("seed_nodes").alias("seed_nodes"),
         F.when(impact, filters).alias("filters"), e("impacted_nodes").alias("impacted_nodes"),
         e("adapter").alias("adapter"),
         F.when(e("type") == "adapter.status", F.coalesce(e("state"), F.lit("idle"))).alias("state"),
         e("queue_depth").alias("queue_depth"), e("last_success_generation").alias("last_success_generation"),
-        e("message").alias("message"), e("corrections").alias("corrections"), snapshot.alias("snapshot"),
+        e("message").alias("message"), e("corrections").alias("corrections"), e("snapshot").alias("snapshot"),
         F.when(e(_CORRUPT).isNotNull() | F.col("e").isNull(), F.lit("not a JSON object")).alias("corrupt"))
     return out.withColumn("problem", _problem()).drop("corrupt")
 
@@ -78,7 +65,7 @@ def _problem() -> Column:
                       F.lit(f"{label} in {column}"))
 
     def bad(item, field, allowed):
-        return ~item[field].isin([*allowed, "unknown"])
+        return item[field].isNotNull() & ~item[field].isin([*allowed, "unknown"])
 
     checks = [
         F.col("corrupt"),
