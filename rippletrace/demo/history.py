@@ -35,7 +35,7 @@ CASE kind
 _ROWS = """
 SELECT 'h' || CAST(user_id % 5 AS STRING) AS repo_id, event_id AS seq,
        CAST(event_id % 5 AS INT) AS kind, CAST(user_id AS STRING) AS u,
-       CAST((user_id * 7 + 3) % 50 AS STRING) AS w, CAST(100 + event_id - event_id % 13 AS STRING) AS gen,
+       CAST((user_id * 7 + 3) % 50 AS STRING) AS w, CAST(100 + event_id - (event_id * 31) % 40 AS STRING) AS gen,
        CAST(event_id AS STRING) || '.5' AS t, @K@ AS k,
        CASE event_type WHEN 'purchase' THEN 'created' WHEN 'error' THEN 'deleted'
                        WHEN 'signup' THEN 'renamed' ELSE 'modified' END AS change,

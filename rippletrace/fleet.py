@@ -115,7 +115,7 @@ def read_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def _run(spark: SparkSession, sql: str, frames: dict[str, DataFrame]) -> DataFrame:
-    """Run SQL whose FROM and JOIN name derived tables."""
+    """Run SQL whose FROM and JOIN name derived tables (or ``{table}`` for a base table)."""
     named = re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(_STEPS) + r")\b", r"\1 {\2}", sql)
     return spark.sql(named, **{n: df for n, df in frames.items() if f"{{{n}}}" in named})
 
