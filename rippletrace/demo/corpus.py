@@ -97,12 +97,16 @@ def python_definitions(spark, sf):
 
 
 def _refs(spark, sf):
+    key = (spark.sparkContext.applicationId, sf, "refs")
+    if key in _stored:
+        return _stored[key]
     files = _python(spark, sf)
     parsed = stored(scan.parse_python(files), "parsed")
     defs = scan.python_definitions(parsed)
     refs = resolve.resolve_symbol_uses(scan.python_uses(parsed), scan.python_import_stmts(parsed), defs,
                                        _py_roots(spark, files), files)
-    return stored(refs, "refs"), defs
+    _stored[key] = stored(refs, "refs"), defs
+    return _stored[key]
 
 
 def symbol_references(spark, sf):
@@ -154,11 +158,16 @@ def build_targets(spark, sf):
 
 
 def _ranked(spark, sf):
+    """Targets and ranked claims, derived once per application."""
+    key = (spark.sparkContext.applicationId, sf, "ranked")
+    if key in _stored:
+        return _stored[key]
     files = _cpp(spark, sf)
     targets = stored(ownership.first_declarations(manifests.build_targets(files)), "targets")
     includes = resolve.resolve_cpp(scan.cpp_includes(files), resolve.cpp_roots(tree.listing_of(files)), files)
     claims = ownership.target_claims(targets, files, includes)
-    return targets, stored(ownership.rank_owners(claims, targets), "ranked")
+    _stored[key] = targets, stored(ownership.rank_owners(claims, targets), "ranked")
+    return _stored[key]
 
 
 def target_owners(spark, sf):
