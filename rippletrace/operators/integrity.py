@@ -76,17 +76,19 @@ def check_report(**findings: DataFrame) -> DataFrame:
 
     Each finding is a DataFrame whose columns identify one problem; empty means sound.
     """
-    report = None
+    parts = None
     for name, rows in findings.items():
         text = rows.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in rows.columns])
                            .alias("text"))
-        total = text.agg(F.count(F.lit(1)).alias("problems"))
-        few = text.distinct().orderBy("text").limit(_SAMPLES).agg(
-            F.array_sort(F.collect_list("text")).alias("samples"))
-        row = total.join(few).select(
-            F.lit(name).alias("check"), (F.col("problems") == 0).alias("ok"), "problems", "samples")
-        report = row if report is None else report.unionByName(row)
-    return report
+        total = text.agg(F.count(F.lit(1)).alias("problems")).select(
+            "problems", F.lit(None).cast("string").alias("sample"))
+        few = text.distinct().orderBy("text").limit(_SAMPLES).select(
+            F.lit(0).cast("long").alias("problems"), F.col("text").alias("sample"))
+        both = total.unionByName(few).withColumn("check", F.lit(name))
+        parts = both if parts is None else parts.unionByName(both)
+    return parts.groupBy("check").agg(
+        (F.sum("problems") == 0).alias("ok"), F.sum("problems").alias("problems"),
+        F.array_sort(F.collect_list("sample")).alias("samples"))
 
 
 def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
