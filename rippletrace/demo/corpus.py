@@ -59,7 +59,7 @@ def _corpus(spark, sf, name, parts):
                 "repo_id", F.expr(rel).alias("rel"), F.expr(content).alias("content"))
             out = rows if out is None else out.unionByName(rows)
         # reading text is bound by the processor: spread the files over all cores
-        spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spread = spark.sparkContext.defaultParallelism
         _stored[key] = stored(out.repartition(spread, "repo_id", "rel"), name)
     return _stored[key]
 

@@ -192,6 +192,13 @@ def adapter_status_streamed(spark, sf):
         "repo_id", "adapter", "state", "queue_depth", "first_seq")
 
 
+def latest_impact_streamed(spark, sf):
+    table = live.latest_impact_stream(_live_events(spark, sf), new_path(spark, "table"),
+                                      new_path(spark, "progress"))
+    return table.select("repo_id", "level", "seq", F.col("result.generation").alias("generation"),
+                        F.array_join("result.seed_nodes", ",").alias("seeds"))
+
+
 def graph_edges_streamed(spark, sf):
     _, edges = live.fold_stream(_live_events(spark, sf), *_empty(spark), new_path(spark, "state"),
                                 new_path(spark, "progress"))
@@ -275,7 +282,8 @@ QUERIES = {f.__name__: f for f in (
     decoded_events, quarantined_events, changed_files, changed_files_until, adapter_status, latest_impact,
     checkpoints, current_generation, session_summary, event_log, timeline_markers, graph_nodes_at,
     graph_edges_at, graph_edges_midway, graph_delta, endpoint_warnings, generation_violations,
-    dead_letters, change_bursts, changed_files_streamed, adapter_status_streamed, graph_edges_streamed,
+    dead_letters, change_bursts, changed_files_streamed, adapter_status_streamed, latest_impact_streamed,
+    graph_edges_streamed,
     bursts_streamed)}
 
 SQL = {
@@ -345,6 +353,9 @@ SELECT repo_id, burst, min(t) AS start_ms, max(t) AS end_ms, count(*) AS changes
 GROUP BY repo_id, burst"""),
     "changed_files_streamed": _ask(_CHANGED),
     "adapter_status_streamed": _ask(_ADAPTER),
+    "latest_impact_streamed": _ask("""
+SELECT repo_id, 'file' AS level, max(seq) AS seq, max_by(generation, seq) AS generation,
+       max_by('n:' || u, seq) AS seeds FROM log WHERE type = 'impact.updated' GROUP BY repo_id"""),
     "graph_edges_streamed": _ask(_EDGES, _OPS, _state()),
     "bursts_streamed": """
 WITH e AS (SELECT 'h' || CAST(user_id % 5 AS STRING) AS repo_id, ts, event_id, CASE event_type

@@ -124,10 +124,10 @@ def project(nodes: DataFrame, picked: DataFrame, level: str,
     rest, missing = materialize(picked.join(admitted, _KEY, "left_anti"), "lift")
     if not missing:
         return picked
-    if level in ("file", "symbol"):
-        lifted = ancestor_of_kind(nodes, level, chain)
-    else:
-        lifted = nearest(nodes, admitted, chain)
+    chain = container_chain(nodes) if chain is None else chain
+    targets = nodes.where(F.col("kind") == level).select("repo_id", F.col("id").alias("node"))
+    lifted = nearest(nodes.join(rest.withColumnRenamed("node", "id"), ["repo_id", "id"], "left_semi"),
+                     targets, chain)
     raised = (rest.join(lifted, _KEY)
               .select("repo_id", F.col("ancestor").alias("node")))
     return direct.unionByName(raised).distinct()

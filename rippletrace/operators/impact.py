@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import is_dependency_kind, level_admits, worse_freshness
 from ..plans.frontier import trace_back
 from ..schemas import DEPENDENCY_KINDS, MAX_DEPTH
-from .ancestry import project
+from .ancestry import container_chain, nearest, project
 
 
 @dataclass(frozen=True)
@@ -167,17 +167,14 @@ def explain(impact: DataFrame, edges: DataFrame, path_index: int | None = None)
 
 def changed_nodes(nodes: DataFrame, changed: DataFrame, chain: DataFrame | None = None) -> DataFrame:
     """Nodes that count as changed when the files in ``changed`` (repo_id, node) did."""
-    from .ancestry import ancestor_of_kind, container_chain
-
     chain = container_chain(nodes) if chain is None else chain
     files = changed.select("repo_id", "node").distinct()
-    known = files.join(nodes.select("repo_id", F.col("id").alias("node")), ["repo_id", "node"],
-                       "left_semi")
-    out = known
+    touched = nodes.join(files.withColumnRenamed("node", "id"), ["repo_id", "id"], "left_semi")
+    out = touched.select("repo_id", F.col("id").alias("node"))
     for kind in ("package", "directory"):
-        out = out.unionByName(
-            ancestor_of_kind(nodes, kind, chain).join(files, ["repo_id", "node"], "left_semi")
-            .select("repo_id", F.col("ancestor").alias("node")))
+        targets = nodes.where(F.col("kind") == kind).select("repo_id", F.col("id").alias("node"))
+        out = out.unionByName(nearest(touched, targets, chain).select(
+            "repo_id", F.col("ancestor").alias("node")))
     symbols = (nodes.where("kind = 'symbol'").select("repo_id", F.col("id").alias("sym"),
                                                      F.col("parent").alias("node"))
                .join(files, ["repo_id", "node"], "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import is_dependency_kind, kind_weight
 from ..plans.durable import stored
 from ..plans.frontier import reach_set
-from .ancestry import ancestors, container_chain, nearest
+from .ancestry import container_chain, nearest, parent_links
 from .cycles import STRUCTURAL_KINDS
 from .impact import active
 
@@ -55,10 +55,11 @@ def boundary_links(nodes: DataFrame, edges: DataFrame, focus: DataFrame, visible
     Result: repo_id, far, outgoing, kind, edge_id.
     """
     chain = container_chain(nodes) if chain is None else chain
-    inside = stored(
-        ancestors(nodes, chain).join(
-            focus.select("repo_id", F.col("node").alias("ancestor")), ["repo_id", "ancestor"],
-            "left_semi").select("repo_id", "node").distinct(), "inside")
+    held = chain.join(focus.select("repo_id", F.col("node").alias("ancestor")), ["repo_id", "ancestor"],
+                      "left_semi").select("repo_id", F.col("node").alias("parent"))
+    below = parent_links(nodes).join(held, ["repo_id", "parent"], "left_semi")
+    inside = stored(focus.select("repo_id", "node").unionByName(below.select("repo_id", "node")).distinct(),
+                    "inside")
     mark = F.lit(True)
     live = active(edges).where(is_dependency_kind(F.col("kind")))
     crossing = (live.select("repo_id", "id", "kind", "src", "dst")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.blocks import running
+from ..plans.blocks import running, sequence_number
 from ..plans.durable import stored
 from ..schemas import EDGE, LOG_LIMIT, NODE
 from ..sources.snapshot import edge_struct, node_struct
 
+_RANK_BOUND = 1000  # Spark's default bound for ranking before the shuffle
+
 # The order in which one graph event is applied.
 _NODE_STEPS = [("added_nodes", 0, "upsert"), ("updated_nodes", 1, "upsert"), ("removed_nodes", 5, "remove")]
 _EDGE_STEPS = [("added_edges", 2, "upsert"), ("updated_edges", 3, "upsert"), ("removed_edges", 4, "remove")]
@@ -238,12 +240,15 @@ def summary_line(event_columns: list[str]) -> Column:
 def event_log(events: DataFrame, limit: int = LOG_LIMIT) -> DataFrame:
     """The newest ``limit`` events of each repository as text.
 
-    Ranking is bounded, so Spark keeps at most ``limit`` rows per repository in every
-    partition before anything is shuffled.
+    A small limit bounds the ranking, so Spark keeps at most ``limit`` rows per repository
+    in every partition before anything is shuffled; a large one numbers rows in blocks.
     """
     newest = Window.partitionBy("repo_id").orderBy(F.col("seq").desc())
     lines = events.select("repo_id", "seq", "t_ms", "generation", "type",
                           summary_line(events.columns).alias("summary"))
+    if limit > _RANK_BOUND:
+        back = lines.withColumn("back", -F.col("seq"))
+        return sequence_number(back, ["repo_id"], ["back"], "age").where(F.col("age") < limit).drop("age", "back")
     return lines.withColumn("age", F.row_number().over(newest)).where(F.col("age") <= limit).drop("age")
 
 

@@ -60,7 +60,8 @@ def exempt_nodes(nodes: DataFrame, changed: DataFrame, seeds: DataFrame,
     chain = container_chain(nodes) if chain is None else chain
     files = changed.select("repo_id", "node").distinct()
     kinds = nodes.select("repo_id", F.col("id").alias("ancestor"), "kind")
-    above = (ancestors(nodes, chain).join(files, ["repo_id", "node"], "left_semi")
+    touched = nodes.join(files.withColumnRenamed("node", "id"), _KEY, "left_semi")
+    above = (ancestors(touched, chain)
              .join(kinds, ["repo_id", "ancestor"])
              .groupBy("repo_id", "node", "kind").agg(F.min_by("ancestor", "depth").alias("ancestor"))
              .select("repo_id", F.col("ancestor").alias("node")))
