@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .common import _blocks
+from .common import blocks
 
 #: Pieces whose ids a task remembers between blocks.
-MEMO = 500_000
+MEMO = 200_000
 #: A rank file is sent to every executor; beyond this size it isn't a vocabulary.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -41,12 +41,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Vocabulary:
     """Ranks with all pairs of tokens whose bytes together are a token; made once, then broadcast."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], single: np.ndarray, keys: np.ndarray, merged: np.ndarray):
+        self.ranks, self.single, self.keys, self.merged = ranks, single, keys, merged
+
+    @classmethod
+    def of(cls, ranks: dict[bytes, int]) -> Vocabulary:
         single = [ranks.get(bytes([b]), -1) for b in range(256)]
         if min(single) < 0:
             raise ValueError("the vocabulary lacks single bytes")
-        self.single = np.array(single, np.int64)
         keys, merged = [], []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -56,7 +58,10 @@ class Vocabulary:
                     merged.append(rank)
         keys, merged = np.array([*keys, 1 << 62], np.int64), np.array([*merged, -1], np.int64)
         order = np.argsort(keys)
-        self.keys, self.merged = keys[order], merged[order]
+        return cls(ranks, np.array(single, np.int64), keys[order], merged[order])
+
+    def parts(self) -> tuple:
+        return self.ranks, self.single, self.keys, self.merged
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of each two tokens, -1 if there is none or a token is negative."""
@@ -252,16 +257,15 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
     No shuffle; the vocabulary (checked to be below 64 MB) is broadcast. A null or empty
     text has no ids. A column named ``ids`` is replaced, others are handed on.
     """
-    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(ranks))
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary.of(ranks).parts())
     names, schema = _extended(df, ids_col, ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(shared.value, pattern)
+        coder = Encoder(Vocabulary(*shared.value), pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            for start, end in _blocks(texts):
+            for start, end, texts in blocks(batch.column(text_col)):
                 gc.disable()  # many small lists without cycles
-                ids, counts = coder.encode(texts[start:end])
+                ids, counts = coder.encode(texts)
                 gc.enable()
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Text handed to one call of a block worker: bounds a task's memory whatever a batch holds.
-BLOCK_CHARS = 8_000_000
+#: Bytes of text handed to one call of a block worker: bounds a task's memory whatever a batch holds.
+BLOCK_BYTES = 4_000_000
 
 Work = Callable[[list[str]], Iterable[list]]
 
@@ -20,15 +22,15 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= BLOCK_CHARS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def blocks(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    """Start, end and texts of runs of rows with about ``BLOCK_BYTES`` (one long text may be more)."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        passed = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, passed + BLOCK_BYTES, side="right")))
+        yield start, end, [t or "" for t in column.slice(start, end - start).to_pylist()]
+        start = end
 
 
 def annotate(df: DataFrame, text_col: str, fields: str, setup: Callable[[], Work], keep_text: bool = True) -> DataFrame:
@@ -52,10 +54,9 @@ def annotate(df: DataFrame, text_col: str, fields: str, setup: Callable[[], Work
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = setup()
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
             others = [batch.column(n) for n in handed]
-            for start, end in _blocks(texts):
-                columns = work(texts[start:end])
+            for start, end, texts in blocks(batch.column(text_col)):
+                columns = work(texts)
                 yield pa.RecordBatch.from_arrays(
                     [o.slice(start, end - start) for o in others]
                     + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], handed + new)
