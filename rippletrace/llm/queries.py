@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_model, quality_rules, secrets, simhash
+from rippletrace.plans.durable import stored
+
+from . import bpe, mixing, quality_model, quality_rules, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Words as the contracts name them, as a DuckDB pattern.
@@ -55,6 +57,49 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = stored(mixing.sizes(_documents(spark, sf_dir)), "sizes")
+    mixed = mixing.taken(sized, mixing.plan(sized))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+_OP6_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_SQL_WORD}')) AS BIGINT) AS size,
+         md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+  FROM d GROUP BY source),
+lv AS (
+  SELECT *, {mixing.MAX_EPOCHS} * source_size AS lim,
+         (SELECT sum(source_size) FROM s)
+           - coalesce(sum({mixing.MAX_EPOCHS} * source_size) OVER before_, 0) AS num,
+         (SELECT sum(w) FROM s) - coalesce(sum(w) OVER before_, 0) AS den
+  FROM s WINDOW before_ AS (ORDER BY source_size / w, source NULLS LAST
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT min_by(num, -den) AS num, max(den) AS den FROM lv WHERE w * num <= lim * den),
+t AS (
+  SELECT source, source_size,
+         CASE WHEN w * l.num > lim * l.den THEN CAST(lim AS DOUBLE)
+              ELSE CAST(CAST(w * l.num AS BIGINT) AS DOUBLE) / CAST(CAST(l.den AS BIGINT) AS DOUBLE) END AS target
+  FROM lv, level l),
+p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), {mixing.MAX_EPOCHS}) ELSE 0 END AS whole
+  FROM t),
+r AS (
+  SELECT d.*, p.source_size, p.target, CAST(p.whole AS BIGINT) AS whole,
+         CAST(floor(target + 0.5) AS BIGINT) - CAST(p.whole AS BIGINT) * p.source_size AS extra,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target,
+       CAST(whole * size + greatest(0, least(size, extra - before)) AS BIGINT) AS taken
+FROM r"""
+
+
 def held_out() -> F.Column:
     """Documents whose labels are never learned from."""
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -115,10 +160,12 @@ QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op6_source_mixing": op6_source_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
 
 SQL: dict[str, str] = {
+    "op6_source_mixing": _OP6_SQL,
     "op10_quality_rules": _OP10_SQL,
 }
