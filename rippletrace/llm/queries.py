@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rippletrace.plans.durable import stored
 
-from . import bpe, mixing, quality_model, quality_rules, secrets, simhash
+from . import bpe, mixing, quality_model, quality_rules, secrets, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Words as the contracts name them, as a DuckDB pattern.
@@ -57,6 +57,44 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Rules given by the contract of op5: site and verdict.
+SITE_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    rules = [url_filter.site_rule(name, verdict) for name, verdict in SITE_RULES.items()] + url_filter.word_rules()
+    judged = url_filter.judge(pages, rules)
+    by_site = F.col("rule").isin(*SITE_RULES)
+    return judged.select("page_id", "host", "path", F.when(by_site, F.col("rule")).alias("rule"), "verdict",
+                         F.when(~by_site, F.col("rule")).alias("word_rule"))
+
+
+_OP5_SQL = rf"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+h AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, regexp_extract(rest, '^[^?#]*') AS place FROM u),
+p AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         substr(place, length(raw) + 1) AS path FROM h),
+r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+    nullif(regexp_extract(host || path,
+      '(?s)^([^/]*[.-])?({"|".join(url_filter.WORD_LIST)})([.-][^/]*)?(/.*)?$', 2), '') AS word
+  FROM p)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN word IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+       CASE WHEN rule IS NULL AND word IS NOT NULL THEN '~' || word END AS word_rule
+FROM r"""
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = stored(mixing.sizes(_documents(spark, sf_dir)), "sizes")
     mixed = mixing.taken(sized, mixing.plan(sized))
@@ -160,12 +198,14 @@ QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_url_filter": op5_url_filter,
     "op6_source_mixing": op6_source_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
 
 SQL: dict[str, str] = {
+    "op5_url_filter": _OP5_SQL,
     "op6_source_mixing": _OP6_SQL,
     "op10_quality_rules": _OP10_SQL,
 }
