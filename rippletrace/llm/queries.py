@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rippletrace.plans.durable import stored
 
-from . import bpe, mixing, quality_model, quality_rules, secrets, simhash, url_filter
+from . import bpe, mixing, quality_model, quality_rules, secrets, simhash, substrings, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Words as the contracts name them, as a DuckDB pattern.
@@ -138,6 +138,33 @@ SELECT doc_id, size, source_size, target,
 FROM r"""
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+_OP7_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SQL_WORD}') AS ws, row_number() OVER () AS row_id
+  FROM documents),
+win AS (
+  SELECT row_id, doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS w
+  FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
+gone AS (
+  SELECT row_id, i FROM (SELECT row_id, i, doc_id, min(doc_id) OVER (PARTITION BY w) AS lead FROM win)
+  WHERE doc_id > lead),
+covered AS (
+  SELECT row_id, list(DISTINCT i + k) AS places FROM gone, range(0, 50) r(k) GROUP BY row_id),
+kept AS (
+  SELECT row_id, string_agg(word, ' ' ORDER BY i) AS text
+  FROM (SELECT d.row_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d) t
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT row_id, unnest(places) AS i FROM covered) c
+                    WHERE c.row_id = t.row_id AND c.i = t.i)
+  GROUP BY row_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN covered USING (row_id) LEFT JOIN kept USING (row_id)"""
+
+
 def held_out() -> F.Column:
     """Documents whose labels are never learned from."""
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -200,6 +227,7 @@ QUERIES: dict[str, Query] = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_source_mixing": op6_source_mixing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -207,5 +235,6 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op5_url_filter": _OP5_SQL,
     "op6_source_mixing": _OP6_SQL,
+    "op7_substring_dedup": _OP7_SQL,
     "op10_quality_rules": _OP10_SQL,
 }
