@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rippletrace.plans.durable import stored
 
-from . import bpe, mixing, quality_model, quality_rules, secrets, simhash, substrings, url_filter
+from . import bpe, mixing, quality_model, quality_rules, secrets, simhash, spotsigs, substrings, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Words as the contracts name them, as a DuckDB pattern.
@@ -165,6 +165,10 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0)
 FROM d LEFT JOIN covered USING (row_id) LEFT JOIN kept USING (row_id)"""
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edited(_documents(spark, sf_dir))
+
+
 def held_out() -> F.Column:
     """Documents whose labels are never learned from."""
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -228,6 +232,7 @@ QUERIES: dict[str, Query] = {
     "op5_url_filter": op5_url_filter,
     "op6_source_mixing": op6_source_mixing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_spotsigs": op8_spotsigs,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
