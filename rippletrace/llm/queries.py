@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rippletrace.plans.durable import stored
 
-from . import bpe, mixing, quality_model, quality_rules, secrets, simhash, spotsigs, substrings, url_filter
+from . import bpe, html_template, mixing, quality_model, quality_rules, secrets, simhash, spotsigs, substrings, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Words as the contracts name them, as a DuckDB pattern.
@@ -57,6 +57,11 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_template.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 #: Rules given by the contract of op5: site and verdict.
 SITE_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
@@ -229,6 +234,7 @@ QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op3_html_text": op3_html_text,
     "op5_url_filter": op5_url_filter,
     "op6_source_mixing": op6_source_mixing,
     "op7_substring_dedup": op7_substring_dedup,
