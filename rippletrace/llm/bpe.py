@@ -13,7 +13,7 @@ import base64
 import gc
 import heapq
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -121,8 +121,9 @@ class Replay:
         offers = np.flatnonzero(at_hand >= 0)
         offers = offers[np.argsort(at_hand[offers], kind="stable")]
         ranks, first = np.unique(at_hand[offers], return_index=True)
-        index: dict[int, list[int]] = dict(zip(
-            ranks.tolist(), (x.tolist() for x in np.split(offers, first[1:])), strict=True))
+        # the inverted index: positions seen at the start, and those that merges add
+        given = dict(zip(ranks.tolist(), np.split(offers, first[1:]) if len(offers) else [], strict=True))
+        index: dict[int, list[int]] = {rank: [] for rank in given}
         queue = list(index)
         heapq.heapify(queue)
 
@@ -136,7 +137,7 @@ class Replay:
 
         while queue:
             rank = heapq.heappop(queue)
-            spots = np.array(index.pop(rank))
+            spots = np.concatenate([given.pop(rank, offers[:0]), np.array(index.pop(rank), np.int64)])
             spots.sort()
             while len(spots := spots[at_hand[spots] == rank]):
                 of = word[spots]
@@ -245,32 +246,43 @@ class Encoder:
         return self.flat[where], np.diff(edges)
 
 
-def _extended(df: DataFrame, name: str, kind) -> tuple[list[str], StructType]:
-    kept = [f for f in df.schema if f.name != name]
-    return [f.name for f in kept], StructType(kept + [StructField(name, kind)])
+def _extended(df: DataFrame, new: dict) -> tuple[list[str], StructType]:
+    kept = [f for f in df.schema if f.name not in new]
+    return [f.name for f in kept], StructType(kept + [StructField(name, kind) for name, kind in new.items()])
+
+
+def _bytes(token: dict[int, bytes], ids: list[int]) -> bytes:
+    return b"".join(map(token.__getitem__, ids))
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text",
-           ids_col: str = "ids") -> DataFrame:
+           ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """Add ``ids``: each match of ``pattern`` in the whole text encoded by ``ranks``.
 
+    With ``decoded_col`` the ids are decoded again in the same pass, into a column of bytes.
+
     No shuffle; the vocabulary (checked to be below 64 MB) is broadcast. A null or empty
     text has no ids. A column named ``ids`` is replaced, others are handed on.
     """
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary.of(ranks).parts())
-    names, schema = _extended(df, ids_col, ArrayType(IntegerType()))
+    new = {ids_col: ArrayType(IntegerType())} | ({decoded_col: BinaryType()} if decoded_col else {})
+    names, schema = _extended(df, new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(Vocabulary(*shared.value), pattern)
+        token = {rank: token for token, rank in shared.value[0].items()}
         for batch in batches:
             for start, end, texts in blocks(batch.column(text_col)):
                 gc.disable()  # many small lists without cycles
                 ids, counts = coder.encode(texts)
                 gc.enable()
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                added = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]
+                if decoded_col:
+                    edges = offsets.tolist()
+                    added.append(pa.array([_bytes(token, ids[a:b].tolist()) for a, b in pairwise(edges)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(n).slice(start, end - start) for n in names]
-                    + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], [*names, ids_col])
+                    [batch.column(n).slice(start, end - start) for n in names] + added, [*names, *new])
 
     return df.select(*[f"`{n}`" for n in names]).mapInArrow(run, schema)
 
@@ -281,7 +293,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col
     Null ids decode to nothing; an id outside the vocabulary is an error.
     """
     shared = df.sparkSession.sparkContext.broadcast(ranks)
-    names, schema = _extended(df, out_col, BinaryType())
+    names, schema = _extended(df, {out_col: BinaryType()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {rank: token for token, rank in shared.value.items()}
@@ -290,7 +302,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col
             for k in range(batch.num_rows):
                 ids = batch.column(ids_col)[k]
                 values = ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []
-                decoded.append(b"".join(map(token.__getitem__, values)))
+                decoded.append(_bytes(token, values))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in names] + [pa.array(decoded, pa.binary())], [*names, out_col])
 

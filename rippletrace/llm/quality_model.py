@@ -29,7 +29,7 @@ SAMPLE_ROWS = 4000
 #: Passes over the sample: more where it is small.
 EPOCHS, UPDATES = (6, 30), 20_000
 #: Distinct words that a task remembers between blocks.
-MEMO = 400_000
+MEMO = 150_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -59,7 +59,7 @@ class Features:
     def forget(self) -> None:
         self.code = self._Codes()
         self.hash = np.zeros(0, np.uint64)
-        self.flat = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
         self.size = np.zeros(0, np.int64)
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +94,7 @@ class Features:
             owners.append(owner[:len(gram)][inside])
         of = np.concatenate(owners)
         order = np.argsort(of, kind="stable")
-        self.flat = np.concatenate([self.flat, np.concatenate(buckets)[order]])
+        self.flat = np.concatenate([self.flat, np.concatenate(buckets)[order].astype(np.int32)])
         self.size = np.concatenate([self.size, np.bincount(of, minlength=len(fresh))])
         self.hash = np.concatenate([self.hash, hashes])
 

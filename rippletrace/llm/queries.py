@@ -28,8 +28,7 @@ def _sha(column) -> F.Column:
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
-    both = bpe.decode(coded, ranks)
+    both = bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded_col="decoded")
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         _sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
