@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rippletrace.plans.blocks import running, sequence_number
-from rippletrace.plans.durable import stored
+from rippletrace.plans.durable import materialize, stored
 
-from .common import annotate, words
+from .common import annotate, free, words
 
 MAX_EPOCHS = 3
+#: Rows of a table of sources up to which it is broadcast; a larger one is joined by shuffle.
+BROADCAST_SOURCES = 100_000
 SEED = "mix-1"
 
 
@@ -42,6 +44,12 @@ def sizes(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     return annotate(picked, "body", "size long", lambda: lambda texts: [[len(words(t)) for t in texts]], keep_text=False)
 
 
+def small(sources: DataFrame, label: str) -> DataFrame:
+    """A stored table of one row per source, broadcast if it is counted to be within the bound."""
+    table, n = materialize(sources, label)
+    return F.broadcast(table) if n <= BROADCAST_SOURCES else table
+
+
 def level(sources: DataFrame) -> tuple[int, int]:
     """The water level as a fraction: words per unit of weight at which the limits hold.
 
@@ -91,8 +99,8 @@ def plan(sized: DataFrame, weight: Callable[[Column], Column] = cyclic_weight, m
     order = sized.select("source", "size", "id", draw("id", seed).alias("draw"))
     summed = running(order.where(F.col("size") > 0), ["source"], ["draw", "id", "size"],
                      {"before": ("sum", F.col("size"))}, exclusive=True)
-    edge = (summed.join(poured.where(F.col("extra") > 0).select(F.col("source").alias("of"), "extra"),
-                        F.col("source").eqNullSafe(F.col("of")))
+    wanted = small(poured.where(F.col("extra") > 0).select(F.col("source").alias("of"), "extra"), "wanted")
+    edge = (summed.join(wanted, F.col("source").eqNullSafe(F.col("of")))
             .where((F.col("before") < F.col("extra")) & (F.col("extra") <= F.col("before") + F.col("size")))
             .groupBy("of").agg(F.min(F.struct("draw", "id", (F.col("extra") - F.col("before")).alias("part"))).alias("edge")))
     return poured.join(edge, F.col("source").eqNullSafe(F.col("of")), "left").select(
@@ -100,18 +108,18 @@ def plan(sized: DataFrame, weight: Callable[[Column], Column] = cyclic_weight, m
         F.col("edge.draw").alias("edge_draw"), F.col("edge.id").alias("edge_id"), F.col("edge.part").alias("edge_part"))
 
 
-def _place(id_col: str, seed: str) -> tuple[Column, Column]:
+def _place(id_col: str, seed: str, at: str = "") -> tuple[Column, Column]:
     """Whether a document lies before its source's boundary, and whether it is the boundary."""
-    own, edge = draw(id_col, seed), F.col("edge_draw")
-    same = (own == edge) & F.col(id_col).eqNullSafe(F.col("edge_id"))
+    own, edge, edge_id = draw(id_col, seed), F.col(f"{at}edge_draw"), F.col(f"{at}edge_id")
+    same = (own == edge) & F.col(id_col).eqNullSafe(edge_id)
     ahead = (own < edge) | ((own == edge) & ~same & (
-        F.col(id_col).isNull() | F.coalesce(F.col(id_col) < F.col("edge_id"), F.lit(False))))
+        F.col(id_col).isNull() | F.coalesce(F.col(id_col) < edge_id, F.lit(False))))
     return F.coalesce(ahead, F.lit(False)), F.coalesce(same, F.lit(False))
 
 
 def taken(sized: DataFrame, sources: DataFrame, seed: str = SEED) -> DataFrame:
     """Each document's size, its source's size and target, and the words that the mix takes."""
-    own = sources.withColumnRenamed("source", "of")
+    own = small(sources.withColumnRenamed("source", "of"), "plan")
     ahead, same = _place("id", seed)
     part = F.when(ahead, F.col("size")).when(same, F.least("size", "edge_part")).otherwise(0)
     return (sized.join(own, F.col("source").eqNullSafe(F.col("of")))
@@ -129,18 +137,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     the boundary's id are cut alike. Reruns agree. No input gives no rows.
     """
     sized = stored(sizes(df, id_col, source_col, text_col), "sizes")
+    note, copy = free(df, "_mix", "_copy")
     sources = plan(sized, weight, max_epochs, seed).select(
-        F.struct("source", "whole", "edge_draw", F.col("edge_id"), "edge_part").alias("_mix"))
-    table = stored(sources, "mix")
-    joined = df.join(table, F.col(source_col).eqNullSafe(F.col("_mix.source")))
-    own, edge = draw(id_col, seed), F.col("_mix.edge_draw")
-    tie = own == edge
-    same = F.coalesce(tie & F.col(id_col).eqNullSafe(F.col("_mix.edge_id")), F.lit(False))
-    ahead = F.coalesce((own < edge) | (tie & ~same & F.coalesce(F.col(id_col) < F.col("_mix.edge_id"), F.lit(True))), F.lit(False))
+        F.struct("source", "whole", "edge_draw", "edge_id", "edge_part").alias(note))
+    joined = df.join(small(sources, "mix"), F.col(source_col).eqNullSafe(F.col(f"{note}.source")))
+    ahead, same = _place(id_col, seed, f"{note}.")
     lead = F.array_join(F.slice(F.regexp_extract_all(
-        F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_mix.edge_part").cast("int")), " ")
-    times = F.col("_mix.whole").cast("int") + ahead.cast("int")
-    copies = F.array_repeat(F.col(text_col), times)
+        F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col(f"{note}.edge_part").cast("int")), " ")
+    copies = F.array_repeat(F.col(text_col), F.col(f"{note}.whole").cast("int") + ahead.cast("int"))
     rows = F.when(same, F.concat(copies, F.array(lead))).otherwise(copies)
-    return (joined.withColumn("_copy", F.explode(rows))
-            .select(*[F.col("_copy").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]))
+    return (joined.withColumn(copy, F.explode(rows))
+            .select(*[F.col(copy).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]))
