@@ -247,7 +247,7 @@ class Encoder:
 
 
 def _extended(df: DataFrame, new: dict) -> tuple[list[str], StructType]:
-    kept = [f for f in df.schema if f.name not in new]
+    kept = [f for f in df.schema if f.name.lower() not in {n.lower() for n in new}]
     return [f.name for f in kept], StructType(kept + [StructField(name, kind) for name, kind in new.items()])
 
 

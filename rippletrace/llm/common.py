@@ -22,6 +22,18 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+def free(df: DataFrame, *stems: str) -> list[str]:
+    """Names for passing columns that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 def blocks(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
     """Start, end and texts of runs of rows with about ``BLOCK_BYTES`` (one long text may be more)."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -39,12 +51,12 @@ def annotate(df: DataFrame, text_col: str, fields: str, setup: Callable[[], Work
     ``setup`` runs once in a task and returns a function from a block of texts to one list
     per new column. A null text counts as empty. A column of ``df`` that has the name of a
     new one is replaced; all others are handed on as they are (the text itself only with
-    ``keep_text``).
+    ``keep_text``). Names are compared without regard to case, as Spark does.
     """
     added = _parse_datatype_string(fields)
-    names = {f.name for f in added}
-    kept = [f for f in df.schema if f.name not in names]
-    if text_col in names:
+    names = {f.name.lower() for f in added}
+    kept = [f for f in df.schema if f.name.lower() not in names]
+    if text_col.lower() in names:
         raise ValueError(f"{text_col} is the text and can't be a new column")
     source = df.select(*[f"`{f.name}`" for f in kept])
     handed = [f.name for f in kept if keep_text or f.name != text_col]

@@ -17,8 +17,9 @@ from collections.abc import Callable
 
 import ahocorasick
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import annotate
+from .common import annotate, free
 
 SPANS = "spans array<struct<kind:string,start:long,end:long>>"
 
@@ -155,9 +156,7 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "<secret>") -> Dat
             return "".join(out) + text[at:]
         return lambda texts: [list(map(cut, texts))]
 
-    name = "_redacted"
+    name, = free(df, "_redacted")
     done = annotate(df, text_col, f"{name} string", setup)
-    from pyspark.sql import functions as F
-
     value = F.when(F.col(text_col).isNull(), F.col(text_col)).otherwise(F.col(name))
     return done.withColumn(text_col, value).select(*[f"`{c}`" for c in df.columns])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rippletrace.plans.durable import materialize, stored
 
-from .common import annotate
+from .common import annotate, free
 from .graph import components
 
 BITS = 64
@@ -263,7 +263,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     All columns of ``df`` are handed on.
     """
     whole = groups(df, id_col, text_col, radius)
-    ids = (whole.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_stays")).agg(
-        F.count(F.lit(1)).alias("_times")))
-    kept = df.join(ids, F.col(id_col) == F.col("_stays"), "left_semi").dropDuplicates([id_col])
+    stays, = free(df, "_stays")
+    ids = whole.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(stays))
+    kept = df.join(ids, F.col(id_col) == F.col(stays), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(df.where(F.col(id_col).isNull()))

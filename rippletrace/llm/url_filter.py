@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate
+from .common import annotate, free
 
 OTHER = 128
 
@@ -153,7 +153,8 @@ def judge(df: DataFrame, rules: Sequence[Rule], url_col: str = "url", default: s
     globs = [g for r in ranked for g in r.globs]
     owner = np.repeat(np.arange(len(ranked)), [len(r.globs) for r in ranked])
     host, path = host_and_path(F.col(url_col))
-    split = df.withColumns({"_host": host, "_path": path}).withColumn("_place", F.concat("_host", "_path"))
+    own_host, own_path, place = free(df, "_host", "_path", "_place")
+    split = df.withColumns({own_host: host, own_path: path}).withColumn(place, F.concat(own_host, own_path))
 
     def setup():
         automaton = Automaton(globs)
@@ -167,7 +168,7 @@ def judge(df: DataFrame, rules: Sequence[Rule], url_col: str = "url", default: s
                     [verdicts[k] if k >= 0 else default for k in picked])
         return work
 
-    done = annotate(split, "_place", "rule string, verdict string", setup, keep_text=False)
-    kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    return done.select(*[F.col(f"`{c}`") for c in kept], F.col("_host").alias("host"), F.col("_path").alias("path"),
+    done = annotate(split, place, "rule string, verdict string", setup, keep_text=False)
+    kept = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    return done.select(*[F.col(f"`{c}`") for c in kept], F.col(own_host).alias("host"), F.col(own_path).alias("path"),
                        "rule", "verdict")
