@@ -8,6 +8,8 @@ still know where a match began, with no shuffle and no Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,10 +55,19 @@ def head_line(text: Column) -> Column:
     return strip(F.substring_index(text, MARK, 1))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once per row, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
 
 
-def line_at(text: Column, number: Column) -> Column:
-    """A physical line of ``text`` by 1-based number, trimmed."""
-    return strip(F.get(F.split(text, "\n", -1), number - 1))
+def lines_of(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
+def line_at(lines: Column, number: Column) -> Column:
+    """A line of ``lines`` by 1-based number, trimmed."""
+    return strip(F.get(lines, number - 1))

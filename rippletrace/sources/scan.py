@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import MARK, blank_tokens, drop_marks, first_line_number, head_line, line_at, number_lines, strip
-
-_LINE_ORD = 1_000_000
+from ..functions import (
+    MARK, blank_tokens, drop_marks, first_line_number, head_line, let, line_at, lines_of, number_lines, strip,
+)
 
 
 def _unix(text: str) -> Column:
@@ -30,8 +30,9 @@ _PY_END = MARK + r"\d+"
 _PY_IMPORT = (r"(?:(?<=\n)|\A)[ \t]*(?:import|from)(?=[\s(.])"
               r"(?:[^\n(\[{\\]++|\\[ \t]*" + _PY_END + r"\n|\\|[(\[{][^)\]}]*+[)\]}]?)*+")
 _IDENT = r"[A-Za-z_][A-Za-z0-9_]*"
-_PY_USE = (r"(?<![A-Za-z0-9_])(?<!\.[ \t]{0,9})(?<!(?:^|[^A-Za-z0-9_])(?:def|class|as)[ \t]{1,9})"
-           r"(" + _IDENT + r")(?:[ \t]*\.[ \t]*(" + _IDENT + r"))?[ \t]*(\(?)")
+# a name with what makes it no use of an import in front: a dot, or a word that binds it anew
+_PY_USE = (r"(\.[ \t]*+|(?<![A-Za-z0-9_])(?:def|class|as)[ \t]++|(?<![A-Za-z0-9_]))"
+           r"(" + _IDENT + r")(?:[ \t]*+\.[ \t]*+(" + _IDENT + r"))?+[ \t]*+(\(?)")
 _STMT = ("array<struct<ord:bigint,module:string,level:int,names:array<string>,bound:array<string>,"
          "line:int,snippet:string>>")
 
@@ -53,14 +54,13 @@ def _py_statements(numbered: Column) -> Column:
         snippet = strip(F.regexp_replace(head_line(fragment), r"\\$", ""))
         flat = drop_marks(F.regexp_replace(fragment, r"\\[ \t]*(" + _PY_END + ")", "$1"))
 
-        def one(text: Column, at: Column) -> Column:
+        def one(text: Column) -> Column:
             text = strip(text)
-            base = line.cast("long") * _LINE_ORD + at * 1000
 
-            def plain(part: Column, i: Column) -> Column:
+            def plain(part: Column) -> Column:
                 module, alias = _first_token(part), _alias(part)
                 bound = F.when(alias != "", alias).otherwise(F.substring_index(module, ".", 1))
-                return F.struct((base + i).alias("ord"), module.alias("module"), F.lit(0).alias("level"),
+                return F.struct(F.lit(0).alias("ord"), module.alias("module"), F.lit(0).alias("level"),
                                 F.array().cast("array<string>").alias("names"), F.array(bound).alias("bound"),
                                 line.alias("line"), snippet.alias("snippet"))
 
@@ -75,7 +75,7 @@ def _py_statements(numbered: Column) -> Column:
             from_ok = text.rlike(head + r".*?import[\s(.]") & (module != "__future__") & (
                 (dots != "") | (module != ""))
             single = F.array(F.struct(
-                base.alias("ord"), module.alias("module"), F.length(dots).alias("level"),
+                F.lit(0).alias("ord"), module.alias("module"), F.length(dots).alias("level"),
                 names.alias("names"), bound.alias("bound"), line.alias("line"), snippet.alias("snippet")))
             none = F.array().cast(_STMT)
             return (F.when(text.rlike(r"^import[\s(.]"), modules.cast(_STMT))
@@ -83,7 +83,9 @@ def _py_statements(numbered: Column) -> Column:
 
         return F.flatten(F.transform(F.split(flat, ";"), one))
 
-    return F.flatten(F.transform(fragments, statements))
+    # the place in the file is the order, however many statements share a line
+    return F.transform(F.flatten(F.transform(fragments, statements)),
+                       lambda s, i: s.withField("ord", i.cast("long")))
 
 
 def parse_python(files: DataFrame) -> DataFrame:
@@ -121,27 +123,32 @@ def python_uses(parsed: DataFrame) -> DataFrame:
 
     def in_line(text: Column) -> Column:
         bare = F.substring_index(text, MARK, 1)
-        found = F.regexp_extract_all(bare, F.lit(_PY_USE), F.lit(0))
+        found = F.filter(F.regexp_extract_all(bare, F.lit(_PY_USE), F.lit(0)),
+                         lambda u: F.regexp_extract(u, _PY_USE, 1) == "")
         return F.transform(found, lambda u: F.struct(
             first_line_number(text).alias("line"),
-            F.regexp_extract(u, r"^(" + _IDENT + ")", 1).alias("name"),
-            F.regexp_extract(u, r"\.[ \t]*(" + _IDENT + ")", 1).alias("attr"),
+            F.regexp_extract(u, _PY_USE, 2).alias("name"),
+            F.regexp_extract(u, _PY_USE, 3).alias("attr"),
             u.endswith("(").alias("call")))
 
+    def cited(lines: Column) -> Column:
+        kept = F.filter(F.flatten(F.transform(F.split(code, "\n"), in_line)),
+                        lambda u: F.array_contains(F.col("bound"), u["name"]))
+        return F.transform(kept, lambda u: u.withField("snippet", line_at(lines, u["line"])))
+
     rows = (parsed.where(F.size("stmts") > 0)
             .withColumn("bound", bound)
-            .select("repo_id", "rel", "content", F.posexplode(F.filter(
-                F.flatten(F.transform(F.split(code, "\n"), in_line)),
-                lambda u: F.array_contains(F.col("bound"), u["name"]))).alias("ord", "u")))
-    return rows.select("repo_id", "rel", "ord", "u.name", "u.attr", "u.call", "u.line",
-                       line_at(F.col("content"), F.col("u.line")).alias("snippet"))
+            .select("repo_id", "rel", F.posexplode(let(lines_of(F.col("content")), cited)).alias("ord", "u")))
+    return rows.select("repo_id", "rel", "ord", "u.name", "u.attr", "u.call", "u.line", "u.snippet")
 
 
 # ---- typescript -----------------------------------------------------------------------
 
 _TS_TOKENS = (r"(//[^\n]*|/\*[\s\S]*?(?:\*/|\z)|" r'"[^"\\\n]*+(?:\\[^\n][^"\\\n]*+)*+\\?"?|'
               r"'[^'\\\n]*+(?:\\[^\n][^'\\\n]*+)*+\\?'?|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`?|" r"[^/\"'`]+|/)")
-_TS_STRING = r"""(["'`])((?:\\.|(?!\1)[^\\\n])*)\1"""
+# one alternative per quote, each unrolled, so that a long literal needs no deep stack
+_TS_STRING = "(?:" + "|".join(
+    rf"{q}([^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+){q}" for q in "\"'`") + ")"
 _TS_CALL = r"(?<![A-Za-z0-9_$])(?:require|import)\s*\([^\"'`\n]*" + _TS_STRING
 _TS_BODY = r"(?:[^\"'`;\n]*\n){0,60}[^\"'`;\n]*"
 _TS_FROM = r"(?=[^\"'`;]*(?<![A-Za-z0-9_$])from(?![A-Za-z0-9_$]))"
@@ -160,7 +167,7 @@ def ts_import_specs(files: DataFrame) -> DataFrame:
         "repo_id", "rel", number_lines(clean).alias("text"))
 
     def spec(text: Column, pattern: str) -> Column:
-        raw = F.regexp_extract(text, pattern, 2)
+        raw = F.concat(*[F.regexp_extract(text, pattern, k) for k in (1, 2, 3)])
         return drop_marks(F.regexp_replace(raw, r"\\.", ""), "")
 
     def calls(line: Column) -> Column:
@@ -176,19 +183,21 @@ def ts_import_specs(files: DataFrame) -> DataFrame:
         head_line(m).alias("snippet"),
         (strip(m).rlike(r"^(import|export) type(?![A-Za-z0-9_$])") | drop_marks(m).contains(" type "))
         .alias("type_only")))
-    return (rows.select("repo_id", "rel", F.posexplode(F.concat(dynamic, static)).alias("at", "s"))
+    placed = F.array_sort(F.transform(F.concat(dynamic, static), lambda s, i: F.struct(
+        s["line"].alias("line"), s["form"].alias("form"), i.alias("at"), s["spec"].alias("spec"),
+        s["snippet"].alias("snippet"), s["type_only"].alias("type_only"))))
+    return (rows.select("repo_id", "rel", F.posexplode(placed).alias("at", "s"))
             .where("s.spec <> ''")
-            .select("repo_id", "rel",
-                    (F.col("s.line").cast("long") * _LINE_ORD + F.col("s.form") * 1000 * 100 + F.col("at"))
-                    .alias("ord"), "s.spec", "s.line", "s.snippet", "s.type_only"))
+            .select("repo_id", "rel", F.col("at").cast("long").alias("ord"),
+                    "s.spec", "s.line", "s.snippet", "s.type_only"))
 
 
 # ---- c and c++ ------------------------------------------------------------------------
 
 _CPP_TOKENS = (r"(//[^\n]*|/\*[\s\S]*?(?:\*/|\z)|(?<![A-Za-z0-9_])(?:u8|[uUL])?R\"([^(\n]*)\([\s\S]*?(?:\)\2\"|\z)|"
-               r'"(?:[^"\\\n]|\\[^\n])*\\?"?|' r"(?<![A-Za-z0-9_])'[^'\\\n]*+(?:\\[^\n][^'\\\n]*+)*+\\?'?|"
+               r'"[^"\\\n]*+(?:\\[^\n][^"\\\n]*+)*+\\?"?|' r"(?<![A-Za-z0-9_])'[^'\\\n]*+(?:\\[^\n][^'\\\n]*+)*+\\?'?|"
                r"[A-Za-z0-9_]+'?|[^/\"'A-Za-z0-9_]+|/|')")
-_CPP_GAP = r"(?:[ \t]|\\[ \t]*" + MARK + r"\d+\n)*"
+_CPP_GAP = r"[ \t]*+(?:\\[ \t]*+" + MARK + r"\d+\n[ \t]*+)*+"
 _CPP_INCLUDE = (r"(?:(?<=\n)|\A)[ \t]*#" + _CPP_GAP + r"include(?![A-Za-z0-9_])" + _CPP_GAP
                 + r"(?:\"([^\"\n]+)\"|<([^>\n]+)>)[^\n]*")
 _CPP_FILE = r"\.(c|cc|cpp|cxx|h|hh|hpp|hxx|inl|ipp)$"
