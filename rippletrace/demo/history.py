@@ -211,7 +211,7 @@ def bursts_streamed(spark, sf):
     changes = _stream(spark, sf).select(
         F.concat(F.lit("h"), (F.col("user_id") % 5).cast("string")).alias("repo_id"),
         F.col("ts").cast("timestamp").alias("ts"),
-        change.alias("change"))
+        (F.col("event_id") % 7).cast("string").alias("path"), change.alias("change"))
     out = live.burst_stream(changes, "10 minutes", new_path(spark, "bursts"), new_path(spark, "progress"))
     stamp = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return out.withColumn("burst_start", F.date_format("burst_start", stamp)).withColumn(
@@ -360,10 +360,10 @@ SELECT repo_id, 'file' AS level, max(seq) AS seq, max_by(generation, seq) AS gen
     "bursts_streamed": """
 WITH e AS (SELECT 'h' || CAST(user_id % 5 AS STRING) AS repo_id, ts, event_id, CASE event_type
              WHEN 'purchase' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS change FROM events),
-o AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY repo_id ORDER BY ts) + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS opens FROM e),
+o AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY repo_id ORDER BY ts) + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS opens FROM e),
 b AS (SELECT *, sum(opens) OVER (PARTITION BY repo_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM o)
 SELECT repo_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS burst_start, strftime(max(ts) + INTERVAL 10 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS burst_end,
-       count(*) AS changes, count(*) FILTER (change = 'modified') AS modified, bool_or(change <> 'modified') AS structural
-FROM b GROUP BY repo_id, burst
-HAVING max(ts) + INTERVAL 10 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM events)""",
+       count(*) AS changes, count(*) FILTER (change = 'modified') AS modified, bool_or(change <> 'modified') AS structural,
+       count(DISTINCT CASE WHEN change = 'modified' THEN event_id % 7 END) + bool_or(change <> 'modified')::INT AS generations
+FROM b GROUP BY repo_id, burst""",
 }

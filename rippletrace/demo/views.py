@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fleet
 from ..operators import impact, integrity, links, ownership, scores, view
 from ..operators.impact import Filters
+from . import history
 from .graph import IMPORTS, _round, file_impact, seeds
 from .sqltext import ANC, IMPACT, RELEVANCE, SEEDS, ask, policy, spec, trace
 
@@ -166,13 +167,11 @@ def impact_differences(spark, sf):
 
 
 def integrity_report(spark, sf):
-    n, e = fleet.nodes(spark, sf), fleet.edges(spark, sf)
-    hits = file_impact(spark, sf)
+    """All five checks, each on input that is damaged in its own way."""
     report = integrity.check_report(
-        endpoints=integrity.check_endpoints(n, e),
-        dangling=integrity.check_endpoints(n.where("freshness <> 'stale'"), e),
-        containment=integrity.check_containment(n),
-        paths=integrity.check_paths(hits, e, seeds(spark, sf)))
+        endpoints=dangling_edges(spark, sf), containment=containment_problems(spark, sf),
+        paths=path_problems(spark, sf), impact=impact_differences(spark, sf),
+        warnings=history.endpoint_warnings(spark, sf))
     return report.withColumn("samples", F.array_join("samples", ";"))
 
 
@@ -388,15 +387,6 @@ shallow AS (
   UNION
   SELECT s.repo_id, l.src, s.d + 1 FROM shallow s JOIN loose l ON l.repo_id = s.repo_id AND l.dst = s.node
   WHERE s.d < 3)"""),
-    "integrity_report": ask("""
-SELECT 'endpoints' AS "check", true AS ok, 0 AS problems, '' AS samples
-UNION ALL SELECT 'containment', true, 0, '' UNION ALL SELECT 'paths', true, 0, ''
-UNION ALL SELECT 'dangling', false, (SELECT count(*) FROM lost),
-  (SELECT string_agg(t, ';' ORDER BY t) FROM (SELECT repo_id || ' ' || id AS t FROM lost ORDER BY t LIMIT 5))""", """
-lost AS MATERIALIZED (
-  SELECT DISTINCT e.repo_id, e.id FROM edges e WHERE
-  NOT EXISTS (SELECT 1 FROM nodes n WHERE n.repo_id = e.repo_id AND n.id = e.src AND n.freshness <> 'stale')
-  OR NOT EXISTS (SELECT 1 FROM nodes n WHERE n.repo_id = e.repo_id AND n.id = e.dst AND n.freshness <> 'stale'))"""),
     "graph_counts": ask("""
 SELECT repo_id, 'node' AS what, kind AS name, count(*) AS count FROM nodes GROUP BY repo_id, kind
 UNION ALL SELECT repo_id, 'edge', kind, count(*) FROM edges GROUP BY repo_id, kind
@@ -424,3 +414,18 @@ SELECT repo_id, unit, CASE WHEN count(DISTINCT dir) = 1 THEN min(dir)
          'src/' || split_part(n.path, '/', 2) || '/' || split_part(n.path, '/', 3) AS dir
   FROM imports i JOIN nodes n ON n.repo_id = i.repo_id AND n.id = i.dst) t GROUP BY repo_id, unit"""),
 }
+
+
+def _finding(name: str, sql: str, columns: str) -> str:
+    return f"""(WITH found AS MATERIALIZED (SELECT concat_ws(' ', {columns}) AS t FROM ({sql}) q)
+SELECT '{name}' AS "check", count(*) = 0 AS ok, count(*) AS problems,
+       coalesce((SELECT string_agg(t, ';' ORDER BY t) FROM (SELECT DISTINCT t FROM found ORDER BY t LIMIT 5) f), '') AS samples
+FROM found)"""
+
+
+SQL["integrity_report"] = "\nUNION ALL\n".join([
+    _finding("endpoints", SQL["dangling_edges"], "repo_id, id"),
+    _finding("containment", SQL["containment_problems"], "repo_id, node, problem"),
+    _finding("paths", SQL["path_problems"], "repo_id, node, path_no, problem"),
+    _finding("impact", SQL["impact_differences"], "level, repo_id, node, problem"),
+    _finding("warnings", history.SQL["endpoint_warnings"], "repo_id, id, seq, missing")])

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import DEPENDENCY_KINDS, LEVEL_KINDS
@@ -122,13 +121,14 @@ def glob_to_regex(glob: Column) -> Column:
     )
 
 
-def valid_patterns(patterns: list[str]) -> list[str]:
-    """The patterns that compile; a broken one hides nothing."""
+def valid_patterns(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """The patterns that compile where they will run, in the JVM; a broken one hides nothing."""
+    compiler = spark.sparkContext._jvm.java.util.regex.Pattern
     kept = []
     for pattern in patterns:
         try:
-            re.compile(pattern)
-        except re.error:
+            compiler.compile(pattern)
+        except IllegalArgumentException:
             continue
         if pattern:
             kept.append(pattern)

@@ -23,8 +23,8 @@ def parent_links(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("parent") != "").select("repo_id", F.col("id").alias("node"), "parent")
 
 
-def _climb(nodes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, bool]:
-    """(existing containers, ancestors of containers at depth 1..limit, is it deep)."""
+def _climb(nodes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(existing containers, ancestors of containers at depth 1..limit)."""
     ids = nodes.select("repo_id", F.col("id").alias("node"))
     links = parent_links(nodes)
     containers = stored(
@@ -53,24 +53,22 @@ def _climb(nodes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, bool]:
                                    F.count_if(F.col("depth") == depth))
         layers.append(layer)
         step = layer.where(F.col("depth") == depth)
-    return containers, reduce(DataFrame.unionByName, layers), depth > _STEPS_PER_JOB + 1
+    return containers, reduce(DataFrame.unionByName, layers)
 
 
 def container_chain(nodes: DataFrame, limit: int = MAX_ANCESTORS) -> DataFrame:
     """repo_id, node, ancestor, depth for every container, itself at depth 0."""
-    containers, above, deep = _climb(nodes, limit)
+    containers, above = _climb(nodes, limit)
     own = containers.select("repo_id", "node", F.col("node").alias("ancestor"),
                             F.lit(0).alias("depth"))
-    chain = own.unionByName(above)
-    if not deep:
-        return chain
-    return stored(chain.groupBy("repo_id", "node", "ancestor").agg(F.min("depth").alias("depth")),
+    # inside a parent cycle a container is met again: the nearest meeting counts
+    return stored(own.unionByName(above).groupBy("repo_id", "node", "ancestor").agg(F.min("depth").alias("depth")),
                   "chain")
 
 
 def parent_cycles(nodes: DataFrame, limit: int = MAX_ANCESTORS) -> DataFrame:
     """Nodes that are their own ancestor."""
-    _, above, _ = _climb(nodes, limit)
+    _, above = _climb(nodes, limit)
     return above.where("node = ancestor").select("repo_id", "node").distinct()
 
 

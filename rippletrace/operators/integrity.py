@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import stored
 from ..schemas import HUB_THRESHOLD
 from .ancestry import parent_cycles, parent_links
 
@@ -74,21 +77,22 @@ def check_impact(authored: DataFrame, computed: DataFrame) -> DataFrame:
 def check_report(**findings: DataFrame) -> DataFrame:
     """One row per check: check, ok, problems, samples (the first few in order).
 
-    Each finding is a DataFrame whose columns identify one problem; empty means sound.
+    Each finding is a DataFrame whose columns identify one problem; empty means sound. It is
+    worked out once: all findings are stored as one table that both answers are read from.
     """
-    parts = None
-    for name, rows in findings.items():
-        text = rows.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in rows.columns])
-                           .alias("text"))
-        total = text.agg(F.count(F.lit(1)).alias("problems")).select(
-            "problems", F.lit(None).cast("string").alias("sample"))
-        few = text.distinct().orderBy("text").limit(_SAMPLES).select(
-            F.lit(0).cast("long").alias("problems"), F.col("text").alias("sample"))
-        both = total.unionByName(few).withColumn("check", F.lit(name))
-        parts = both if parts is None else parts.unionByName(both)
-    return parts.groupBy("check").agg(
-        (F.sum("problems") == 0).alias("ok"), F.sum("problems").alias("problems"),
-        F.array_sort(F.collect_list("sample")).alias("samples"))
+    parts = [rows.select(F.lit(name).alias("check"), F.concat_ws(
+        " ", *[F.col(c).cast("string") for c in rows.columns]).alias("text")) for name, rows in findings.items()]
+    table = stored(reduce(DataFrame.unionByName, parts), "findings")
+    spark = table.sparkSession
+    checks = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in findings])).alias("check"))
+    total = table.groupBy("check").agg(F.count(F.lit(1)).alias("problems"))
+    first = Window.partitionBy("check").orderBy("text")
+    samples = (table.distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= _SAMPLES)
+               .groupBy("check").agg(F.array_sort(F.collect_list("text")).alias("samples")))
+    none = F.array().cast("array<string>")
+    return checks.join(total, "check", "left").join(samples, "check", "left").select(
+        "check", F.col("problems").isNull().alias("ok"), F.coalesce("problems", F.lit(0).cast("long")).alias("problems"),
+        F.coalesce("samples", none).alias("samples"))
 
 
 def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

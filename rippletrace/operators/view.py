@@ -14,7 +14,7 @@ _KEY = ["repo_id", "id"]
 
 def hidden_nodes(nodes: DataFrame, patterns: list[str], chain: DataFrame | None = None) -> DataFrame:
     """Nodes whose own or any ancestor's name or path matches a pattern, ignoring case."""
-    patterns = valid_patterns(patterns)
+    patterns = valid_patterns(nodes.sparkSession, patterns)
     match = F.lit(False)
     for pattern in patterns:
         regex = F.lit(f"(?i){pattern}")

@@ -54,7 +54,7 @@ def decode_events(lines: DataFrame) -> DataFrame:
 def _problem() -> Column:
     """First reason a decoded event breaks the format, or null."""
     def outside(column: Column, name: str, allowed: list[str]) -> Column:
-        return F.when(column.isNotNull() & ~column.isin([*allowed, "unknown"]),
+        return F.when(column.isNotNull() & ~column.isin(allowed),
                       F.concat(F.lit(f"unknown value for {name}: "), column))
 
     def needs(kind: str, column: str) -> Column:
@@ -65,7 +65,7 @@ def _problem() -> Column:
                       F.lit(f"{label} in {column}"))
 
     def bad(item, field, allowed):
-        return item[field].isNotNull() & ~item[field].isin([*allowed, "unknown"])
+        return item[field].isNotNull() & ~item[field].isin([*allowed, *(["unknown"] if field == "kind" else [])])
 
     checks = [
         F.col("corrupt"),

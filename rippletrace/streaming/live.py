@@ -77,27 +77,64 @@ def latest_impact_stream(events: DataFrame, path: str, checkpoint: str) -> DataF
                          path, checkpoint)
 
 
+def _sessions(changes: DataFrame, gap: str) -> DataFrame:
+    """Bursts by session windows. A window reaches to just before the gap is over, so that a
+    change exactly one gap later opens the next burst."""
+    window = F.session_window("ts", f"{gap} -1 microseconds")
+    structural = F.max(F.col("change") != "modified")
+    files = F.size(F.collect_set(F.when(F.col("change") == "modified", F.col("path"))))
+    return (changes.groupBy("repo_id", window.alias("burst"))
+            .agg(F.count(F.lit(1)).alias("changes"), F.count_if(F.col("change") == "modified").alias("modified"),
+                 structural.alias("structural"), (files + structural.cast("int")).cast("long").alias("generations"))
+            .select("repo_id", F.col("burst.start").alias("burst_start"),
+                    (F.col("burst.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("burst_end"),
+                    "changes", "modified", "structural", "generations"))
+
+
 def burst_stream(changes: DataFrame, gap: str, path: str, checkpoint: str,
                  delay: str = "0 seconds") -> DataFrame:
     """Bursts of changes separated by at least ``gap`` of silence.
 
-    changes: repo_id, ts TIMESTAMP, change. A burst is stored once the watermark has passed
-    its end. Result: repo_id, burst_start, burst_end, changes, modified, structural.
+    changes: repo_id, ts TIMESTAMP, path, change. A burst is closed and stored once the
+    watermark has passed its end; at the end of the backlog the bursts still open are added
+    from the stored changes. Result: repo_id, burst_start, burst_end, changes, modified,
+    structural, generations (one per modified file, one for the rest). Changes that came
+    after their burst was closed are in ``late_changes``.
     """
     spark = changes.sparkSession
-    window = F.session_window("ts", gap)
-    bursts = (changes.withWatermark("ts", delay).groupBy("repo_id", window.alias("burst"))
-              .agg(F.count(F.lit(1)).alias("changes"),
-                   F.count_if(F.col("change") == "modified").alias("modified"),
-                   F.max(F.col("change") != "modified").alias("structural"))
-              .select("repo_id", F.col("burst.start").alias("burst_start"),
-                      F.col("burst.end").alias("burst_end"), "changes", "modified", "structural"))
+    bursts = _sessions(changes.withWatermark("ts", delay), gap)
+
+    def keep(name: str) -> Callable[[DataFrame, int], None]:
+        def each(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{path}/{name}/version={batch_id}")
+        return each
+
+    _run(changes, keep("changes"), f"{checkpoint}/changes", "append")
+    _run(bursts, keep("closed"), f"{checkpoint}/closed", "append")
+    seen, closed = _burst_tables(spark, path, changes.schema, bursts.schema)
+    upto = closed.groupBy("repo_id").agg(F.max("burst_end").alias("upto"))
+    rest = seen.join(upto, "repo_id", "left").where("upto is null or ts >= upto").drop("upto")
+    return closed.unionByName(_sessions(rest, gap))
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
-    _run(bursts, each, checkpoint, "append")
-    return spark.read.schema(bursts.schema).parquet(f"{path}/version=*")
+def _burst_tables(spark: SparkSession, path: str, changes, bursts) -> tuple[DataFrame, DataFrame]:
+    return (spark.read.schema(changes).parquet(f"{path}/changes/version=*"),
+            spark.read.schema(bursts).parquet(f"{path}/closed/version=*"))
+
+
+def late_changes(seen: DataFrame, bursts: DataFrame) -> DataFrame:
+    """Changes that no burst holds: they arrived behind the watermark.
+
+    seen: repo_id, ts, ...; bursts: repo_id, burst_start, burst_end. The last burst that began
+    before a change is carried along in order, however many changes a repository has.
+    """
+    rest = [c for c in seen.columns if c not in ("repo_id", "ts")]
+    marks = bursts.select("repo_id", F.col("burst_start").alias("ts"), F.lit(0).alias("tie"),
+                          F.col("burst_end").alias("ends"), F.lit(None).cast(seen.select(F.struct(*rest)).schema[0].dataType).alias("c"))
+    rows = seen.select("repo_id", "ts", F.lit(1).alias("tie"), F.lit(None).cast("timestamp").alias("ends"), F.struct(*rest).alias("c"))
+    both = marks.unionByName(rows).withColumn("uid", F.monotonically_increasing_id())
+    carried = running(stored(both, "marks"), ["repo_id"], ["ts", "tie", "uid"], {"upto": ("last", F.col("ends"))})
+    return carried.where("tie = 1 and (upto is null or ts >= upto)").select("repo_id", "ts", "c.*")
 
 
 def coalesce_bursts(changes: DataFrame, gap_ms: int = 120) -> DataFrame:
@@ -133,16 +170,29 @@ def generation_violations(events: DataFrame) -> DataFrame:
     return seen.where("generation < highest").select("repo_id", "seq", "generation", "highest")
 
 
+def _last_version(spark: SparkSession, path: str) -> int:
+    """The newest completely written version below ``path``, -1 if there is none."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return -1
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    done = [int(n.partition("=")[2]) for n in names if n.startswith("version=") and fs.exists(
+        spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/edges/_SUCCESS"))]
+    return max(done, default=-1)
+
+
 def fold_stream(events: DataFrame, nodes: DataFrame, edges: DataFrame, path: str, checkpoint: str,
                 on_state: Callable[[DataFrame, DataFrame, DataFrame, int], None] | None = None
                 ) -> tuple[DataFrame, DataFrame]:
     """Graph state kept by a stream of events, snapshots and cascades included.
 
     Batch ``n`` applies its events to the tables of batch ``n - 1`` and writes new ones.
-    ``on_state(batch, nodes, edges, id)`` may derive more from each state.
+    ``on_state(batch, nodes, edges, id)`` may derive more from each state. A restart without
+    new events returns the last state that was written.
     """
     spark = events.sparkSession
-    last = {"id": -1}
+    last = {"id": _last_version(spark, path)}
 
     def tables(batch_id: int) -> tuple[DataFrame, DataFrame]:
         if batch_id < 0:
