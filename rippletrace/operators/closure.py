@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.blocks import sequence_number
-from ..plans.durable import materialize, stored
+from ..plans.durable import Rounds, stored
 from .impact import Filters, admitted_ids, traversable
 from .scores import level_filters
 
@@ -36,7 +36,8 @@ def transitive_counts(edges: DataFrame) -> DataFrame:
                            F.col("bit").alias("dst_bit")), ["repo_id", "dst"]), "wired")
     first = wired.groupBy("repo_id", F.col("dst").alias("node"), F.col("src_word").alias("word")).agg(
         F.bit_or("src_bit").alias("bits"))
-    state, found = materialize(first.withColumn("fresh", F.col("bits")), "bits")
+    rounds = Rounds("bits")
+    state, found = rounds.write(first.withColumn("fresh", F.col("bits")))
     none = F.lit(0).cast("long")
     step = wired.select("repo_id", F.col("src").alias("node"), "dst", "dst_word", "dst_bit")
     while found:
@@ -50,7 +51,7 @@ def transitive_counts(edges: DataFrame) -> DataFrame:
         merged = (have.unionByName(pushed.where("new <> 0")).groupBy(*_CELL)
                   .agg(new.bitwiseOR(old).alias("bits"),
                        new.bitwiseAND(F.bitwise_not(old)).alias("fresh")))
-        state, found = materialize(merged, "bits", F.count_if(F.col("fresh") != 0))
+        state, found = rounds.write(merged, F.count_if(F.col("fresh") != 0))
     return state.groupBy("repo_id", "node").agg(F.sum(F.bit_count("bits")).alias("dependents"))
 
 

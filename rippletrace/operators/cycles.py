@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import materialize
+from ..plans.durable import Rounds, materialize
 
 # Edge kinds that hold the tree together rather than express a dependency.
 STRUCTURAL_KINDS = ["contains", "owns"]
@@ -17,12 +17,13 @@ _PASSES = 3
 
 def _trim(live: DataFrame, size: int) -> tuple[DataFrame, int]:
     """Drop edges that cannot lie on a cycle while that still removes a good share."""
+    rounds = Rounds("trim")
     while size:
         entered = live.select("repo_id", F.col("dst").alias("src"))
         left = live.select("repo_id", F.col("src").alias("dst"))
-        kept, count = materialize(
+        kept, count = rounds.write(
             live.join(entered, ["repo_id", "src"], "left_semi")
-            .join(left, ["repo_id", "dst"], "left_semi").select("repo_id", "src", "dst"), "trim")
+            .join(left, ["repo_id", "dst"], "left_semi").select("repo_id", "src", "dst"))
         shrunk, live, size = size - count, kept, count
         if shrunk < 0.2 * (size + shrunk):
             break
@@ -62,9 +63,10 @@ def _labels(live: DataFrame) -> DataFrame:
     speak in the next one.
     """
     own = F.struct("weight", "node")
-    state, moved = materialize(
+    rounds = Rounds("labels")
+    state, moved = rounds.write(
         _degrees(live).select("repo_id", "node", own.alias("above"), own.alias("below"),
-                      F.lit(True).alias("above_moved"), F.lit(True).alias("below_moved")), "labels")
+                      F.lit(True).alias("above_moved"), F.lit(True).alias("below_moved")))
     silent = F.lit(None).cast("struct<weight:bigint,node:string>")
     while moved:
         down = (state.where("above_moved").select("repo_id", F.col("node").alias("src"), "above")
@@ -78,11 +80,11 @@ def _labels(live: DataFrame) -> DataFrame:
                             F.col("below").alias("old_below"))
         merged = kept.unionByName(offers).groupBy("repo_id", "node").agg(
             *[F.max(c).alias(c) for c in ("above", "below", "old_above", "old_below")])
-        state, moved = materialize(
+        state, moved = rounds.write(
             merged.select("repo_id", "node", "above", "below",
                           (F.col("above") > F.col("old_above")).alias("above_moved"),
                           (F.col("below") > F.col("old_below")).alias("below_moved")),
-            "labels", F.count_if(F.col("above_moved") | F.col("below_moved")))
+            F.count_if(F.col("above_moved") | F.col("below_moved")))
     return state.select("repo_id", "node", F.col("above.node").alias("above"),
                         F.col("below.node").alias("below"))
 

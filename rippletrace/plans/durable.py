@@ -44,8 +44,11 @@ def materialize(df: DataFrame, label: str = "step",
 
     ``measure`` replaces the row count by another aggregate taken during the write.
     """
+    return _write(df, new_path(df.sparkSession, label), measure)
+
+
+def _write(df: DataFrame, path: str, measure: Column | None) -> tuple[DataFrame, int]:
     spark = df.sparkSession
-    path = new_path(spark, label)
     seen = Observation()
     metric = (F.count(F.lit(1)) if measure is None else measure).alias("metric")
     df.observe(seen, metric).write.parquet(path)
@@ -56,9 +59,32 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     return materialize(df, label)[0]
 
 
+class Rounds:
+    """The state of an iteration: each round is written, then the one before it is dropped.
+
+    Only the newest round takes space. A round must be computed from the newest state and
+    from tables stored elsewhere.
+    """
+
+    def __init__(self, label: str):
+        self.label = label
+        self.path: str | None = None
+
+    def write(self, df: DataFrame, measure: Column | None = None) -> tuple[DataFrame, int]:
+        """Like ``materialize``, and drops the round that this one replaces."""
+        spark, before = df.sparkSession, self.path
+        self.path = new_path(spark, self.label)
+        out = _write(df, self.path, measure)
+        if before:
+            _delete(spark, before)
+        return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release(spark: SparkSession) -> None:
     """Drop every intermediate table of this application."""
-    root = f"{scratch_root(spark)}/rippletrace/{spark.sparkContext.applicationId}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{scratch_root(spark)}/rippletrace/{spark.sparkContext.applicationId}")

@@ -1,20 +1,52 @@
 """Level-synchronous traversal: one job per hop, all repositories at once.
 
-The state holds every node reached so far. A hop joins the newest nodes with the edge
-table and merges the candidates with the state in one aggregation, which combines
-before the shuffle; the smaller distance wins, so a node keeps its first visit. The
-new state is a stored table, and counting its newest nodes during the write tells
-when to stop. The frontier is broadcast only when its size is below the session
-threshold; a hot join key is split by the adaptive skew join.
+A hop joins the newest nodes with the edge table, keeps one visit per node, combined
+before the shuffle, and leaves out what an earlier hop has reached. Only the new layer is
+written, and counting it during the write tells when to stop; earlier layers are read by
+their keys alone and merged now and then, so plans stay small. The frontier is broadcast
+only when its size is below the session threshold; a hot join key is split by the
+adaptive skew join.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import materialize, stored
 
+#: Layers after which the keys reached so far are merged into one table.
+_MERGE_AFTER = 8
+
+
+class _Layers:
+    """What each hop reached, and the keys of all of it."""
+
+    def __init__(self, first: DataFrame, keys: list[str]):
+        self.keys = keys
+        self.layers: list[DataFrame] = []
+        self.known: list[DataFrame] = []
+        self.found = 0
+        self._add(first)
+
+    def _add(self, rows: DataFrame) -> None:
+        layer, self.found = materialize(rows, "layer")
+        self.newest = layer
+        self.layers.append(layer)
+        self.known.append(layer.select(*self.keys))
+        if len(self.known) > _MERGE_AFTER:
+            self.known = [stored(reduce(DataFrame.unionByName, self.known), "reached")]
+
+    def advance(self, visits: DataFrame) -> None:
+        """Keep the visits (one per key) that no earlier layer holds."""
+        reached = reduce(DataFrame.unionByName, self.known)
+        self._add(visits.join(reached, self.keys, "left_anti").select(*self.newest.columns))
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.layers)
+
 
 def trace_back(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """Reverse breadth-first search keeping one deterministic shortest path per node.
@@ -30,23 +62,21 @@ def trace_back(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
         "repo_id", "id", "src", F.col("dst").alias("node"), F.col("stale").alias("hop_stale"),
         "valid_from"), "edges")
     visit = ["distance", "seed", "trail", "stale", "newest"]
-    state, found = materialize(
-        seeds.select("repo_id", "node").distinct().select(
-            "repo_id", "node", F.lit(0).alias("distance"), F.col("node").alias("seed"),
-            F.array().cast("array<string>").alias("trail"), F.lit(False).alias("stale"),
-            F.lit(None).cast("long").alias("newest")), "reach")
+    reach = _Layers(seeds.select("repo_id", "node").distinct().select(
+        "repo_id", "node", F.lit(0).alias("distance"), F.col("node").alias("seed"),
+        F.array().cast("array<string>").alias("trail"), F.lit(False).alias("stale"),
+        F.lit(None).cast("long").alias("newest")), ["repo_id", "node"])
     depth = 0
-    while found and depth < max_depth:
+    while reach.found and depth < max_depth:
         depth += 1
-        step = state.where(F.col("distance") == depth - 1).join(edges, ["repo_id", "node"]).select(
+        step = reach.newest.join(edges, ["repo_id", "node"]).select(
             "repo_id", F.col("src").alias("node"), F.lit(depth).alias("distance"), "seed",
             F.concat("trail", F.array("id")).alias("trail"),
             (F.col("stale") | F.col("hop_stale")).alias("stale"),
             F.greatest("newest", "valid_from").alias("newest"))
-        merged = (state.unionByName(step).groupBy("repo_id", "node")
-                  .agg(F.min(F.struct(*visit)).alias("visit"))
-                  .select("repo_id", "node", "visit.*"))
-        state, found = materialize(merged, "reach", F.count_if(F.col("distance") == depth))
+        reach.advance(step.groupBy("repo_id", "node").agg(F.min(F.struct(*visit)).alias("visit"))
+                      .select("repo_id", "node", "visit.*"))
+    state = reach.all()
     return state.select("repo_id", "node", "distance", "seed", F.reverse("trail").alias("path"),
                         "stale", "newest")
 
@@ -60,13 +90,10 @@ def reach_set(edges: DataFrame, seeds: DataFrame, keys: list[str],
     """
     who = [*keys, *(labels or [])]
     edges = edges.select(*keys, F.col("src").alias("node"), "dst")
-    state, found = materialize(
-        seeds.select(*who, "node").distinct().withColumn("hops", F.lit(0)), "reach")
+    reach = _Layers(seeds.select(*who, "node").distinct().withColumn("hops", F.lit(0)), [*who, "node"])
     depth = 0
-    while found and (max_depth is None or depth < max_depth):
+    while reach.found and (max_depth is None or depth < max_depth):
         depth += 1
-        step = state.where(F.col("hops") == depth - 1).join(edges, [*keys, "node"]).select(
-            *who, F.col("dst").alias("node"), F.lit(depth).alias("hops"))
-        merged = state.unionByName(step).groupBy(*who, "node").agg(F.min("hops").alias("hops"))
-        state, found = materialize(merged, "reach", F.count_if(F.col("hops") == depth))
-    return state
+        step = reach.newest.drop("hops").join(edges, [*keys, "node"])
+        reach.advance(step.select(*who, F.col("dst").alias("node"), F.lit(depth).alias("hops")).distinct())
+    return reach.all()
