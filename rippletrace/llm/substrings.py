@@ -185,7 +185,8 @@ def _tables(df: DataFrame, id_col: str, text_col: str, length: int) -> tuple[Dat
     seeds = annotate(source, "body", "n_words long, seq binary, whole binary, anchors array<long>, around array<long>",
                      _seeds(length), keep_text=False)
     rows = stored(seeds, "seeds")
-    lead = rows.where(F.col("id").isNotNull()).groupBy("seq").agg(F.min("id").alias("lead"))
+    # stored, so that the joins with it can split the sequence that a third of all rows may share
+    lead = stored(rows.where(F.col("id").isNotNull()).groupBy("seq").agg(F.min("id").alias("lead")), "leads")
     each = stored(rows.drop("anchors", "around").join(lead, "seq", "left"), "rows")
     first_rows = (rows.select("seq", "id", F.arrays_zip("anchors", "around").alias("z")).where(F.size("z") > 0)
                   .join(lead.withColumnRenamed("lead", "id"), ["seq", "id"], "left_semi"))
