@@ -23,12 +23,14 @@ BUCKETS = 1 << 16
 DIMENSIONS = 16
 GRAMS = (3, 4, 5)
 #: Labelled rows to train on: the bound of what reaches the driver, chosen by a hash of the id.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 3000
 #: Passes over the sample: more where it is small.
 EPOCHS, UPDATES = (6, 30), 20_000
 #: Distinct words that a task remembers between blocks.
 MEMO = 150_000
 
+#: Buckets travel as 16-bit numbers around zero.
+_HALF = BUCKETS // 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 #: The pair of a word with itself is one feature for all words.
@@ -186,12 +188,12 @@ def _counted(df: DataFrame, text_col: str) -> DataFrame:
                 inner = pairs[end - n:max(end - n, end - 1)]
                 weight += _PAIR_WEIGHT * np.bincount(inner, minlength=BUCKETS)
                 there = np.flatnonzero(weight)
-                out_b.append(there.astype(np.int32))
+                out_b.append((there - _HALF).astype(np.int16))
                 out_c.append(weight[there].astype(np.float32))
             return out_b, out_c
         return work
 
-    return annotate(df, text_col, "buckets array<int>, counts array<float>", setup, keep_text=False)
+    return annotate(df, text_col, "buckets array<smallint>, counts array<float>", setup, keep_text=False)
 
 
 def fit(docs: DataFrame, labels: DataFrame, trusted: Column, label_col: str = "quality",
@@ -210,9 +212,11 @@ def fit(docs: DataFrame, labels: DataFrame, trusted: Column, label_col: str = "q
     counted = _counted(texts, text_col)
     order = F.xxhash64("buckets", "counts")
     got = counted.select(id_col, "_label", order.alias("_order"), "buckets", "counts").limit(2 * rows).toArrow()
-    place = sorted(range(got.num_rows), key=list(zip(*(got[c].to_pylist() for c in (id_col, "_order")), strict=True)).__getitem__)
-    labels_of = got["_label"].to_pylist()
-    return train([(got["buckets"][k].values.to_numpy(), got["counts"][k].values.to_numpy(), labels_of[k]) for k in place])
+    keys = list(zip(got[id_col].to_pylist(), got["_order"].to_pylist(), strict=True))
+    label = got["_label"].to_pylist()
+    return train([
+        (got["buckets"][k].values.to_numpy().astype(np.int32) + _HALF, got["counts"][k].values.to_numpy(), label[k])
+        for k in sorted(range(len(keys)), key=keys.__getitem__)])
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
