@@ -46,6 +46,14 @@ _CPP = [
     ("'cpp/inc/shared' || n || '.h'", "'#pragma once\n'", f"SELECT DISTINCT repo_id, n FROM ({_SUPPS}) x"),
 ]
 
+# a target tree in which whole directories belong to one target
+_LIFT = [
+    ("'x/s' || s || '/CMakeLists.txt'",
+     r"""'add_library(lib' || s || ' core/a.cpp core/deep/b.cpp top.cpp mix/l.cpp)\nadd_executable(exe' || s || '\n  bin/m.cpp mix/e.cpp)\n'""", _SUPPS),
+    *[(f"'x/s' || s || '/{name}.cpp'", "'int x;\n'", _SUPPS)
+      for name in ("core/a", "core/deep/b", "top", "mix/l", "bin/m", "mix/e")],
+]
+
 _stored: dict[tuple, object] = {}
 
 
@@ -183,6 +191,15 @@ def target_parents(spark, sf):
     return ownership.lift_single_owner_dirs(ranked, ownership.target_homes(ranked))
 
 
+def lifted_directories(spark, sf):
+    """Directories that move as a unit below their only owner, and the files that move alone."""
+    files = _corpus(spark, sf, "lift", _LIFT)
+    targets = stored(ownership.first_declarations(manifests.build_targets(files)), "lift-targets")
+    includes = resolve.resolve_cpp(scan.cpp_includes(files), resolve.cpp_roots(tree.listing_of(files)), files)
+    ranked = stored(ownership.rank_owners(ownership.target_claims(targets, files, includes), targets), "lift-ranked")
+    return ownership.lift_single_owner_dirs(ranked, ownership.target_homes(ranked))
+
+
 def secondary_owners(spark, sf):
     targets, ranked = _ranked(spark, sf)
     return ownership.secondary_owns_edges(ranked, targets).select("repo_id", "id", "src", "dst")
@@ -256,10 +273,7 @@ firsts AS MATERIALIZED (SELECT repo_id, n, min('lib' || s) AS target FROM supps
 nats AS MATERIALIZED (SELECT repo_id, count(DISTINCT n) AS c FROM supps GROUP BY repo_id)"""
 _PARENTS = """
 parents AS MATERIALIZED (
-  SELECT s.repo_id, 'cpp/t' || s.s AS rel, 'lib' || s.s AS target FROM supps s
-  JOIN firsts f ON f.repo_id = s.repo_id AND f.target = 'lib' || s.s WHERE false
-  UNION ALL
-  SELECT s.repo_id, 'cpp/t' || s.s || '/a.cpp', 'lib' || s.s FROM supps s
+  SELECT s.repo_id, 'cpp/t' || s.s || '/a.cpp' AS rel, 'lib' || s.s AS target FROM supps s
   UNION ALL
   SELECT s.repo_id, 'cpp/t' || s.s || '/lib' || s.s || '_app.cpp', 'lib' || s.s || '_app' FROM supps s
   UNION ALL
@@ -280,7 +294,7 @@ listing AS MATERIALIZED (
 QUERIES = {f.__name__: f for f in (
     python_imports, python_statements, python_definitions, symbol_references, symbol_nodes,
     python_package_list, typescript_imports, manifest_packages, declared_dependencies, external_packages,
-    cpp_include_edges, build_targets, target_owners, target_homes, target_parents, secondary_owners,
+    cpp_include_edges, build_targets, target_owners, target_homes, target_parents, lifted_directories, secondary_owners,
     target_module_lists, containment_tree, kept_listing, distribution_twins, edge_changes, listing_changes)}
 
 SQL = {
@@ -349,6 +363,10 @@ SELECT s.repo_id, 'lib' || s.s AS target, CASE WHEN f.target IS NULL THEN 'cpp/t
 FROM supps s LEFT JOIN firsts f ON f.repo_id = s.repo_id AND f.n = s.n AND f.target = 'lib' || s.s
 UNION ALL SELECT repo_id, 'lib' || s || '_app', 'cpp/t' || s FROM supps""", _MIN),
     "target_parents": _ask("SELECT repo_id, rel, target FROM parents", _MIN, _PARENTS),
+    "lifted_directories": _ask("""
+SELECT repo_id, 'x/s' || s || '/core' AS rel, 'lib' || s AS target FROM supps
+UNION ALL SELECT repo_id, 'x/s' || s || '/' || unnest(['top.cpp', 'mix/l.cpp']), 'lib' || s FROM supps
+UNION ALL SELECT repo_id, 'x/s' || s || '/' || unnest(['bin', 'mix/e.cpp']), 'exe' || s FROM supps"""),
     "secondary_owners": _ask("""
 SELECT repo_id, 'e:owns:tgt:lib' || s || '_app->file:cpp/t' || s || '/a.cpp' AS id, 'tgt:lib' || s || '_app' AS src,
        'file:cpp/t' || s || '/a.cpp' AS dst FROM supps"""),

@@ -132,6 +132,25 @@ def impact_for_view(spark, sf):
     return impact.impact_for_view(both, n, "package", True)
 
 
+def _two_changes(spark, sf):
+    ends = fleet.query(spark, sf, "SELECT repo_id, src, dst FROM imports").groupBy("repo_id").agg(
+        F.min("src").alias("a"), F.max("dst").alias("b"))
+    return ends.select("repo_id", F.explode(F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"))).alias("grp", "node"))
+
+
+def seed_overlap(spark, sf):
+    """Two changed files per repository, told apart."""
+    hits = impact.seed_overlap(fleet.nodes(spark, sf), fleet.edges(spark, sf), _two_changes(spark, sf), "file",
+                               Filters(edge_kinds=("imports",)))
+    return hits.withColumn("grps", F.array_join("grps", ","))
+
+
+def affected_between(spark, sf):
+    """A revision without the edges found on line 2, against the whole graph."""
+    n, e = fleet.nodes(spark, sf), fleet.edges(spark, sf)
+    return impact.affected_between((n, e.where("evidence.line <> 2")), (n, e), "file", Filters(3, ("imports",)))
+
+
 def dangling_edges(spark, sf):
     """Endpoints checked against a graph that has lost its stale files."""
     return integrity.check_endpoints(fleet.nodes(spark, sf).where("freshness <> 'stale'"),
@@ -253,7 +272,7 @@ QUERIES = {f.__name__: f for f in (
     hide_by_pattern, text_filter, architecture_nodes, filesystem_nodes, relevance_filter, hidden_count,
     only_affected, stale_filter, representatives, collapsed_edges, file_graph_edges, containment_edges,
     boundary_links, changed_nodes, impact_state, view_stats, impact_for_view, dangling_edges,
-    containment_problems, path_problems, impact_differences, integrity_report, graph_counts,
+    seed_overlap, affected_between, containment_problems, path_problems, impact_differences, integrity_report, graph_counts,
     impact_description, file_owners, package_dependencies, common_directories)}
 
 SQL = {
@@ -351,6 +370,19 @@ lseeds AS (SELECT 'file' AS level, * FROM seeds UNION ALL SELECT 'package', * FR
                            policy("usable", ("imports", "depends_on")), """
 ledges AS MATERIALIZED (SELECT CASE WHEN kind = 'imports' THEN 'file' ELSE 'package' END AS level, * FROM usable)""",
                            trace("ledges", "lseeds", keys="level, repo_id")),
+    "seed_overlap": ask("""
+SELECT repo_id, node, string_agg(grp, ',' ORDER BY grp) AS grps, CAST(count(*) AS INT) AS hits, min(distance) AS distance
+FROM found GROUP BY repo_id, node""", """
+gseeds AS (SELECT 'a' AS grp, repo_id, min(src) AS node FROM imports GROUP BY repo_id
+           UNION ALL SELECT 'b', repo_id, max(dst) FROM imports GROUP BY repo_id)""",
+                        policy("usable", ("imports",)), """
+gedges AS MATERIALIZED (SELECT g.grp, u.* FROM usable u, (VALUES ('a'), ('b')) g(grp))""",
+                        trace("gedges", "gseeds", keys="grp, repo_id")),
+    "affected_between": ask("SELECT DISTINCT repo_id, node, distance, true AS present FROM found",
+                            "came AS (SELECT DISTINCT repo_id, src AS node FROM edges WHERE line = 2)", """
+mseeds AS MATERIALIZED (
+  SELECT c.repo_id, c.node FROM came c JOIN nodes n ON n.repo_id = c.repo_id AND n.id = c.node AND n.kind = 'file')""",
+                            policy("usable", ("imports",)), trace("usable", "mseeds", depth=3)),
     "dangling_edges": ask("""
 SELECT DISTINCT e.repo_id, e.id FROM edges e WHERE
   NOT EXISTS (SELECT 1 FROM nodes n WHERE n.repo_id = e.repo_id AND n.id = e.src AND n.freshness <> 'stale')

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import is_dependency_kind, level_admits, worse_freshness
-from ..plans.frontier import trace_back
+from ..plans.durable import stored
+from ..plans.frontier import reach_set, trace_back
 from ..schemas import DEPENDENCY_KINDS, MAX_DEPTH
 from .ancestry import container_chain, nearest, project
+from .diff import graph_delta
+
+#: Changes that one question may tell apart.
+MAX_GROUPS = 64
 
 
 @dataclass(frozen=True)
@@ -72,6 +78,53 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, level: st
         .otherwise(F.array().cast("array<array<string>>")).alias("paths"))
 
 
+def seed_overlap(nodes: DataFrame, edges: DataFrame, groups: DataFrame, level: str,
+                 filters: Filters = Filters(), chain: DataFrame | None = None) -> DataFrame:
+    """Which of several changes can be felt at a node: repo_id, node, grps ARRAY, hits, distance.
+
+    groups: repo_id, grp, node, the seeds of each change. All changes share the rounds of one
+    search; ``distance`` is that of the nearest. Where ``hits`` is above 1 they meet.
+    """
+    names = groups.select("repo_id", "grp").distinct()
+    start = [project(nodes, groups.where(F.col("grp") == g).select("repo_id", "node"), level, chain).withColumn("grp", F.lit(g))
+             for g in sorted(r.grp for r in names.select("grp").distinct().limit(MAX_GROUPS + 1).collect())]
+    if len(start) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups of seeds")
+    if not start:
+        return groups.select("repo_id", "node", F.array("grp").alias("grps"), F.lit(0).alias("hits"), F.lit(0).alias("distance"))
+    dependents = admitted_ids(nodes, level).withColumnRenamed("id", "src")
+    usable = traversable(edges, filters).join(dependents, ["repo_id", "src"], "left_semi")
+    back = stored(usable.select("repo_id", F.col("dst").alias("src"), F.col("src").alias("dst")).distinct(), "back")
+    found = reach_set(back, reduce(DataFrame.unionByName, start).select("repo_id", "grp", "node"), ["repo_id"], ["grp"],
+                      filters.max_depth)
+    return found.groupBy("repo_id", "node").agg(
+        F.array_sort(F.collect_set("grp")).alias("grps"), F.count_distinct("grp").cast("int").alias("hits"),
+        F.min("hops").alias("distance"))
+
+
+def affected_between(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], level: str,
+                     filters: Filters = Filters()) -> DataFrame:
+    """What the step from one revision (nodes, edges) to another can be felt by.
+
+    Result: repo_id, node, distance, present (in the later revision). Nodes that came, changed
+    or got or lost a dependency are the seeds in the later graph; what is gone is looked up
+    in the earlier one, because only there its dependents still point to it.
+    """
+    (was_nodes, was_edges), (now_nodes, now_edges) = before, after
+    moved = graph_delta(was_nodes, now_nodes)
+    ends = was_edges.select("repo_id", "id", "src").unionByName(now_edges.select("repo_id", "id", "src")).distinct()
+    rewired = graph_delta(was_edges, now_edges).join(ends, ["repo_id", "id"]).select("repo_id", F.col("src").alias("node"))
+    seeds = stored(moved.select("repo_id", F.col("id").alias("node")).unionByName(rewired).distinct(), "moved")
+    here = now_nodes.select("repo_id", F.col("id").alias("node"))
+    later = blast_radius(now_nodes, now_edges, seeds.join(here, ["repo_id", "node"], "left_semi"), level, filters)
+    gone = moved.where("change = 'removed'").select("repo_id", F.col("id").alias("node"))
+    earlier = blast_radius(was_nodes, was_edges, gone, level, filters)
+    both = later.select("repo_id", "node", "distance").unionByName(earlier.select("repo_id", "node", "distance"))
+    felt = both.groupBy("repo_id", "node").agg(F.min("distance").alias("distance"))
+    return felt.join(here.withColumn("present", F.lit(True)), ["repo_id", "node"], "left").select(
+        "repo_id", "node", "distance", F.coalesce("present", F.lit(False)).alias("present"))
+
+
 def provider_reach(edges: DataFrame, seeds: DataFrame, baseline: DataFrame,
                    max_depth: int = MAX_DEPTH) -> DataFrame:
     """Reverse reach without node policy; an edge newer than the baseline names the cause.
