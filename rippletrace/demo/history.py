@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from .. import fleet
 from ..operators import diff, temporal
 from ..plans.durable import new_path, stored
+from .. import schemas as S
 from ..schemas import EDGES, NODES
 from ..sources import events as reader
+from ..sources import snapshot
 from ..streaming import live
+from .sqltext import ask
 
 # One line of JSON per event. Plain changes, graph updates, adapter reports, impact
 # results and checkpoints alternate by event id, so every payload type occurs.
@@ -181,6 +184,44 @@ def _live_events(spark, sf):
     return reader.decode_events(lines).where("problem is null").drop("problem")
 
 
+def _written_log(spark, sf):
+    """The rendered log as text files, a folder per repository; written once per application."""
+    key = (spark.sparkContext.applicationId, sf, "files")
+    if key not in _stored:
+        path = new_path(spark, "log-files")
+        _lines(spark, sf).select("repo_id", "value").write.partitionBy("repo_id").text(path)
+        _stored[key] = path
+    return _stored[key]
+
+
+def events_read_back(spark, sf):
+    """The log written as lines and read from its files."""
+    found = reader.read_events(spark, _written_log(spark, sf), F.regexp_extract("file", "repo_id=([^/]+)", 1))
+    good, _ = reader.validate_events(found)
+    return good.select("repo_id", "type", "t_ms", "generation", "node_id", "change", "processing", "from_path")
+
+
+def changed_files_from_files(spark, sf):
+    """The same files as a stream: read as they arrive, decoded, folded into the table of changed files."""
+    place = F.regexp_extract(F.col("_metadata.file_path"), "repo_id=([^/]+)", 1)
+    seq = (F.get_json_object("value", "$.t_ms").cast("double") - 0.5).cast("long")
+    source = live.stream_events(spark, _written_log(spark, sf) + "/*", place, seq).where("problem is null").drop("problem")
+    return live.changed_files_stream(source, new_path(spark, "table"), new_path(spark, "progress")).drop("deleted")
+
+
+def nodes_read_back(spark, sf):
+    """The fleet written as one document per repository and read again."""
+    n, e = fleet.nodes(spark, sf), fleet.edges(spark, sf)
+    named = {name: F.lit(name) for name in ("root", "head", "branch", "session_id", "session_name")}
+    meta = n.select("repo_id", F.col("repo_id").alias("name")).distinct().withColumns(named | {
+        "generation": F.lit(3).cast("long"), "baseline_generation": F.lit(1).cast("long"), "detached": F.lit(False)})
+    path = new_path(spark, "snapshots")
+    snapshot.write_snapshot(n.select("repo_id", *[f.name for f in S.NODE.fields]),
+                            e.select("repo_id", *[f.name for f in S.EDGE.fields]), meta, path, "fleet.snapshot/1")
+    nodes, _, _ = snapshot.read_snapshot(spark, path)
+    return nodes.select("repo_id", "id", "kind", "path", "parent", "freshness")
+
+
 def changed_files_streamed(spark, sf):
     return live.changed_files_stream(_live_events(spark, sf), new_path(spark, "table"),
                                      new_path(spark, "progress")).drop("deleted")
@@ -282,7 +323,7 @@ QUERIES = {f.__name__: f for f in (
     decoded_events, quarantined_events, changed_files, changed_files_until, adapter_status, latest_impact,
     checkpoints, current_generation, session_summary, event_log, timeline_markers, graph_nodes_at,
     graph_edges_at, graph_edges_midway, graph_delta, endpoint_warnings, generation_violations,
-    dead_letters, change_bursts, changed_files_streamed, adapter_status_streamed, latest_impact_streamed,
+    dead_letters, change_bursts, events_read_back, changed_files_from_files, nodes_read_back, changed_files_streamed, adapter_status_streamed, latest_impact_streamed,
     graph_edges_streamed,
     bursts_streamed)}
 
@@ -351,6 +392,11 @@ SELECT repo_id, burst, min(t) AS start_ms, max(t) AS end_ms, count(*) AS changes
     SELECT *, t_ms * 10 AS t, CASE WHEN t_ms * 10 - lag(t_ms * 10) OVER (PARTITION BY repo_id ORDER BY seq) < 120
            THEN 0 ELSE 1 END AS opens FROM log WHERE type = 'file.changed') a) b
 GROUP BY repo_id, burst"""),
+    "events_read_back": _ask("""
+SELECT repo_id, type, t_ms, generation, CASE WHEN type = 'file.changed' THEN 'file:' || path END AS node_id,
+       change, processing, from_path FROM log"""),
+    "changed_files_from_files": _ask(_CHANGED),
+    "nodes_read_back": ask("SELECT repo_id, id, kind, path, parent, freshness FROM nodes"),
     "changed_files_streamed": _ask(_CHANGED),
     "adapter_status_streamed": _ask(_ADAPTER),
     "latest_impact_streamed": _ask("""
