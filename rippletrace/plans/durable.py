@@ -76,15 +76,16 @@ class Rounds:
         self.path = new_path(spark, self.label)
         out = _write(df, self.path, measure)
         if before:
-            _delete(spark, before)
+            drop(spark, before)
         return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a stored folder."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:
     """Drop every intermediate table of this application."""
-    _delete(spark, f"{scratch_root(spark)}/rippletrace/{spark.sparkContext.applicationId}")
+    drop(spark, f"{scratch_root(spark)}/rippletrace/{spark.sparkContext.applicationId}")

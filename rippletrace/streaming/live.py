@@ -11,17 +11,22 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.impact import Filters, blast_radius
 from ..operators.temporal import (
     adapter_aggregates, changed_file_aggregates, state_at,
 )
 from ..plans.blocks import running
-from ..plans.durable import stored
+from ..plans.durable import drop, stored
 from ..schemas import DEAD_LETTER_LIMIT, EDGES, NODES
 from ..sources.events import decode_events
 
 
+#: States that a fold keeps: the newest, and some before it for readers that are still at work.
+KEPT_VERSIONS = 4
+
+
 def stream_events(spark: SparkSession, path: str, repo_id: Column, seq: Column) -> DataFrame:
     """Decoded events of NDJSON files arriving under ``path``.
 
@@ -34,30 +39,52 @@ def stream_events(spark: SparkSession, path: str, repo_id: Column, seq: Column)
     return decode_events(lines.withColumn("line", F.col("value")))
 
 
+def start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str,
+          trigger: dict | None = None) -> StreamingQuery:
+    """Start a query. Without a trigger it works off what is there and ends; with one, such as
+    ``{"processingTime": "1 second"}``, it stays live until its handle is stopped."""
+    return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).foreachBatch(each).start())
+
+
 def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str) -> None:
-    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).foreachBatch(each).start())
-    query.awaitTermination()
+    start(stream, each, checkpoint, mode).awaitTermination()
 
 
-def upsert_stream(rows: DataFrame, keys: list[str], aggregates: list[Column], path: str,
-                  checkpoint: str) -> DataFrame:
-    """Keep one aggregated row per key up to date and return the table.
+def _versions(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps each batch in a folder of its id; a retried batch overwrites its own."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+    return each
+
+
+def upserts(rows: DataFrame, keys: list[str], aggregates: list[Column], path: str, checkpoint: str,
+            trigger: dict | None = None) -> tuple[StreamingQuery, Callable[[], DataFrame]]:
+    """Keep one aggregated row per key up to date: the query's handle, and how to read the table now.
 
     The streaming aggregate is partial before its shuffle. Each batch stores the rows it
     changed; the newest version of a key is its current row.
     """
     updates = rows.groupBy(*keys).agg(*aggregates)
     spark = rows.sparkSession
+    query = start(updates, _versions(path), checkpoint, "update", trigger)
+    rest = [c for c in updates.columns if c not in keys]
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+    def current() -> DataFrame:
+        versions = (spark.read.schema(updates.schema.add("version", "long")).option("basePath", path)
+                    .parquet(f"{path}/version=*"))
+        return (versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("now"))
+                .select(*keys, "now.*"))
 
-    _run(updates, each, checkpoint, "update")
-    rest = [c for c in updates.columns if c not in keys]
-    table = spark.read.schema(updates.schema.add("version", "long")).option("basePath", path).parquet(path)
-    return (table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("now"))
-            .select(*keys, "now.*"))
+    return query, current
+
+
+def upsert_stream(rows: DataFrame, keys: list[str], aggregates: list[Column], path: str,
+                  checkpoint: str) -> DataFrame:
+    """``upserts`` over what is there now: the table once the backlog is worked off."""
+    query, current = upserts(rows, keys, aggregates, path, checkpoint)
+    query.awaitTermination()
+    return current()
 
 
 def changed_files_stream(events: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -104,13 +131,8 @@ def burst_stream(changes: DataFrame, gap: str, path: str, checkpoint: str,
     spark = changes.sparkSession
     bursts = _sessions(changes.withWatermark("ts", delay), gap)
 
-    def keep(name: str) -> Callable[[DataFrame, int], None]:
-        def each(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{path}/{name}/version={batch_id}")
-        return each
-
-    _run(changes, keep("changes"), f"{checkpoint}/changes", "append")
-    _run(bursts, keep("closed"), f"{checkpoint}/closed", "append")
+    _run(changes, _versions(f"{path}/changes"), f"{checkpoint}/changes", "append")
+    _run(bursts, _versions(f"{path}/closed"), f"{checkpoint}/closed", "append")
     seen, closed = _burst_tables(spark, path, changes.schema, bursts.schema)
     upto = closed.groupBy("repo_id").agg(F.max("burst_end").alias("upto"))
     rest = seen.join(upto, "repo_id", "left").where("upto is null or ts >= upto").drop("upto")
@@ -182,17 +204,16 @@ def _last_version(spark: SparkSession, path: str) -> int:
     return max(done, default=-1)
 
 
-def fold_stream(events: DataFrame, nodes: DataFrame, edges: DataFrame, path: str, checkpoint: str,
-                on_state: Callable[[DataFrame, DataFrame, DataFrame, int], None] | None = None
-                ) -> tuple[DataFrame, DataFrame]:
-    """Graph state kept by a stream of events, snapshots and cascades included.
+def fold(events: DataFrame, nodes: DataFrame, edges: DataFrame, path: str, checkpoint: str,
+         on_state: Callable[[DataFrame, DataFrame, DataFrame, int], None] | None = None, trigger: dict | None = None
+         ) -> tuple[StreamingQuery, Callable[[], tuple[DataFrame, DataFrame]]]:
+    """Graph state kept by a stream of events: the query's handle, and how to read (nodes, edges) now.
 
-    Batch ``n`` applies its events to the tables of batch ``n - 1`` and writes new ones.
-    ``on_state(batch, nodes, edges, id)`` may derive more from each state. A restart without
-    new events returns the last state that was written.
+    Batch ``n`` applies its events to the tables of batch ``n - 1`` and writes new ones; all but
+    the last ``KEPT_VERSIONS`` are dropped. ``on_state(batch, nodes, edges, id)`` may derive more
+    from each state.
     """
     spark = events.sparkSession
-    last = {"id": _last_version(spark, path)}
 
     def tables(batch_id: int) -> tuple[DataFrame, DataFrame]:
         if batch_id < 0:
@@ -206,12 +227,25 @@ def fold_stream(events: DataFrame, nodes: DataFrame, edges: DataFrame, path: str
         now_nodes, now_edges = state_at(was_nodes, was_edges, batch)
         now_nodes.select(*NODES.names).write.mode("overwrite").parquet(f"{path}/version={batch_id}/nodes")
         now_edges.select(*EDGES.names).write.mode("overwrite").parquet(f"{path}/version={batch_id}/edges")
-        last["id"] = batch_id
         if on_state is not None:
             on_state(batch, *tables(batch_id), batch_id)
+        if batch_id >= KEPT_VERSIONS:
+            drop(spark, f"{path}/version={batch_id - KEPT_VERSIONS}")
+
+    query = start(events, each, checkpoint, "append", trigger)
+    return query, lambda: tables(_last_version(spark, path))
+
+
+def fold_stream(events: DataFrame, nodes: DataFrame, edges: DataFrame, path: str, checkpoint: str,
+                on_state: Callable[[DataFrame, DataFrame, DataFrame, int], None] | None = None
+                ) -> tuple[DataFrame, DataFrame]:
+    """``fold`` over what is there now, snapshots and cascades included.
 
-    _run(events, each, checkpoint, "append")
-    return tables(last["id"])
+    A restart without new events returns the last state that was written.
+    """
+    query, current = fold(events, nodes, edges, path, checkpoint, on_state)
+    query.awaitTermination()
+    return current()
 
 
 def impact_on_change(batch: DataFrame, nodes: DataFrame, edges: DataFrame, changed: DataFrame,
@@ -236,8 +270,4 @@ def dead_letters(events: DataFrame, limit: int = DEAD_LETTER_LIMIT) -> DataFrame
 def write_dead_letters(events: DataFrame, path: str, checkpoint: str) -> None:
     """Side sink of a live stream: every bad line with its reason."""
     bad = events.where("problem is not null").select("repo_id", "seq", "line", "problem")
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    _run(bad, each, checkpoint, "append")
+    _run(bad, _versions(path), checkpoint, "append")

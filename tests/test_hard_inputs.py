@@ -172,3 +172,18 @@ def test_a_restarted_fold_returns_what_it_stored(spark, tmp_path):
 
     assert rows(run(), "id") == [("file:a",)]
     assert rows(run(), "id") == [("file:a",)]
+
+
+def test_a_live_query_goes_on_until_it_is_stopped(spark, tmp_path):
+    source = _changes(spark, str(tmp_path / "in"), [("one", [("r", "2024-01-01 00:00:00", "a", "modified")])])
+    query, current = live.upserts(source, ["repo_id"], [F.count(F.lit(1)).alias("n")], str(tmp_path / "out"),
+                                  str(tmp_path / "progress"), {"processingTime": "0 seconds"})
+    try:
+        query.processAllAvailable()
+        assert query.isActive and rows(current(), "repo_id", "n") == [("r", 1)]
+        spark.createDataFrame([("r", "2024-01-01 00:01:00", "b", "created")], "repo_id string, ts string, path string, change string").withColumn(
+            "ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in" / "two"))
+        query.processAllAvailable()
+        assert rows(current(), "repo_id", "n") == [("r", 2)]
+    finally:
+        query.stop()
