@@ -239,13 +239,27 @@ def distribution_twins(spark, sf):
             .unionByName(modules.select("repo_id", F.lit("module").alias("what"), F.col("node").alias("value"))))
 
 
-def edge_changes(spark, sf):
-    """Imports of one half-year against the next, as two versions of one repository."""
+def _edge_changes(spark, sf, family):
     both = fleet.edges(spark, sf, table="imports").drop("ord")
     n = F.expr("cast(substring(repo_id, 2) as int)")
     before = both.withColumn("repo_id", (n * 2).cast("string"))
     after = both.withColumn("repo_id", F.when(n % 10 == 0, n * 2 + 2).otherwise(n * 2 + 18).cast("string"))
-    return diff.reconcile_edges(after, before, 7).select("repo_id", "id", "change", "valid_from")
+    return diff.reconcile_edges(after, before, 7, family).select("repo_id", "id", "change", "valid_from")
+
+
+def edge_changes(spark, sf):
+    """Imports of one half-year against the next, as two versions of one repository."""
+    return _edge_changes(spark, sf, "imports")
+
+
+def edge_changes_symbols(spark, sf):
+    """The same by the rule of symbol edges: how sure an edge is does not count."""
+    return _edge_changes(spark, sf, "symbols")
+
+
+def edge_changes_aggregated(spark, sf):
+    """The same by the rule of folded edges: the text of the line does not count."""
+    return _edge_changes(spark, sf, "aggregated")
 
 
 def listing_changes(spark, sf):
@@ -291,11 +305,24 @@ listing AS MATERIALIZED (
   UNION ALL SELECT DISTINCT repo_id, 'cpp/include/s' || s, true FROM pairs
   UNION ALL SELECT DISTINCT repo_id, 'cpp/t' || s, true FROM supps)"""
 
+
+
+def _changes(same: str) -> str:
+    return _ask(f"""
+SELECT CAST(coalesce(a.r, b.r) AS STRING) AS repo_id, coalesce(a.id, b.id) AS id,
+       CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed'
+            WHEN {same} THEN 'kept' ELSE 'updated' END AS change, coalesce(a.valid_from, 7) AS valid_from
+FROM (SELECT *, CASE WHEN h % 10 = 0 THEN h * 2 + 2 ELSE h * 2 + 18 END AS r FROM numbered) a
+FULL JOIN (SELECT *, h * 2 AS r FROM numbered) b ON a.r = b.r AND a.id = b.id""",
+                "numbered AS (SELECT *, CAST(substring(repo_id, 2) AS INT) AS h FROM imports)")
+
+
 QUERIES = {f.__name__: f for f in (
     python_imports, python_statements, python_definitions, symbol_references, symbol_nodes,
     python_package_list, typescript_imports, manifest_packages, declared_dependencies, external_packages,
     cpp_include_edges, build_targets, target_owners, target_homes, target_parents, lifted_directories, secondary_owners,
-    target_module_lists, containment_tree, kept_listing, distribution_twins, edge_changes, listing_changes)}
+    target_module_lists, containment_tree, kept_listing, distribution_twins, edge_changes, edge_changes_symbols,
+    edge_changes_aggregated, listing_changes)}
 
 SQL = {
     "python_imports": _ask("""
@@ -390,14 +417,9 @@ WHERE NOT (rel LIKE '%.h' AND NOT regexp_matches(rel, '/shared1[^/]*\\.h$'))
 SELECT DISTINCT repo_id, 'kept' AS what, 'src/s' || s AS value FROM supps WHERE s <> 0
 UNION ALL SELECT DISTINCT repo_id, 'home', 'src/s0' FROM supps WHERE s = 0
 UNION ALL SELECT DISTINCT repo_id, 'module', 'file:src/s0/__init__.py' FROM supps WHERE s = 0"""),
-    "edge_changes": _ask("""
-SELECT CAST(coalesce(a.r, b.r) AS STRING) AS repo_id, coalesce(a.id, b.id) AS id,
-       CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed'
-            WHEN a.confidence = b.confidence AND a.line = b.line THEN 'kept' ELSE 'updated' END AS change,
-       coalesce(a.valid_from, 7) AS valid_from
-FROM (SELECT *, CASE WHEN h % 10 = 0 THEN h * 2 + 2 ELSE h * 2 + 18 END AS r FROM numbered) a
-FULL JOIN (SELECT *, h * 2 AS r FROM numbered) b ON a.r = b.r AND a.id = b.id""",
-                         "numbered AS (SELECT *, CAST(substring(repo_id, 2) AS INT) AS h FROM imports)"),
+    "edge_changes": _changes("a.confidence = b.confidence AND a.line = b.line"),
+    "edge_changes_symbols": _changes("a.line = b.line AND a.dst = b.dst"),
+    "edge_changes_aggregated": _changes("a.confidence = b.confidence AND a.line = b.line AND a.src = b.src"),
     "listing_changes": _ask("""
 SELECT CAST(coalesce(a.r, b.h) AS STRING) AS repo_id, 'p' || coalesce(a.p, b.p) AS rel, false AS is_dir,
        CASE WHEN a.p IS NULL THEN 'fresh' WHEN b.p IS NULL THEN 'removed' ELSE 'modified' END AS change
