@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from .common import blocks
 
 #: Pieces whose ids a task remembers between blocks.
-MEMO = 200_000
+MEMO = 350_000
 #: A rank file is sent to every executor; beyond this size it isn't a vocabulary.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -166,15 +166,16 @@ class Replay:
 
 
 class _Pieces(dict):
-    """Number of each piece, in order of first sight; whether its ends are uneven (white space)."""
+    """Number of each piece, in order of first sight; those with uneven ends (white space)."""
 
     def __init__(self):
-        self.uneven: list[bool] = []
+        self.uneven: set[int] = set()
 
     def __missing__(self, piece: str) -> int:
         core = piece[1:] if piece[:1] == " " else piece
-        self.uneven.append(not core or core[0].isspace() or core[-1].isspace())
         self[piece] = code = len(self)
+        if not core or core[0].isspace() or core[-1].isspace():
+            self.uneven.add(code)
         return code
 
 
@@ -233,7 +234,7 @@ class Encoder:
             plain = "\0" not in text
             pieces = text.replace(" ", "\0 ").split("\0") if plain else self._pieces(text)
             codes = list(map(self.code.__getitem__, pieces))
-            if plain and any(map(self.code.uneven.__getitem__, codes)):
+            if plain and not self.code.uneven.isdisjoint(codes):
                 codes = list(map(self.code.__getitem__, self._pieces(text)))
             per_text.append(codes)
         self._learn()
