@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructType
 
 #: Bytes of text handed to one call of a block worker: bounds a task's memory whatever a batch holds.
 BLOCK_BYTES = 4_000_000
@@ -53,7 +53,7 @@ def annotate(df: DataFrame, text_col: str, fields: str, setup: Callable[[], Work
     new one is replaced; all others are handed on as they are (the text itself only with
     ``keep_text``). Names are compared without regard to case, as Spark does.
     """
-    added = _parse_datatype_string(fields)
+    added = StructType.fromDDL(fields)
     names = {f.name.lower() for f in added}
     kept = [f for f in df.schema if f.name.lower() not in names]
     if text_col.lower() in names:
