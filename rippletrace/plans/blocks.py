@@ -52,8 +52,13 @@ def running(df: DataFrame, keys: list[str], order: list[str],
             carried.append(outer(f"_t_{name}").over(before).alias(f"_c_{name}"))
             local.append(_WINDOW[kind](source).over(inside).alias(f"_w_{name}"))
 
-    carry = blocks.groupBy(*keys, "_block").agg(*totals).select(*keys, "_block", *carried)
-    joined = blocks.select("*", *local).join(carry, [*keys, "_block"], "left")
+    # null is a key like any other
+    carry = blocks.groupBy(*keys, "_block").agg(*totals).select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_block").alias("_of_block"), *carried)
+    same = F.col("_block") == F.col("_of_block")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    joined = blocks.select("*", *local).join(carry, same, "left")
 
     outputs = []
     for name, (kind, _) in specs.items():

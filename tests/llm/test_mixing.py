@@ -48,6 +48,26 @@ def test_targets_and_taken_words(spark):
     _check(spark, [(1, "", "a")])
 
 
+def test_null_source_over_several_blocks(spark):
+    import duckdb
+
+    from rippletrace.llm.queries import _OP6_SQL
+
+    rows = [(k, "w " * (k % 7 + 1), None if k % 3 else f"s{k % 2}") for k in range(600)]
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merge)
+    spark.conf.set(merge, "false")
+    try:
+        got = _check(spark, rows)
+    finally:
+        spark.conf.set(merge, before)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").toArrow()
+    con = duckdb.connect()
+    con.register("documents", docs)
+    expected = con.execute(f"SELECT doc_id, taken FROM ({_OP6_SQL})").fetchall()
+    assert sorted((r.id, r.taken) for r in got) == sorted(expected)
+
+
 def test_mix_repeats_what_the_plan_takes(spark):
     rows = [(k, " ".join(f"d{k}w{j}" for j in range(k % 5 + 1)), f"s{k % 3}") for k in range(60)] + [(99, "x y z", "t")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
