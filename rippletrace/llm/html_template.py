@@ -54,28 +54,67 @@ _TOKEN = re.compile(
     r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*+)>", re.DOTALL)
 _NAMING = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _NUMBER = re.compile(r"\d+")
+# what tells that an element is furniture: its tag, or only its names
+_SURE, _HINT = 2, 1
 
 
 class Element:
-    __slots__ = ("tag", "path", "furniture", "inside")
+    __slots__ = ("tag", "path", "parent", "inside", "role", "sure", "furniture", "mass", "holds")
 
-    def __init__(self, tag: str, path: str, furniture: bool, inside: tuple[str, ...]):
-        self.tag, self.path, self.furniture, self.inside = tag, path, furniture, inside
+    def __init__(self, tag: str, path: str, parent: Element | None, inside: tuple[str, ...], role: int = 0):
+        self.tag, self.path, self.parent, self.inside, self.role = tag, path, parent, inside, role
+        self.sure = role == _SURE or (parent is not None and parent.sure)
+        self.furniture, self.mass, self.holds = False, 0, False
 
 
-def _name(tag: str, attributes: str) -> tuple[str, bool]:
-    """Token of an element below its parent, and whether its names tell that it is furniture."""
-    named, role = [tag], tag in _FURNITURE
+def _name(tag: str, attributes: str, within: bool) -> tuple[str, int]:
+    """Token of an element below its parent, and whether its tag or only its names tell that it is furniture.
+
+    ``within`` an article or main element, a header is not furniture.
+    """
+    named, role = [tag], _SURE if tag in _FURNITURE else 0
     if attributes and ("=" in attributes):
         for m in _NAMING.finditer(attributes):
             value = " ".join((m[2] or m[3] or m[4] or "").lower().split())
             named.append(("#" if m[1].lower() == "id" else ".") + _NUMBER.sub("0", value))
-            role = role or bool(_ROLE.search(value))
-    if tag in ("article", "main", "body", "html"):
-        role = False
+            role = role or (_HINT if _ROLE.search(value.replace("header", "") if within else value) else 0)
+    if tag in ("body", "html"):
+        role = 0
     return "".join(named), role
 
 
+def _settle(found: list[tuple[str, Element]], elements: list[Element], bodies: list[Element]) -> None:
+    """Decide which elements are furniture.
+
+    Names are a hint only. An element with most of the page's text below headings is not furniture if it contains an
+    article or main element, or if hardly any text of such elements is elsewhere; nor is any named one
+    where nothing else has text.
+    """
+    total = 0
+    for text, element in found:
+        if text and not element.sure and not re.fullmatch("h[1-6]", element.tag):
+            total += len(text)
+            at: Element | None = element
+            while at:
+                at.mass += len(text)
+                at = at.parent
+    for body in bodies:
+        at = body.parent
+        while at:
+            at.holds = True
+            at = at.parent
+    for e in elements:
+        if e.role == _HINT and 2 * e.mass > total:
+            other = max((b.mass - (e.mass if b.path in e.inside else 0) for b in bodies), default=0)
+            if e.holds or 50 * other < total:
+                e.role = 0
+    for hints in (True, False):
+        for e in elements:
+            e.furniture = e.sure or (hints and e.role == _HINT) or (e.parent is not None and e.parent.furniture)
+        if any(t and not e.furniture for t, e in found):
+            return
+
+
 def read(page: str) -> list[tuple[str, tuple[str, ...], bool]]:
     """Blocks of a page in order: text, the tokens (paths) around it, and whether it is furniture.
 
@@ -83,8 +122,10 @@ def read(page: str) -> list[tuple[str, tuple[str, ...], bool]]:
     Raw elements give nothing. Unclosed and stray tags are taken as browsers take them,
     more or less.
     """
-    out: list[tuple[str, tuple[str, ...], bool]] = []
-    stack = [Element("", "", False, ())]
+    out: list[tuple[str, Element]] = []
+    stack = [Element("", "", None, ())]
+    elements: list[Element] = [stack[0]]
+    bodies: list[Element] = []
     piece: list[str] = []
 
     def flush() -> None:
@@ -92,7 +133,7 @@ def read(page: str) -> list[tuple[str, tuple[str, ...], bool]]:
             text = " ".join(html.unescape("".join(piece)).split())
             piece.clear()
             if text:
-                out.append((text, stack[-1].inside, stack[-1].furniture))
+                out.append((text, stack[-1]))
 
     at = 0
     m = _TOKEN.search(page)
@@ -114,12 +155,19 @@ def read(page: str) -> list[tuple[str, tuple[str, ...], bool]]:
                     stack.pop()
                 if tag not in _VOID:
                     parent = stack[-1]
-                    own, role = _name(tag, m[3])
-                    if tag == "header" and not any(t in parent.path for t in (">article", ">main")):
-                        role = True
+                    within = any(t in parent.path for t in (">article", ">main"))
+                    own, role = _name(tag, m[3], within)
+                    if tag == "header" and not within:
+                        role = _SURE
                     path = f"{parent.path}>{own}"
-                    stack.append(Element(tag, path, parent.furniture or role, (*parent.inside, path)))
-                    out.append(("", stack[-1].inside, stack[-1].furniture))
+                    element = Element(tag, path, parent, (*parent.inside, path), role)
+                    if tag in ("article", "main"):
+                        if not role:
+                            bodies.append(element)
+                        element.role = 0
+                    stack.append(element)
+                    elements.append(element)
+                    out.append(("", element))
         elif tag and m[1] and tag not in _INLINE:
             flush()
             for depth in range(len(stack) - 1, 0, -1):
@@ -130,7 +178,8 @@ def read(page: str) -> list[tuple[str, tuple[str, ...], bool]]:
     if at < len(page):
         piece.append(page[at:])
     flush()
-    return out
+    _settle(out, elements, bodies)
+    return [(text, e.inside, e.furniture) for text, e in out]
 
 
 def profile(page: str) -> tuple[list[str], list[int], list[float]]:

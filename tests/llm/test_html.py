@@ -34,3 +34,14 @@ def test_classes_are_occurrence_vectors(spark):
     assert once["class"] == rows[">body"]["class"] and once.once and once.pages == 4
     assert not rows[">body>article>p"].once and rows[">body>section"].pages == 2
     assert len({r["class"] for r in rows.values()}) == 3
+
+
+def test_names_of_wrappers_are_hints():
+    body = "<article><div class='entry-header'><h1>Title</h1></div><p>The text of the page.<div class='comments'>no</div></article>"
+    for name in ("content has-sidebar", "no-sidebar", "page with-comments", "search-results", "wrapper menu-open"):
+        page = f"<body><nav>n</nav><div class='{name}'>{body}</div><div class='sidebar'>side</div></body>"
+        assert html_template.extract(page, set()) == "Title The text of the page."
+        plain = f"<body><div class='{name}'><p>The text of the page.</p></div><footer>f</footer></body>"
+        assert html_template.extract(plain, set()) == "The text of the page."
+    talk = f"<body><article><p>Short text.</p><div class='comments'>{'long talk ' * 20}</div></article></body>"
+    assert html_template.extract(talk, set()) == "Short text."
