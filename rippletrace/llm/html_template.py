@@ -238,7 +238,9 @@ def templates(pages: DataFrame, host_col: str = "host", html_col: str = "html")
     named = pages.select(F.col(host_col).alias("host"), F.col("_page"), F.col(html_col).alias("body"))
     seen = annotate(named, "body", "tokens array<string>, times array<long>, shares array<double>", setup, keep_text=False)
     rows = seen.select("host", "_page", F.explode(F.arrays_zip("tokens", "times", "shares")).alias("t"))
-    vector = F.bit_xor(F.xxhash64("_page", F.col("t.times")))
+    # a sum, so that repeated rows do not cancel; by halves, so that it does not overflow
+    one = F.xxhash64("_page", F.col("t.times"))
+    vector = F.xxhash64(F.sum(one.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftrightunsigned(one, 32)))
     return rows.groupBy("host", F.col("t.tokens").alias("token")).agg(
         F.count(F.lit(1)).alias("pages"), vector.alias("class"), (F.max("t.times") == 1).alias("once"),
         F.avg("t.shares").alias("share"))

@@ -45,3 +45,12 @@ def test_names_of_wrappers_are_hints():
         assert html_template.extract(plain, set()) == "The text of the page."
     talk = f"<body><article><p>Short text.</p><div class='comments'>{'long talk ' * 20}</div></article></body>"
     assert html_template.extract(talk, set()) == "Short text."
+
+
+def test_repeated_rows_do_not_cancel(spark):
+    page = "<body><p>loose</p><article>{}</article></body>"
+    rows = [(k, f"http://a.b/{k}", page.format(f"<p>a long text of page {k}</p>" * 4)) for k in range(4)] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    once = {r.page_id: r.text for r in html_template.main_text(df.distinct()).collect()}
+    got = html_template.main_text(df).collect()
+    assert len(got) == 8 and all(r.text == once[r.page_id] and "loose" not in r.text for r in got)
