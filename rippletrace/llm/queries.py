@@ -10,7 +10,19 @@ from pyspark.sql import functions as F
 
 from rippletrace.plans.durable import stored
 
-from . import bpe, html_template, mixing, quality_model, quality_rules, secrets, simhash, spotsigs, substrings, url_filter
+from . import (
+    bpe,
+    html_template,
+    mixing,
+    quality_model,
+    quality_rules,
+    rank_array,
+    secrets,
+    simhash,
+    spotsigs,
+    substrings,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Words as the contracts name them, as a DuckDB pattern.
@@ -229,6 +241,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM b"""
 
 
+def op12_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = rank_array.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    both = rank_array.encode(docs, vocabulary, ids_col=None, packed_col="packed", decoded_col="decoded")
+    return both.select("doc_id", (F.octet_length("packed") / 4).cast("long").alias("n_tokens"),
+                       _sha("packed").alias("ids_sha256"), _sha("decoded").alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
@@ -240,6 +260,7 @@ QUERIES: dict[str, Query] = {
     "op8_spotsigs": op8_spotsigs,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op12_rank_array_bpe": op12_rank_array_bpe,
 }
 
 SQL: dict[str, str] = {
