@@ -12,8 +12,10 @@ from rippletrace.plans.durable import stored
 
 from . import (
     bpe,
+    collocations,
     html_template,
     mixing,
+    periodic_runs,
     quality_model,
     quality_rules,
     rank_array,
@@ -241,6 +243,49 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM b"""
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir).select("lang", "text"))
+
+
+_OP11_SQL = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (
+  SELECT lang, ws, count(*) AS times
+  FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p) GROUP BY lang, ws),
+g AS (
+  SELECT lang, size, phrase, CAST(sum(times) AS BIGINT) AS f
+  FROM (SELECT lang, times, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase
+        FROM (SELECT lang, ws, times, size, unnest(range(1, len(ws) - size + 2)) AS i
+              FROM w, range(1, {collocations.LONGEST + 1}) s(size) WHERE len(ws) >= size))
+  GROUP BY lang, size, phrase),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE size = 1 GROUP BY lang),
+c AS (
+  SELECT *, string_split(phrase, ' ') AS ws FROM g WHERE size > 1 AND f >= {collocations.MIN_COUNT}),
+cut AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r,
+         ({collocations.SCALE}::HUGEINT * c.f) // (l.f::HUGEINT + r.f::HUGEINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c
+  JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:k], ' ')
+  JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[k + 1:], ' ')),
+weakest AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (
+  SELECT lang, array_to_string(ws[i:i + width - 1], ' ') AS phrase, max(f) AS f
+  FROM (SELECT *, unnest(range(1, size - width + 2)) AS i FROM c, range(2, {collocations.LONGEST}) t(width)
+        WHERE size > width)
+  GROUP BY ALL),
+kept AS (
+  SELECT w.* FROM weakest w LEFT JOIN around o ON o.lang = w.lang AND o.phrase = w.phrase
+  WHERE o.f IS NULL OR 100 * o.f::HUGEINT < {collocations.ABSORBED_PERCENT} * w.a::HUGEINT)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM (SELECT kept.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+JOIN n USING (lang) WHERE rank <= {collocations.TOP}"""
+
+
 def op12_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = rank_array.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.json"))
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -249,6 +294,39 @@ def op12_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        _sha("packed").alias("ids_sha256"), _sha("decoded").alias("decoded_sha256"))
 
 
+def _looped(doc_id: F.Column, text: F.Column) -> F.Column:
+    """The text, with the tail of every tenth document (by the CRC-32 of its id) replaced by a loop."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def loop(w: F.Column) -> F.Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("int")
+        rounds = F.ceil((n - a) / p).cast("int")
+        tail = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), rounds)), F.lit(1), n - a)
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), tail), " ")
+
+    # the words are bound once, as the element of an array
+    split = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    changed = F.transform(F.array(split), lambda w: F.when(F.size(w) > 0, loop(w)).otherwise(""))[0]
+    return F.when((h % 10 == 0) & text.isNotNull(), changed).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", _looped(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.find(docs, keep_text=False)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    ranked = F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))
+    top = F.array_min(ranked)
+    length = -top["less"]
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), top["start"].alias("start"), length.alias("length"),
+        top["period"].alias("period"),
+        ((length * 1000 - length * 1000 % top["period"]) / top["period"]).cast("long").alias("exponent_milli"),
+        _sha(F.array_join(line, "")).alias("runs_sha256"), _sha("collapsed").alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
@@ -260,7 +338,9 @@ QUERIES: dict[str, Query] = {
     "op8_spotsigs": op8_spotsigs,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op11_collocations": op11_collocations,
     "op12_rank_array_bpe": op12_rank_array_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {
@@ -268,4 +348,5 @@ SQL: dict[str, str] = {
     "op6_source_mixing": _OP6_SQL,
     "op7_substring_dedup": _OP7_SQL,
     "op10_quality_rules": _OP10_SQL,
+    "op11_collocations": _OP11_SQL,
 }
