@@ -51,12 +51,16 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     starts = np.concatenate([[0], ends[:n - 1]]).tolist()
     stops = (ends[-n:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     votes = np.zeros(BITS, np.int64)
-    for at in range(0, n, 16384):
+    for at in range(0, len(hashes), 16384):
         part = hashes[at:at + 16384].astype("<u8").view(np.uint8).reshape(-1, 8)
         votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "fingerprint", keep_text: bool = True) -> DataFrame:
@@ -185,7 +189,7 @@ def _in_chunks(rows: DataFrame) -> DataFrame:
     return joined.withColumn("chunk", F.explode(F.coalesce(pairs, F.array(F.lit(0))))).drop("chunks")
 
 
-def _link_shards(radius: int):
+def _link_shards(radius: int, chain: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
@@ -194,7 +198,13 @@ def _link_shards(radius: int):
             held.clear()
             label = Forest(shard, fp).link(radius)
             moved = np.flatnonzero(label != np.arange(len(label)))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[label[moved]])], ["a", "b"])
+            other = label[moved]
+            if chain:
+                order = np.argsort(label, kind="stable")
+                before = np.zeros(len(label), np.int64)
+                before[order[1:]] = order[:-1]
+                other = before[moved]
+            yield pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[other])], ["a", "b"])
 
         size, serial, last = 0, 0, None
         for batch in batches:
@@ -226,15 +236,16 @@ def _link_shards(radius: int):
     return run
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, n: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, n: int | None = None, chain: bool = False) -> DataFrame:
     """(a, b): reps of distinct fingerprints tied together inside a shard, a forest per shard.
 
-    ``nodes`` has distinct ``fp`` and their ``rep``; null reps take no part.
+    ``nodes`` has distinct ``fp`` and their ``rep``; null reps take no part. Members of a component
+    are tied to its first one, or each to the one before it (``chain``), so that none is in all pairs.
     """
     known = nodes.where(F.col("rep").isNotNull())
     rows = _in_chunks(_shards(known, _parts(known.count() if n is None else n, radius), radius))
     dealt = rows.repartition("choice", "part", "chunk").sortWithinPartitions("choice", "part", "chunk", "fp")
-    return dealt.mapInArrow(_link_shards(radius), "a long, b long").distinct()
+    return dealt.mapInArrow(_link_shards(radius, chain), "a long, b long").distinct()
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

@@ -62,13 +62,56 @@ def test_distances_cover_every_pair():
         node = np.arange(90)
         part = np.array([draw.randrange(parts) for _ in range(90)])
         got = []
+        size, place = np.full(90, 10), np.zeros(90, np.int64)
         for first, last in ((1, 1), (2, 5), (6, 21), (22, 85)):
-            for a, b in near_copies._across(key, node, part, first, last):
+            for a, b in near_copies._across(key, node, part, size, place, first, last):
                 got += [tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)]
         assert len(got) == len(set(got))
         assert set(got) == {(i, j) for i in range(90) for j in range(i + 1, 90) if key[i] == key[j] and part[i] != part[j]}
 
 
+def test_alike_sets_share_a_rare_shingle():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    counts = draw.integers(0, 5, near_copies.COUNTERS)
+    for _ in range(400):
+        n = int(draw.integers(1, 60))
+        base = np.unique(draw.integers(0, 1 << 40, n))
+        other = np.unique(np.concatenate([base[draw.random(len(base)) < 0.93], draw.integers(0, 1 << 40, int(draw.integers(0, 5)))]))
+        both = len(np.intersect1d(base, other))
+        if len(other) and both >= 0.8 * (len(base) + len(other) - both):
+            a, b = (near_copies.rarest(x, counts, 0.8).tolist() for x in (base, other))
+            shared = set(a) & set(b)
+            assert shared
+            # the places of the first one allow the pair
+            key = next(k for k in a if k in shared)
+            ahead = min(len(base) - a.index(key), len(other) - b.index(key))
+            assert ahead * 1.8 >= 0.8 * (len(base) + len(other)) - 1e-6
+
+
+def test_texts_that_share_most_of_a_passage_meet_in_few_pairs(spark, monkeypatch):
+    """Alike below 0.8 they never become one component; the pairs compared must not be their square."""
+    seen = []
+    alike = near_copies._alike
+    monkeypatch.setattr(near_copies, "_alike", lambda pairs, n, *rest: (seen.append(n), alike(pairs, n, *rest))[1])
+    for n in (60, 120, 240):
+        texts = [" ".join([f"p{j}" for j in range(80)] + [f"o{k}x{j}" for j in range(20)]) for k in range(n)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert near_copies.deduplicate(df).count() == n
+        assert sum(seen) <= 4 * n
+        seen.clear()
+
+
+def test_crowds_meet_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "CROWD", 20)
+    draw = random.Random(9)
+    base = [f"w{k}" for k in range(200)]
+    texts = [_edited(draw, base, draw.randint(0, 9)) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in near_copies.deduplicate(df).collect()} == set(_groups(texts, list(range(120))))
+
+
 def test_same_and_null_ids(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
     rows = [(1, a), (1, b), (1, a), (2, a), (None, a), (None, c), (None, c), (3, ""), (4, None), (None, None)]
