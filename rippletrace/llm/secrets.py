@@ -13,6 +13,7 @@ import json
 import re
 import string
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable
 
 import ahocorasick
@@ -37,7 +38,10 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_JWT_HEAD = re.compile(r"eyJ[A-Za-z0-9_-]+")
 _PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----")
+# closing lines may share their dashes
+_PEM_END = re.compile(r"(?=-----END ([A-Z ]*PRIVATE KEY)-----)")
 
 _DIGITS = string.digits + string.ascii_uppercase + string.ascii_lowercase
 
@@ -58,7 +62,7 @@ def _sums_up(m: re.Match) -> bool:
 def _decodes(m: re.Match) -> bool:
     try:
         head = json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return isinstance(head, dict) and "alg" in head
 
@@ -90,18 +94,25 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
 
 
-def _pem_end(text: str, m: re.Match) -> int | None:
-    closing = f"-----END {m[1]}-----"
-    at = text.find(closing, m.end())
-    return None if at < 0 else at + len(closing)
+def _pem_ends(text: str) -> dict[str, list[int]]:
+    """Where the closing lines of each label begin."""
+    out: dict[str, list[int]] = {}
+    for m in _PEM_END.finditer(text):
+        out.setdefault(m[1], []).append(m.start())
+    return out
 
 
 def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
-    """All spans of one text: leftmost and non-overlapping within a kind, a failing match uses its text up."""
+    """All spans of one text: leftmost and non-overlapping within a kind, a failing match uses its text up.
+
+    Linear in the text: a run of letters is read once however many keywords it holds, and closing
+    lines are listed once.
+    """
     out = [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     hits: dict[str, list[int]] = {}
     for last, (kind, size) in automaton.iter(_lower(text)):
         hits.setdefault(kind, []).append(last - size + 1)
+    ends: dict[str, list[int]] | None = None
     for kind, starts in hits.items():
         free = 0
         for start in sorted(starts):
@@ -109,10 +120,13 @@ def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, in
                 continue
             if kind == "pem":
                 m = _PEM.match(text, start)
-                end = m and _pem_end(text, m)
-                if end:
-                    out.append((kind, start, end))
-                    free = end
+                if m:
+                    ends = _pem_ends(text) if ends is None else ends
+                    of = ends.get(m[1], [])
+                    at = bisect_left(of, m.end())
+                    if at < len(of):
+                        free = of[at] + len(m[1]) + len("-----END -----")
+                        out.append((kind, start, free))
                 continue
             pattern, holds = _ANCHORED[kind]
             m = pattern.match(text, start)
@@ -120,6 +134,9 @@ def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, in
                 free = m.end()
                 if holds(m):
                     out.append((kind, start, m.end()))
+            elif kind == "jwt" and (head := _JWT_HEAD.match(text, start)):
+                # what follows the run is the same for every start inside it
+                free = head.end()
     out.sort(key=lambda s: (s[1], _RANK[s[0]]))
     return out
 
@@ -133,7 +150,8 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``spans``: kind, start and end (code points, end exclusive), by start, then kind.
 
     One pass over whole texts without a shuffle; a text of any length is one scan, linear in
-    it. A null or empty text has an empty array. A column named ``spans`` is replaced.
+    it. A null or empty text has an empty array. Rows stay as they are, repeated ones and null ids
+    too; no rows give no rows. A column named ``spans`` is replaced.
     """
     return annotate(df, text_col, SPANS, _setup)
 

@@ -1,8 +1,11 @@
+import random
 import re
+import time
 
 from rippletrace.llm import secrets
+from rippletrace.llm.queries import QUERIES
 
-from .cases import noise, none, odd
+from .cases import TEXTS, documents, noise, none, odd
 
 PLAIN = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -40,6 +43,67 @@ def test_checksums_decide():
     assert secrets.find(pem[:40], automaton) == []
 
 
+def _plain_checked(text):
+    """The checked kinds without keywords, bisection or memory."""
+    out = []
+    for kind, pattern, holds in (("github", secrets._GITHUB, secrets._sums_up), ("npm", secrets._NPM, secrets._sums_up),
+                                 ("jwt", secrets._JWT, secrets._decodes)):
+        out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if holds(m)]
+    at = 0
+    while m := secrets._PEM.search(text, at):
+        closing = f"-----END {m[1]}-----"
+        end = text.find(closing, m.end())
+        at = m.start() + 1 if end < 0 else end + len(closing)
+        if end >= 0:
+            out.append(("pem", m.start(), at))
+    return out
+
+
+def test_checked_kinds_equal_plain_scanning():
+    draw, automaton = random.Random(8), secrets._automaton()
+    body = "A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5"
+    parts = ["eyJ", "eyJhbGciOiJIUzI1NiJ9", ".", "a", "-----BEGIN ", "-----END ", "PRIVATE KEY", "RSA ", "-----", " ", "\n",
+             f"ghp_{body}{secrets.base62_crc(body)}", f"npm_{body}{secrets.base62_crc(body)}", "ghp_", body]
+    keys = [f"-----{w} {label}PRIVATE KEY-----" for w in ("BEGIN", "END") for label in ("", "RSA ")]
+    order = {k: n for n, k in enumerate(secrets.BASE + secrets.CHECKED)}
+    found = 0
+    for _ in range(3000):
+        text = "".join(draw.choice(parts + keys) for _ in range(draw.randint(0, 25)))
+        expected = sorted(_brute(text) + _plain_checked(text), key=lambda s: (s[1], order[s[0]]))
+        assert secrets.find(text, automaton) == expected, text
+        found += len(expected)
+    assert found > 1000
+
+
+def test_bad_texts_take_linear_time():
+    automaton = secrets._automaton()
+    began = time.time()
+    for text in ("eyJ" * 1_700_000, "eyJa." * 1_000_000, "-----BEGIN PRIVATE KEY-----\n" * 180_000,
+                 "".join(f"-----BEGIN {chr(65 + k % 26) * (k % 900)} PRIVATE KEY-----\n" for k in range(11_000)),
+                 "password" * 600_000, "password" + " " * 5_000_000, "token=" * 800_000, "akia" * 1_000_000):
+        secrets.find(text, automaton)
+    assert time.time() - began < 60
+    # deep brackets are no header
+    assert secrets.find("eyJ" + secrets.base64.urlsafe_b64encode(b"[" * 300_000).decode() + ".a.b", automaton) == []
+
+
+def test_query_columns_equal_brute_force(spark, tmp_path):
+    import hashlib
+
+    texts = [t for _, t, _ in documents(150)] + TEXTS + [None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    order = {k: n for n, k in enumerate(secrets.BASE + secrets.CHECKED)}
+    rows = QUERIES["op2_secret_scan"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        base = _brute(text)
+        every = sorted(base + _plain_checked(text), key=lambda s: (s[1], order[s[0]]))
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in every)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in base) for k in secrets.BASE)
+
+
 def test_odd_rows_keep_their_columns(spark):
     df = odd(spark)
     got = secrets.scan(df)
