@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .common import blocks
+from .common import blocks, give_back
 
 #: Pieces whose ids a task remembers between blocks.
 MEMO = 350_000
@@ -260,10 +260,13 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
            ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """Add ``ids``: each match of ``pattern`` in the whole text encoded by ``ranks``.
 
-    With ``decoded_col`` the ids are decoded again in the same pass, into a column of bytes.
+    With ``decoded_col`` the ids are decoded again in the same pass, into a column of bytes. Texts
+    are cut before single spaces between other characters first; that is proved for the usual
+    pattern, in which a space begins a match, and must hold for any other one.
 
     No shuffle; the vocabulary (checked to be below 64 MB) is broadcast. A null or empty
-    text has no ids. A column named ``ids`` is replaced, others are handed on.
+    text has no ids. Rows stay as they are, repeated ones and null ids too; no rows give no rows. A
+    column named ``ids`` is replaced, others are handed on.
     """
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary.of(ranks).parts())
     new = {ids_col: ArrayType(IntegerType())} | ({decoded_col: BinaryType()} if decoded_col else {})
@@ -275,8 +278,10 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
         for batch in batches:
             for start, end, texts in blocks(batch.column(text_col)):
                 gc.disable()  # many small lists without cycles
-                ids, counts = coder.encode(texts)
-                gc.enable()
+                try:
+                    ids, counts = coder.encode(texts)
+                finally:
+                    gc.enable()
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 added = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]
                 if decoded_col:
@@ -284,6 +289,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
                     added.append(pa.array([_bytes(token, ids[a:b].tolist()) for a, b in pairwise(edges)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(n).slice(start, end - start) for n in names] + added, [*names, *new])
+        coder = token = batch = texts = ids = added = None
+        give_back()
 
     return df.select(*[f"`{n}`" for n in names]).mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -34,6 +35,14 @@ def free(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps a task's Python process for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have no such call
+    if trim:
+        trim(0)
+
+
 def blocks(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
     """Start, end and texts of runs of rows with about ``BLOCK_BYTES`` (one long text may be more)."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -72,6 +81,8 @@ def annotate(df: DataFrame, text_col: str, fields: str, setup: Callable[[], Work
                 yield pa.RecordBatch.from_arrays(
                     [o.slice(start, end - start) for o in others]
                     + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], handed + new)
+        work = others = texts = columns = batch = None
+        give_back()
 
     schema = StructType([f for f in kept if f.name in handed] + list(added))
     return source.mapInArrow(run, schema)

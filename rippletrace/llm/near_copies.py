@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from rippletrace.plans.durable import materialize, stored
 
 from . import simhash
-from .common import annotate, free
+from .common import annotate, free, give_back
 from .graph import components
 
 SHINGLE = 5
@@ -97,6 +97,7 @@ def _counted(sets: DataFrame):
             total += np.bincount(found, minlength=COUNTERS)
         slots = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], ["slot", "n"])
+        give_back()
 
     slots = sets.select("sh").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNTERS, np.int64)
@@ -124,6 +125,8 @@ def _prefixes(counts, threshold: float):
                 pa.array(np.concatenate([*first, flat[:0]])), pa.array(np.repeat(batch.column("node").to_numpy(), many)),
                 pa.array(np.repeat(size, many).astype(np.int32)), pa.array(place.astype(np.int32))],
                 ["key", "node", "size", "place"])
+        batch = sets = flat = first = None
+        give_back()
     return run
 
 
@@ -198,6 +201,8 @@ def _propose(first: int, last: int, threshold: float):
             held.append(new)
         if held:
             yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
+        held = []
+        give_back()
     return run
 
 

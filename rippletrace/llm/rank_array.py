@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import blocks
+from .common import blocks, give_back
 
 #: How byte-level tokenizers part a text into words (a fixed value of the format).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -314,6 +314,8 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_co
                     added[decoded_col] = _texts(tokens.take(pa.array(ids)), offsets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(n).slice(start, end - start) for n in names] + [added[n] for n in new], [*names, *new])
+        coder = own = tokens = batch = texts = added = None
+        give_back()
 
     return df.select(*[f"`{n}`" for n in names]).mapInArrow(run, schema)
 
