@@ -39,8 +39,8 @@ ROWS = 5
 SEED = 42
 #: Pairs of a round up to which they are broadcast to the table of sets.
 BROADCAST_PAIRS = 100_000
-#: Counters of the table of shingle counts: 8 MB, whatever the corpus.
-COUNTERS = 1 << 20
+#: Counters of the table of shingle counts: 2 MB, whatever the corpus.
+COUNTERS = 1 << 18
 #: Members of a shingle beyond which they are split into chunks that meet in pairs.
 CROWD = 50_000
 _CHUNK = 2048
@@ -102,6 +102,8 @@ def _counted(sets: DataFrame):
     slots = sets.select("sh").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNTERS, np.int64)
     counts[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
+    slots = None
+    give_back()
     return sets.sparkSession.sparkContext.broadcast(counts)
 
 
@@ -206,18 +208,17 @@ def _propose(first: int, last: int, threshold: float):
     return run
 
 
-def _chunked(rows: DataFrame) -> DataFrame:
-    """Add ``chunk``: 0, or for members of a crowded key each pair of chunks that they belong to."""
-    crowds = (rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
-              .select("key", F.ceil(F.col("n") / CROWD).cast("int").alias("chunks")))
-    crowds, many = materialize(crowds, "crowds")
-    if not many:
+def _chunked(rows: DataFrame, most: int) -> DataFrame:
+    """Add ``chunk``: 0, or for members of a crowded key each pair of chunks that they belong to.
+
+    ``n`` is the number of members of a row's key, ``most`` the largest one.
+    """
+    if most <= CROWD:
         return rows.withColumn("chunk", F.lit(0))
-    own = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1),
-                        lambda k: (F.least(k, own) * F.col("chunks") + F.greatest(k, own)).cast("int"))
-    return (rows.join(crowds, "key", "left")
-            .withColumn("chunk", F.explode(F.coalesce(pairs, F.array(F.lit(0))))).drop("chunks"))
+    chunks = F.ceil(F.col("n") / CROWD).cast("int")
+    own = F.pmod(F.xxhash64("node"), chunks)
+    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: (F.least(k, own) * chunks + F.greatest(k, own)).cast("int"))
+    return rows.withColumn("chunk", F.explode(pairs))
 
 
 def _alike(pairs: DataFrame, n: int, sets: DataFrame, threshold: float) -> DataFrame:
@@ -253,22 +254,21 @@ def links(sets: DataFrame, first_pairs: DataFrame | None = None, threshold: floa
             compare(pairs, n)
     rows = stored(sets.mapInArrow(_prefixes(_counted(sets), threshold), "key long, node long, size int, place int"), "prefixes")
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    left, n = materialize(rows.join(shared, "key", "left_semi"), "shared")
+    left, most = materialize(rows.join(shared, "key", "left_semi"), "shared")
     new, first, last = 1, 1, 1
-    while n:
-        parted = left
+    while most:
+        parted = left.drop("n")
         if new:
-            parted = left.drop("part") if "part" in left.columns else left
             part = F.col("node") if named is None else F.coalesce("component", "node")
-            if named is not None:
-                parted = parted.join(named, "node", "left")
+            parted = parted.drop("part") if named is None else parted.drop("part").join(named, "node", "left")
             parted = parted.withColumn("part", part).drop("component")
+        # keys of one component, and those whose members have all met, are done
         open_ = parted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
-        open_ = open_.where((F.col("low") < F.col("high")) & (F.col("n") > first)).select("key")
-        left, n = materialize(parted.join(open_, "key", "left_semi").select(*_COLUMNS), "open")
-        if not n:
+        open_ = open_.where((F.col("low") < F.col("high")) & (F.col("n") > first)).select("key", "n")
+        left, most = materialize(parted.join(open_, "key").select(*_COLUMNS, "n"), "open", F.max("n"))
+        if not most:
             break
-        dealt = _chunked(left).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "size", "node")
+        dealt = _chunked(left, most).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "size", "node")
         met = dealt.mapInArrow(_propose(first, last, threshold), "a long, b long").distinct()
         if compared is not None:
             met = met.join(compared, ["a", "b"], "left_anti")

@@ -17,13 +17,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, words
+from rippletrace.plans.durable import stored
+
+from .common import annotate, give_back, words
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 GRAMS = (3, 4, 5)
 #: Labelled rows to train on: the bound of what reaches the driver, chosen by a hash of the id.
 SAMPLE_ROWS = 3000
+#: Bytes of their bucket counts that reach the driver; beyond this the sample ends earlier.
+SAMPLE_BYTES = 128 << 20
 #: Passes over the sample: more where it is small.
 EPOCHS, UPDATES = (6, 30), 20_000
 #: Distinct words that a task remembers between blocks.
@@ -200,30 +204,40 @@ def fit(docs: DataFrame, labels: DataFrame, trusted: Column, label_col: str = "q
         id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
     """Train on at most ``rows`` labelled documents for which ``trusted`` (a condition on the id) holds.
 
-    The sample is the ids with the smallest hashes, so it is the same in every run. Ids and
-    labels are bounded by ``rows`` and broadcast; the texts become bucket counts on the
-    executors. A null label is none; an id labelled twice has the larger label; a document
-    that occurs twice counts twice, up to the bound.
+    The sample is the ids with the smallest hashes, as many as ``rows`` and ``SAMPLE_BYTES`` allow, so
+    it is the same in every run. Ids and labels are bounded by ``rows`` and broadcast; the texts
+    become bucket counts on the executors. A null label is none; an id labelled twice has the larger
+    label; of several documents with one id the one with the smallest hash of its counts is learned.
     """
+    place = F.xxhash64(F.col(id_col).cast("string"))
     bounded = (labels.where(trusted & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
                .groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
-               .orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(rows))
+               .orderBy(place, id_col).limit(rows))
     texts = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(bounded), id_col)
-    counted = _counted(texts, text_col)
-    order = F.xxhash64("buckets", "counts")
-    got = counted.select(id_col, "_label", order.alias("_order"), "buckets", "counts").limit(2 * rows).toArrow()
-    keys = list(zip(got[id_col].to_pylist(), got["_order"].to_pylist(), strict=True))
-    label = got["_label"].to_pylist()
-    return train([
-        (got["buckets"][k].values.to_numpy().astype(np.int32) + _HALF, got["counts"][k].values.to_numpy(), label[k])
-        for k in sorted(range(len(keys)), key=keys.__getitem__)])
+    row = F.struct(F.xxhash64("buckets", "counts").alias("order"), "_label", "buckets", "counts")
+    sample = stored(_counted(texts, text_col).groupBy(id_col).agg(F.min(row).alias("row"))
+                    .select(F.col(id_col).alias("id"), place.alias("place"), "row.*"), "sample")
+    sizes = sample.select("id", "place", F.size("buckets").alias("n")).orderBy("place", "id").collect()
+    total, enough = 0, 0
+    for r in sizes:
+        total += 6 * r.n
+        enough += total <= SAMPLE_BYTES
+    some = sample if enough == len(sizes) else sample.where(F.col("id").isin([r.id for r in sizes[:enough]]))
+    got = some.toArrow().sort_by("id")
+    learned = [(b.values.to_numpy().astype(np.int32) + _HALF, c.values.to_numpy(), label) for b, c, label in
+               zip(got["buckets"], got["counts"], got["_label"].to_pylist(), strict=True)]
+    model = train(learned)
+    got = learned = None
+    give_back()
+    return model
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """Add the probability of label 1, from the whole text alone. No shuffle.
 
-    A null or empty text has the probability that the model's bias gives. A column with the
-    name of the score is replaced, others are handed on.
+    A null or empty text has the probability that the model's bias gives. Rows stay as they are,
+    repeated ones and null ids too; no rows give no rows. A column with the name of the score is
+    replaced, others are handed on.
     """
     shared = df.sparkSession.sparkContext.broadcast((model.weight, model.bias))
 

@@ -1,3 +1,10 @@
+import random
+import time
+import tracemalloc
+from collections import Counter, defaultdict
+
+import pytest
+
 from rippletrace.llm import html_template
 
 PAGE = """<html><head><title>x</title></head><body><header class="top"><h1>Site</h1></header><nav>menu</nav>
@@ -8,6 +15,10 @@ ARTICLE = """<article class="post"><header><h1>Title &amp; more</h1></header><p
 TEXT = "Title & more One bold two <x> three l1 l2"
 
 
+def _extract(page, *deduced):
+    return html_template.extract(page, set(deduced))
+
+
 def test_pages_of_a_template(spark):
     other = '<div class="entry"><div><h1>Head</h1><div class="txt"><p>a long text of this page<p>goes on</div></div></div>'
     rows = [(k, f"http://a.b/{k}", PAGE.replace("{k}", str(k)).replace("{main}", ARTICLE), "mine") for k in range(5)]
@@ -15,7 +26,8 @@ def test_pages_of_a_template(spark):
     rows += [(20, None, "loose text <p>and more &am", None), (21, "http://e.f", None, None), (22, "http://e.f", "", None),
              (23, "http://e.f", "<nav>only</nav>", None), (20, None, "loose text <p>and more &am", None),
              (24, "http://g.h", "<article>" + "<p>word</p>" * 30_000, None)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string").selectExpr("*", "1 AS token", "2 AS mains", "3 AS body")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string").selectExpr(
+        "*", "1 AS token", "2 AS deduced", "3 AS body", "4 AS page")
     got = [(r.page_id, r.text) for r in html_template.main_text(df).collect()]
     assert len(got) == len(rows)
     text = dict(got)
@@ -26,25 +38,125 @@ def test_pages_of_a_template(spark):
     assert html_template.main_text(df.where("false")).count() == 0
 
 
+def test_wording_without_a_telling_name_goes(spark):
+    """A notice on all pages, adverts on some, and an article that copies share; ids that name the page."""
+    def page(k):
+        advert = "<div class='x9'><p>Buy our <b>things</b> today.</p></div>" if k % 2 else ""
+        return (f"<body class='p{k} slug-{k}'><div class='x7' id='n{k}'>This site needs your help.</div><article id='my-title-{k}'><h1>Head {k}</h1>"
+                f"{advert}<p>Own text of page number {k} {'and so on ' * k}</p><p>By the way.</p></article></body>")
+
+    rows = [(k, f"http://a.b/{k}", page(k)) for k in range(12)]
+    copies = "<body><div class='m{k}'>{k}</div><article><h1>Same</h1><p>the same article on every page</p></article></body>"
+    rows += [(100 + k, f"http://copies/{k}", copies.format(k=k)) for k in range(9)]
+    few = "<body><div class='x7'>This site needs your help.</div><div class='t'><p>Text number {k} of a small site, long enough.</p></div></body>"
+    rows += [(200 + k, f"http://few/{k}", few.format(k=k)) for k in range(2)] * 20
+    text = {r.page_id: r.text for r in html_template.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        # the notice is outside the main slot; the advert, once a page with its box, is wording; short pages don't tell
+        assert "Buy our" not in text[k] and "needs your help" not in text[k]
+        assert text[k].startswith(f"Head {k} Own text of page number {k}")
+    assert {text[100 + k] for k in range(9)} == {"Same the same article on every page"}
+    assert text[200].endswith("Text number 0 of a small site, long enough.")
+
+
+def _brute(pages):
+    """(host, token) deduced from vectors that are written out; pages: host, html."""
+    deduced = set()
+    by_host = defaultdict(list)
+    for host, source in pages:
+        by_host[host].append(source)
+    for host, sources in by_host.items():
+        vector, kind, share = defaultdict(Counter), {}, defaultdict(list)
+        for source in sources:
+            for token, times, part, k in zip(*html_template.profile(source), strict=True):
+                vector[token][source] = times
+                kind[token] = max(k, kind.get(token, 0))
+                share[token].append(part)
+        classes = defaultdict(list)
+        for token, v in vector.items():
+            classes[tuple(sorted(v.items()))].append(token)
+        for v, tokens in classes.items():
+            if any(times > 1 for _, times in v):
+                continue
+            mean = {t: sum(share[t]) / len(share[t]) for t in tokens}
+            said = sum(mean[t] for t in tokens if kind[t] == 2)
+            worded = any(kind[t] < 2 for t in tokens) and len(v) >= 5 and said <= 0.3
+            deduced |= {(host, t) for t in tokens if (kind[t] == 1 and mean[t] >= 0.6) or (kind[t] == 2 and worded)}
+    return deduced
+
+
+def test_deduction_equals_brute_force(spark):
+    draw = random.Random(4)
+    pages = []
+    for host in "abcd":
+        for k in range(draw.choice([3, 8, 12])):
+            boxes = "".join(f"<div class='c{c}'><p>box {c}</p></div>" for c in range(4) if draw.random() < 0.7)
+            paragraphs = "".join(f"<p>{draw.choice(['line', 'common line'])} {draw.randrange(3)} {'w ' * draw.randrange(30)}</p>" for _ in range(draw.randrange(6)))
+            pages.append((host, f"<body><nav>n</nav>{boxes}<section class='s{k % 2}'><div>{paragraphs}</div>always here</section></body>"))
+    df = spark.createDataFrame([(h, str(k), p) for k, (h, p) in enumerate(pages)], "host string, page string, html string")
+    rows = html_template.tokens_of(df.selectExpr("host", "xxhash64(page) AS page", "html"))
+    got = {(r.host, r.token) for r in html_template.deduce(html_template.templates(rows)).collect()}
+    assert got == _brute(pages) and len(got) > 8
+
+
 def test_classes_are_occurrence_vectors(spark):
     pages = [(k, "h", f"<body><article>{'<p>x' * (k + 1)}</article>{'<section>s</section>' * (k % 2)}</body>") for k in range(4)]
-    df = spark.createDataFrame(pages, "_page long, host string, html string")
-    rows = {r.token: r for r in html_template.templates(df).collect()}
-    once = rows[">body>article"]
-    assert once["class"] == rows[">body"]["class"] and once.once and once.pages == 4
-    assert not rows[">body>article>p"].once and rows[">body>section"].pages == 2
+    df = spark.createDataFrame(pages, "page long, host string, html string")
+    names = {}
+    for _, _, source in pages:
+        page = html_template.Page(source)
+        for e in range(1, len(page.tag)):
+            token = page.path[e] - (1 << 64) if page.path[e] >> 63 else page.path[e]
+            names[token] = page.tag[e]
+    rows = {names[r.token]: r for r in html_template.templates(html_template.tokens_of(df)).collect() if r.token in names}
+    assert rows["article"]["class"] == rows["body"]["class"] and rows["article"].once and rows["article"].pages == 4
+    assert not rows["p"].once and rows["section"].pages == 2
     assert len({r["class"] for r in rows.values()}) == 3
 
 
 def test_names_of_wrappers_are_hints():
     body = "<article><div class='entry-header'><h1>Title</h1></div><p>The text of the page.<div class='comments'>no</div></article>"
-    for name in ("content has-sidebar", "no-sidebar", "page with-comments", "search-results", "wrapper menu-open"):
+    for name in ("content has-sidebar", "no-sidebar", "page with-comments", "search-results", "wrapper menu-open", "sidebar"):
         page = f"<body><nav>n</nav><div class='{name}'>{body}</div><div class='sidebar'>side</div></body>"
-        assert html_template.extract(page, set()) == "Title The text of the page."
+        assert _extract(page) == "Title The text of the page."
         plain = f"<body><div class='{name}'><p>The text of the page.</p></div><footer>f</footer></body>"
-        assert html_template.extract(plain, set()) == "The text of the page."
+        assert _extract(plain) == "The text of the page."
     talk = f"<body><article><p>Short text.</p><div class='comments'>{'long talk ' * 20}</div></article></body>"
-    assert html_template.extract(talk, set()) == "Short text."
+    assert _extract(talk) == "Short text."
+    for name in ("werbung", "kommentare", "comentarios", "ad-slot", "related-posts", "cookie_notice"):
+        assert _extract(f"<body><article><p>Text.</p><div class='{name}'>no</div></article></body>") == "Text."
+    for name in ("social-history", "search-engines", "adagio", "header-of-the-week"):
+        assert _extract(f"<body><article><p>Text.</p><div class='{name}'>yes</div></article></body>") == "Text. yes"
+
+
+def test_raw_and_hidden_elements():
+    assert _extract("<article><p>a<script src='a.js'/>var leak=1;</script>b</article>") == "a b"
+    assert _extract("<article><p>a<script src=/a/>var leak=1;</script> b</article>") == "a b"
+    assert _extract("<article><p>a<style>p{}</style ><textarea>t</textarea><title>t</title><b>b</b></article>") == "a b"
+    assert _extract("<article><p>a<script>var x = '</p>'") == "a"
+    for tag in ("select", "noscript", "object", "svg", "template"):
+        assert _extract(f"<body><article><p>one</p><{tag}>in<x>side</{tag}><p>two</p></article></body>") == "one two"
+        assert "two" in _extract(f"<body><article><p>one</p><{tag}><p>two</p></article><p>after</p></body>")
+        assert _extract(f"<body><div><{tag}></div><p>two</p></body>") == "two"
+    assert _extract("<article><svg width=1 /><p>text</p></article>") == "text"
+    assert _extract("<article><select><option>A<option>B<p>text</article>") == "text"
+    assert _extract("a < b <p>c <3 d</p> <!--> e <!-- x --> f <? g > h <!x> i") == "a < b c <3 d e f h i"
+
+
+@pytest.mark.parametrize("bad", [
+    "<a " * 1_700_000, "<" * 5_000_000, "<div>" * 100_000 + "text" + "</p>" * 100_000, "<p title=\"" * 500_000,
+    "<!--" * 1_200_000, "</" * 2_500_000, "<div class=sidebar><article>" * 40_000 + "x", "<select>" * 300_000 + "y",
+    "<article>a" * 200_000, "<svg><p>" * 200_000, "<a='" * 1_000_000, "<script" * 700_000])
+def test_bad_pages_take_linear_time_and_memory(bad):
+    began = time.time()
+    _extract(bad[:200_000])
+    html_template.extract(bad, set())
+    assert time.time() - began < 40
+    if bad.startswith("<div>"):
+        tracemalloc.start()
+        html_template.profile(bad)
+        assert tracemalloc.get_traced_memory()[1] < 500 << 20
+        tracemalloc.stop()
 
 
 def test_repeated_rows_do_not_cancel(spark):
@@ -54,3 +166,12 @@ def test_repeated_rows_do_not_cancel(spark):
     once = {r.page_id: r.text for r in html_template.main_text(df.distinct()).collect()}
     got = html_template.main_text(df).collect()
     assert len(got) == 8 and all(r.text == once[r.page_id] and "loose" not in r.text for r in got)
+
+
+def test_a_hot_host_with_a_name_for_each_page(spark):
+    """No table holds a host in a row: what is deduced for it does not grow with its pages."""
+    source = "<body><div class='w slug{k}x'><article class='post-{k}-z'><p>text of page {k}</p></article></div></body>"
+    rows = [(k, "http://hot/x" if k % 3 == 0 else f"http://h{k % 7}/x", source.format(k=chr(97 + k % 26) * (1 + k // 26))) for k in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_template.main_text(df).collect()}
+    assert len(got) == 300 and all(got[k].startswith("text of page ") for k in got)
