@@ -1,18 +1,32 @@
-"""Dependency cycles: strongly connected components by trimming and two-way labelling."""
+"""Dependency cycles: strongly connected components by trimming, a pivot and colouring.
+
+The largest component of a repository is nearly always one giant. It is taken in one
+step: what the strongest node reaches and what reaches it are two sweeps that share their
+rounds, and the nodes in both are its component. What is left falls into parts that no cycle
+crosses (reached only, reaching only, neither), loses most of its edges to trimming, and is
+settled by colouring, where a round writes only the labels that moved.
+
+A repository that has at most ``LOCAL_EDGES`` left at any of these points is finished in a task of
+its own; the bound is on what trimming leaves, not on the repository.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import Rounds, materialize
+from ..plans.durable import Rounds, materialize, stored
+from ..plans.frontier import raise_values, sweep
 
 # Edge kinds that hold the tree together rather than express a dependency.
 STRUCTURAL_KINDS = ["contains", "owns"]
-_THIN = 16
-_PASSES = 3
+#: Edges of a repository, after trimming, up to which one task settles it.
+LOCAL_EDGES = 50_000
+_WAY = ["repo_id", "way"]
 
 
 def _trim(live: DataFrame, size: int) -> tuple[DataFrame, int]:
@@ -30,86 +44,125 @@ def _trim(live: DataFrame, size: int) -> tuple[DataFrame, int]:
     return live, size
 
 
-def _degrees(live: DataFrame) -> DataFrame:
+def _strength(live: DataFrame) -> DataFrame:
+    """repo_id, node, weight: in-degree x out-degree."""
     ends = (live.select("repo_id", F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"))
             .unionByName(live.select("repo_id", F.col("dst").alias("node"), F.lit(0).alias("o"),
                                      F.lit(1).alias("i"))))
     return ends.groupBy("repo_id", "node").agg((F.sum("o") * F.sum("i")).alias("weight"))
 
 
-def _shortcut(live: DataFrame) -> DataFrame:
-    """The same reachability with long thin paths shortened.
+def _both_ways(live: DataFrame) -> DataFrame:
+    """The edges along (way 1) and against (way 2) their direction."""
+    return stored(live.withColumn("way", F.lit(1)).unionByName(
+        live.select("repo_id", F.col("src").alias("dst"), F.col("dst").alias("src"), F.lit(2).alias("way"))), "ways")
 
-    An edge into and an edge out of a thin node make a direct edge. A node adds at most
-    ``_THIN`` edges per pass, so the table stays linear in the nodes and hubs add nothing,
-    while chains get several times shorter.
-    """
-    for _ in range(_PASSES):
-        thin = _degrees(live).where((F.col("weight") > 0) & (F.col("weight") <= _THIN))
-        into = live.select("repo_id", "src", F.col("dst").alias("node")).join(
-            thin, ["repo_id", "node"], "left_semi")
-        out = live.select("repo_id", F.col("src").alias("node"), "dst").join(
-            thin, ["repo_id", "node"], "left_semi")
-        direct = into.join(out, ["repo_id", "node"]).where("src <> dst").select("repo_id", "src", "dst")
-        live = materialize(live.unionByName(direct).distinct(), "shortcut")[0]
-    return live
 
+def _giants(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The component of each repository's strongest node (repo_id, root, node), and the edges beyond it."""
+    pivots = stored(_strength(live).groupBy("repo_id").agg(F.max(F.struct("weight", "node")).alias("p"))
+                    .select("repo_id", F.col("p.node").alias("root")), "pivots")
+    seeds = pivots.select("repo_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("way"), F.col("root").alias("node"))
+    swept = sweep(_both_ways(live), seeds, _WAY)
+    # 1 reached, 2 reaching, 3 both
+    sides = stored(swept.groupBy("repo_id", "node").agg(F.sum("way").alias("side")), "sides")
+    giant = sides.where("side = 3").join(pivots, "repo_id").select("repo_id", "root", "node")
+    none = F.lit(0).cast("long")
+    ends = live
+    for end in ("src", "dst"):
+        ends = ends.join(sides.select("repo_id", F.col("node").alias(end), F.col("side").alias(f"{end}_side")),
+                         ["repo_id", end], "left").withColumn(f"{end}_side", F.coalesce(f"{end}_side", none))
+    rest = ends.where("src_side = dst_side and src_side < 3").select("repo_id", "src", "dst")
+    return giant, rest
 
-def _labels(live: DataFrame) -> DataFrame:
-    """The strongest node that reaches each node and the strongest it reaches.
 
-    Strength is (in-degree x out-degree, id), so a well connected node floods the large
-    component first. Both directions share the rounds, and only nodes whose label moved
-    speak in the next one.
-    """
+def _labels(live: DataFrame) -> DataFrame:
+    """repo_id, node, above, below: the strongest node that reaches it, and the strongest it reaches."""
     own = F.struct("weight", "node")
-    rounds = Rounds("labels")
-    state, moved = rounds.write(
-        _degrees(live).select("repo_id", "node", own.alias("above"), own.alias("below"),
-                      F.lit(True).alias("above_moved"), F.lit(True).alias("below_moved")))
-    silent = F.lit(None).cast("struct<weight:bigint,node:string>")
-    while moved:
-        down = (state.where("above_moved").select("repo_id", F.col("node").alias("src"), "above")
-                .join(live, ["repo_id", "src"])
-                .select("repo_id", F.col("dst").alias("node"), "above", silent.alias("below")))
-        up = (state.where("below_moved").select("repo_id", F.col("node").alias("dst"), "below")
-              .join(live, ["repo_id", "dst"])
-              .select("repo_id", F.col("src").alias("node"), silent.alias("above"), "below"))
-        offers = down.unionByName(up).select("*", silent.alias("old_above"), silent.alias("old_below"))
-        kept = state.select("repo_id", "node", "above", "below", F.col("above").alias("old_above"),
-                            F.col("below").alias("old_below"))
-        merged = kept.unionByName(offers).groupBy("repo_id", "node").agg(
-            *[F.max(c).alias(c) for c in ("above", "below", "old_above", "old_below")])
-        state, moved = rounds.write(
-            merged.select("repo_id", "node", "above", "below",
-                          (F.col("above") > F.col("old_above")).alias("above_moved"),
-                          (F.col("below") > F.col("old_below")).alias("below_moved")),
-            F.count_if(F.col("above_moved") | F.col("below_moved")))
-    return state.select("repo_id", "node", F.col("above.node").alias("above"),
-                        F.col("below.node").alias("below"))
+    start = _strength(live).select("repo_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("way"), "node", own.alias("value"))
+    settled = raise_values(_both_ways(live), start, _WAY, lambda value: value)
+    return settled.groupBy("repo_id", "node").agg(
+        F.max(F.when(F.col("way") == 1, F.col("value.node"))).alias("above"),
+        F.max(F.when(F.col("way") == 2, F.col("value.node"))).alias("below"))
+
+
+def components_of(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """Number of the component of each of ``n`` nodes: one depth-first search with an explicit stack."""
+    order = np.argsort(src, kind="stable")
+    to = dst[order].tolist()
+    first = np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    at, low, seen = first[:n], [0] * n, [0] * n
+    component, open_, clock = [-1] * n, [], 0
+    for start in range(n):
+        if seen[start]:
+            continue
+        walk = [start]
+        while walk:
+            node = walk[-1]
+            if not seen[node]:
+                clock += 1
+                seen[node] = low[node] = clock
+                open_.append(node)
+            if at[node] < first[node + 1]:
+                other = to[at[node]]
+                at[node] += 1
+                if not seen[other]:
+                    walk.append(other)
+                elif component[other] < 0:
+                    low[node] = min(low[node], seen[other])
+                continue
+            walk.pop()
+            if walk:
+                low[walk[-1]] = min(low[walk[-1]], low[node])
+            if low[node] == seen[node]:
+                while component[node] < 0:
+                    component[open_.pop()] = node
+    return np.array(component)
+
+
+def _settled(live: DataFrame) -> DataFrame:
+    """repo_id, root, node for repositories of a bounded number of edges, each in one task."""
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        code, names = pd.factorize(pd.concat([part["src"], part["dst"]], ignore_index=True))
+        half = len(part)
+        found = components_of(code[:half], code[half:], len(names))
+        return pd.DataFrame({"repo_id": part["repo_id"].iloc[0], "root": names[found], "node": names})
+
+    kind = dict(live.dtypes)
+    return live.groupBy("repo_id").applyInPandas(settle, f"repo_id {kind['repo_id']}, root {kind['src']}, node {kind['src']}")
+
+
+def _coloured(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components whose strongest members meet in colouring (repo_id, root, node), and the edges beyond them.
+
+    A node whose strongest predecessor and successor are the same node shares a cycle with it; edges
+    between different label pairs cannot lie on a cycle and are cut.
+    """
+    labels = stored(_labels(live), "labels")
+    ends = labels.where("above <> below")
+    rest = (live.join(ends.select("repo_id", F.col("node").alias("src"), "above", "below"), ["repo_id", "src"])
+            .join(ends.select("repo_id", F.col("node").alias("dst"), "above", "below"), ["repo_id", "dst", "above", "below"])
+            .select("repo_id", "src", "dst"))
+    return labels.where("above = below").select("repo_id", F.col("above").alias("root"), "node"), rest
 
 
 def cycle_groups(edges: DataFrame) -> DataFrame:
     """repo_id, group, node: groups of nodes that reach each other, larger than one.
 
-    edges: repo_id, src, dst. A group is named by its smallest member. A node whose
-    strongest predecessor and successor are the same node shares a cycle with it. Edges
-    between different label pairs cannot lie on a cycle and are cut; the rest repeats.
+    edges: repo_id, src, dst. A group is named by its smallest member.
     """
-    live, size = materialize(
-        edges.select("repo_id", "src", "dst").where("src <> dst").distinct(), "edges")
-    found = []
-    live, size = _trim(live, size)
+    found, take = [], _giants
+    live, size = _trim(*materialize(edges.select("repo_id", "src", "dst").where("src <> dst").distinct(), "edges"))
     while size:
-        labels = _labels(_shortcut(live))
-        found.append(labels.where("above = below").select("repo_id", F.col("above").alias("root"), "node"))
-        ends = labels.where("above <> below")
-        live, size = materialize(
-            live.join(ends.select("repo_id", F.col("node").alias("src"), "above", "below"),
-                      ["repo_id", "src"])
-            .join(ends.select("repo_id", F.col("node").alias("dst"), "above", "below"),
-                  ["repo_id", "dst", "above", "below"]).select("repo_id", "src", "dst"), "rest")
-        live, size = _trim(live, size)
+        large, many = materialize(live.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LOCAL_EDGES)
+                                  .select("repo_id"), "large")
+        found.append(stored(_settled(live.join(large, "repo_id", "left_anti") if many else live), "settled"))
+        if not many:
+            break
+        members, rest = take(live.join(large, "repo_id", "left_semi"))
+        found.append(members)
+        live, size = _trim(*materialize(rest, "rest"))
+        take = _coloured
     if not found:
         return edges.select("repo_id", F.col("src").alias("group"), F.col("dst").alias("node")).limit(0)
     members = reduce(DataFrame.unionByName, found)

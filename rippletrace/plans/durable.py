@@ -59,6 +59,13 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     return materialize(df, label)[0]
 
 
+def stored_by(df: DataFrame, label: str, column: str) -> DataFrame:
+    """``stored`` with a folder per value of ``column``, so that a question for one value reads only its files."""
+    path = new_path(df.sparkSession, label)
+    df.write.partitionBy(column).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Rounds:
     """The state of an iteration: each round is written, then the one before it is dropped.
 

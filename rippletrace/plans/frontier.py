@@ -10,15 +10,19 @@ adaptive skew join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .durable import materialize, stored
 
 #: Layers after which the keys reached so far are merged into one table.
 _MERGE_AFTER = 8
+#: Hops that a job takes at most, and rows of a frontier up to which it takes them all.
+_MOST_HOPS = 8
+_FEW = 20_000
 
 
 class _Layers:
@@ -97,3 +101,72 @@ def reach_set(edges: DataFrame, seeds: DataFrame, keys: list[str],
         step = reach.newest.drop("hops").join(edges, [*keys, "node"])
         reach.advance(step.select(*who, F.col("dst").alias("node"), F.lit(depth).alias("hops")).distinct())
     return reach.all()
+
+
+class _Pace:
+    """Hops per job: one while a large frontier grows, more as it shrinks, the most once it is small."""
+
+    def __init__(self):
+        self.hops, self.before = 1, 0
+
+    def next(self, found: int) -> int:
+        shrinks = found < self.before
+        self.hops = _MOST_HOPS if found <= _FEW else min(_MOST_HOPS, 2 * self.hops) if shrinks else 1
+        self.before = found
+        return self.hops
+
+
+def hop(step: DataFrame, edges: DataFrame, keys: list[str], carried: dict[str, Column]) -> DataFrame:
+    """The rows of ``step`` (keys, node, ...) and what they become across ``edges`` (keys, node, dst).
+
+    ``carried`` says what the other columns are on the far side. Staying and going rows come out
+    of one join, so a chain of hops is a chain of joins, however many it has.
+    """
+    stay = F.struct("node", *[F.col(c) for c in carried])
+    go = F.struct(F.col("dst").alias("node"), *[value.alias(c) for c, value in carried.items()])
+    both = F.when(F.col("dst").isNull(), F.array(stay)).otherwise(F.array(stay, go))
+    met = step.join(edges, [*keys, "node"], "left")
+    return met.select(*keys, F.explode(both).alias("row")).select(*keys, "row.*")
+
+
+def sweep(edges: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node: what ``edges`` (keys, src, dst) reach from ``seeds`` (keys, node), these included.
+
+    Like ``reach_set`` without hop counts, so a job may take several hops before it looks what
+    is new; long thin tails then cost a fraction of a job for each hop.
+    """
+    edges = edges.select(*keys, F.col("src").alias("node"), "dst")
+    reach, pace = _Layers(seeds.select(*keys, "node").distinct(), [*keys, "node"]), _Pace()
+    while reach.found:
+        step = reach.newest
+        for _ in range(pace.next(reach.found)):
+            step = hop(step, edges, keys, {}).distinct()
+        reach.advance(step)
+    return reach.all()
+
+
+def raise_values(edges: DataFrame, start: DataFrame, keys: list[str], passed: Callable[[Column], Column]) -> DataFrame:
+    """keys, node, value: the largest value that reaches each node over ``edges`` (keys, src, dst).
+
+    start: keys, node, value, one row per node; ``passed`` makes the value that an edge hands on.
+    A round writes only the values that rose. What is known of a node is the largest of all
+    layers, merged into one table now and then. ``passed`` must not grow along a cycle.
+    """
+    at = [*keys, "node"]
+    most = F.max("value").alias("value")
+    edges = edges.select(*keys, F.col("src").alias("node"), "dst")
+    newest, found = materialize(start.select(*at, "value"), "values")
+    layers, pace = [newest], _Pace()
+    while found:
+        step = newest
+        for _ in range(pace.next(found)):
+            step = hop(step, edges, keys, {"value": passed(F.col("value"))}).groupBy(*at).agg(most)
+        known = layers[0] if len(layers) == 1 else reduce(DataFrame.unionByName, layers).groupBy(*at).agg(most)
+        rose = step.join(known.withColumnRenamed("value", "old"), at, "left").where(
+            F.col("old").isNull() | (F.col("value") > F.col("old")))
+        newest, found = materialize(rose.select(*at, "value"), "values")
+        if found:
+            layers.append(newest)
+        if len(layers) > _MERGE_AFTER:
+            layers = [stored(reduce(DataFrame.unionByName, layers).groupBy(*at).agg(most), "known")]
+    return layers[0] if len(layers) == 1 else reduce(DataFrame.unionByName, layers).groupBy(*at).agg(most)

@@ -3,6 +3,7 @@
 import random
 from collections import deque
 
+import pytest
 from conftest import rows
 
 from rippletrace.operators import ancestry, closure, cycles, impact, integrity, scores, temporal
@@ -193,3 +194,60 @@ def test_sequence_number_is_dense_for_a_hot_key(spark):
     for key in ("hot", "cold"):
         mine = [r.seq for r in got if r.k == key]
         assert mine == list(range(len(mine)))
+
+
+@pytest.mark.parametrize("bound", [cycles.LOCAL_EDGES, 70, 0])
+def test_components_of_every_size(spark, monkeypatch, bound):
+    """Settled in tasks, in rounds, or both. A giant, rings beside, before and behind it, nested repositories, and a long chain between rings."""
+    es, want = [], set()
+
+    def ring(repo, names):
+        es.extend((repo, a, b) for a, b in zip(names, names[1:] + names[:1], strict=True))
+        want.update((repo, min(names), n) for n in names)
+
+    monkeypatch.setattr(cycles, "LOCAL_EDGES", bound)
+    for repo in ("r", "s"):
+        ring(repo, [f"g{k:03d}" for k in range(60)])
+        ring(repo, ["a1", "a2"])
+        ring(repo, ["b1", "b2", "b3"])
+        ring(repo, ["c1", "c2"])
+        es += [(repo, "a1", "g000"), (repo, "g010", "b1"), (repo, "a2", "b3"), (repo, "g000", "g030"), (repo, "x", "a1")]
+        chain = [f"k{k:03d}" for k in range(14)]
+        es += [(repo, a, b) for a, b in zip(["b2", *chain], [*chain, "c1"], strict=True)]
+    edges = spark.createDataFrame(es, "repo_id string, src string, dst string")
+    assert set(rows(cycles.cycle_groups(edges), "repo_id", "group", "node")) == want
+    assert cycles.cycle_groups(edges.where("false")).count() == 0
+    if bound == 70:
+        return
+    up = {}
+    for repo in ("r", "s"):
+        mine = [("", s, d) for q, s, d in es if q == repo]
+        down = reachable(mine)
+        up |= {(repo, n): len({m for m in down if n in down[m] and m != n}) for n in down}
+    got = {(r.repo_id, r.node): r.dependents for r in closure.transitive_counts(edges).collect()}
+    assert got == {n: c for n, c in up.items() if c}
+
+
+def test_reach_in_a_task_of_columns(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(closure, "_COLUMNS", 64)
+    rng = random.Random(3)
+    for n, m in ((5, 9), (150, 170), (300, 280), (200, 900)):
+        es = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(m)} | {(k, (k + 1) % n) for k in range(0, n, 3)})
+        es = [(a, b) for a, b in es if a != b]
+        down = reachable([("", a, b) for a, b in es])
+        got = closure.reached_by(np.array([a for a, _ in es]), np.array([b for _, b in es]), n)
+        assert got.tolist() == [sum(1 for o in down if v in down[o] and o != v) for v in range(n)]
+
+
+def test_sketched_reach_is_near(spark, monkeypatch):
+    monkeypatch.setattr(cycles, "LOCAL_EDGES", 100)
+    rng = random.Random(7)
+    es = [("r", f"n{rng.randrange(4000)}", f"n{rng.randrange(4000)}") for _ in range(4400)] + [("s", "a", "b"), ("s", "b", "c")]
+    edges = spark.createDataFrame(es, "repo_id string, src string, dst string")
+    near = {(r.repo_id, r.node): r.dependents for r in closure.transitive_counts(edges, approx=True).collect()}
+    monkeypatch.setattr(cycles, "LOCAL_EDGES", 50_000)
+    exact = {(r.repo_id, r.node): r.dependents for r in closure.transitive_counts(edges).collect()}
+    assert set(near) == set(exact) and max(exact.values()) > 300 and near["s", "c"] == 2
+    assert max(abs(near[n] - c) / c for n, c in exact.items()) < 0.03
