@@ -178,17 +178,28 @@ def _ranked(spark, sf):
     return _stored[key]
 
 
+def _owned(spark, sf):
+    """The owner of each file, derived once per application without the claims."""
+    key = (spark.sparkContext.applicationId, sf, "owned")
+    if key not in _stored:
+        files = _cpp(spark, sf)
+        targets = stored(ownership.first_declarations(manifests.build_targets(files)), "targets")
+        includes = resolve.resolve_cpp(scan.cpp_includes(files), resolve.cpp_roots(tree.listing_of(files)), files)
+        _stored[key] = stored(ownership.best_owners(targets, files, includes), "owned")
+    return _stored[key]
+
+
 def target_owners(spark, sf):
     return _ranked(spark, sf)[1].select("repo_id", "rel", "target", "tier", F.col("rank").alias("place"))
 
 
 def target_homes(spark, sf):
-    return ownership.target_homes(_ranked(spark, sf)[1])
+    return ownership.target_homes(_owned(spark, sf))
 
 
 def target_parents(spark, sf):
-    ranked = _ranked(spark, sf)[1]
-    return ownership.lift_single_owner_dirs(ranked, ownership.target_homes(ranked))
+    owned = _owned(spark, sf)
+    return ownership.lift_single_owner_dirs(owned, ownership.target_homes(owned))
 
 
 def lifted_directories(spark, sf):
@@ -196,8 +207,8 @@ def lifted_directories(spark, sf):
     files = _corpus(spark, sf, "lift", _LIFT)
     targets = stored(ownership.first_declarations(manifests.build_targets(files)), "lift-targets")
     includes = resolve.resolve_cpp(scan.cpp_includes(files), resolve.cpp_roots(tree.listing_of(files)), files)
-    ranked = stored(ownership.rank_owners(ownership.target_claims(targets, files, includes), targets), "lift-ranked")
-    return ownership.lift_single_owner_dirs(ranked, ownership.target_homes(ranked))
+    owned = stored(ownership.best_owners(targets, files, includes), "lift-owned")
+    return ownership.lift_single_owner_dirs(owned, ownership.target_homes(owned))
 
 
 def secondary_owners(spark, sf):
@@ -211,8 +222,8 @@ def target_module_lists(spark, sf):
 
 def containment_tree(spark, sf):
     files = _cpp(spark, sf)
-    ranked = _ranked(spark, sf)[1]
-    overrides = ownership.lift_single_owner_dirs(ranked, ownership.target_homes(ranked))
+    owned = _owned(spark, sf)
+    overrides = ownership.lift_single_owner_dirs(owned, ownership.target_homes(owned))
     dirs = files.select("repo_id").distinct().select(
         "repo_id", F.lit("cpp/include").alias("rel"), F.lit("pkg:headers").alias("package"))
     return ownership.containment_nodes(tree.listing_of(files), dirs, overrides).select(

@@ -145,6 +145,13 @@ def seed_overlap(spark, sf):
     return hits.withColumn("grps", F.array_join("grps", ","))
 
 
+def seed_overlap_many(spark, sf):
+    """As many changes as the fleet has import lines of 1 at multiples of 40: hundreds in a repository."""
+    heads = fleet.query(spark, sf, "SELECT repo_id, ord AS grp, src AS node FROM imports WHERE ord % 40 = 1")
+    hits = impact.seed_overlap(fleet.nodes(spark, sf), fleet.edges(spark, sf), heads, "file", Filters(3, ("imports",)))
+    return hits.withColumn("grps", F.array_join(F.col("grps").cast("array<string>"), ","))
+
+
 def affected_between(spark, sf):
     """A revision without the edges found on line 2, against the whole graph."""
     n, e = fleet.nodes(spark, sf), fleet.edges(spark, sf)
@@ -272,7 +279,7 @@ QUERIES = {f.__name__: f for f in (
     hide_by_pattern, text_filter, architecture_nodes, filesystem_nodes, relevance_filter, hidden_count,
     only_affected, stale_filter, representatives, collapsed_edges, file_graph_edges, containment_edges,
     boundary_links, changed_nodes, impact_state, view_stats, impact_for_view, dangling_edges,
-    seed_overlap, affected_between, containment_problems, path_problems, impact_differences, integrity_report, graph_counts,
+    seed_overlap, seed_overlap_many, affected_between, containment_problems, path_problems, impact_differences, integrity_report, graph_counts,
     impact_description, file_owners, package_dependencies, common_directories)}
 
 SQL = {
@@ -378,6 +385,15 @@ gseeds AS (SELECT 'a' AS grp, repo_id, min(src) AS node FROM imports GROUP BY re
                         policy("usable", ("imports",)), """
 gedges AS MATERIALIZED (SELECT g.grp, u.* FROM usable u, (VALUES ('a'), ('b')) g(grp))""",
                         trace("gedges", "gseeds", keys="grp, repo_id")),
+    "seed_overlap_many": ask("""
+SELECT repo_id, node, string_agg(CAST(grp AS VARCHAR), ',' ORDER BY grp) AS grps, CAST(count(*) AS INT) AS hits, min(hops) AS distance
+FROM (SELECT repo_id, grp, node, min(hops) AS hops FROM felt GROUP BY ALL) GROUP BY repo_id, node""",
+                             policy("usable", ("imports",)), """
+felt AS (
+  SELECT repo_id, ord AS grp, src AS node, 0 AS hops FROM imports WHERE ord % 40 = 1
+  UNION
+  SELECT f.repo_id, f.grp, u.src, f.hops + 1 FROM felt f JOIN usable u ON u.repo_id = f.repo_id AND u.dst = f.node
+  WHERE f.hops < 3)"""),
     "affected_between": ask("SELECT DISTINCT repo_id, node, distance, true AS present FROM found",
                             "came AS (SELECT DISTINCT repo_id, src AS node FROM edges WHERE line = 2)", """
 mseeds AS MATERIALIZED (

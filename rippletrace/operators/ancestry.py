@@ -113,11 +113,15 @@ def ancestor_of_kind(nodes: DataFrame, kind: str, chain: DataFrame | None = None
 
 
 def project(nodes: DataFrame, picked: DataFrame, level: str,
-            chain: DataFrame | None = None) -> DataFrame:
-    """``picked`` (repo_id, node) at ``level``: itself when admitted, else its ancestor there."""
+            chain: DataFrame | None = None, labels: list[str] | None = None) -> DataFrame:
+    """``picked`` (repo_id, node) at ``level``: itself when admitted, else its ancestor there.
+
+    ``labels`` are columns of ``picked`` that stay with its nodes.
+    """
+    who = [*_KEY, *(labels or [])]
     admitted = nodes.where(level_admits(level, F.col("kind"))).select(
         "repo_id", F.col("id").alias("node"))
-    picked = stored(picked.select(*_KEY).distinct(), "picked")
+    picked = stored(picked.select(*who).distinct(), "picked")
     direct = picked.join(admitted, _KEY, "left_semi")
     rest, missing = materialize(picked.join(admitted, _KEY, "left_anti"), "lift")
     if not missing:
@@ -126,6 +130,5 @@ def project(nodes: DataFrame, picked: DataFrame, level: str,
     targets = nodes.where(F.col("kind") == level).select("repo_id", F.col("id").alias("node"))
     lifted = nearest(nodes.join(rest.withColumnRenamed("node", "id"), ["repo_id", "id"], "left_semi"),
                      targets, chain)
-    raised = (rest.join(lifted, _KEY)
-              .select("repo_id", F.col("ancestor").alias("node")))
+    raised = rest.join(lifted, _KEY).drop("node").withColumnRenamed("ancestor", "node").select(*who)
     return direct.unionByName(raised).distinct()

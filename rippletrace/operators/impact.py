@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import is_dependency_kind, level_admits, worse_freshness
+from ..plans.blocks import sequence_number
 from ..plans.durable import stored
-from ..plans.frontier import reach_set, trace_back
+from ..plans.frontier import reach_set, spread_bits, trace_back
 from ..schemas import DEPENDENCY_KINDS, MAX_DEPTH
 from .ancestry import container_chain, nearest, project
 from .diff import graph_delta
 
-#: Changes that one question may tell apart.
-MAX_GROUPS = 64
-
 
 @dataclass(frozen=True)
 class Filters:
@@ -82,23 +79,21 @@ def seed_overlap(nodes: DataFrame, edges: DataFrame, groups: DataFrame, level: s
                  filters: Filters = Filters(), chain: DataFrame | None = None) -> DataFrame:
     """Which of several changes can be felt at a node: repo_id, node, grps ARRAY, hits, distance.
 
-    groups: repo_id, grp, node, the seeds of each change. All changes share the rounds of one
-    search; ``distance`` is that of the nearest. Where ``hits`` is above 1 they meet.
+    groups: repo_id, grp, node, the seeds of each change, any number of them. All changes share the
+    rounds of one search, in which a change is a bit; ``distance`` is that of the nearest. Where
+    ``hits`` is above 1 they meet.
     """
-    names = groups.select("repo_id", "grp").distinct()
-    start = [project(nodes, groups.where(F.col("grp") == g).select("repo_id", "node"), level, chain).withColumn("grp", F.lit(g))
-             for g in sorted(r.grp for r in names.select("grp").distinct().limit(MAX_GROUPS + 1).collect())]
-    if len(start) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups of seeds")
-    if not start:
-        return groups.select("repo_id", "node", F.array("grp").alias("grps"), F.lit(0).alias("hits"), F.lit(0).alias("distance"))
+    numbered = stored(sequence_number(groups.select("repo_id", "grp").distinct(), ["repo_id"], ["grp"], "idx").select(
+        "repo_id", "grp", F.expr("idx div 64").alias("word"), F.expr("shiftleft(1L, cast(idx % 64 as int))").alias("bits")), "groups")
+    start = project(nodes, groups, level, chain, ["grp"]).join(numbered, ["repo_id", "grp"])
     dependents = admitted_ids(nodes, level).withColumnRenamed("id", "src")
     usable = traversable(edges, filters).join(dependents, ["repo_id", "src"], "left_semi")
     back = stored(usable.select("repo_id", F.col("dst").alias("src"), F.col("src").alias("dst")).distinct(), "back")
-    found = reach_set(back, reduce(DataFrame.unionByName, start).select("repo_id", "grp", "node"), ["repo_id"], ["grp"],
-                      filters.max_depth)
-    return found.groupBy("repo_id", "node").agg(
-        F.array_sort(F.collect_set("grp")).alias("grps"), F.count_distinct("grp").cast("int").alias("hits"),
+    found = spread_bits(back, start.select("repo_id", "node", "word", "bits"), ["repo_id"], filters.max_depth)
+    named = (found.join(numbered.withColumnRenamed("bits", "bit"), ["repo_id", "word"])
+             .where(F.col("bits").bitwiseAND(F.col("bit")) != 0))
+    return named.groupBy("repo_id", "node").agg(
+        F.array_sort(F.collect_list("grp")).alias("grps"), F.count(F.lit(1)).cast("int").alias("hits"),
         F.min("hops").alias("distance"))
 
 

@@ -170,3 +170,29 @@ def raise_values(edges: DataFrame, start: DataFrame, keys: list[str], passed: Ca
         if len(layers) > _MERGE_AFTER:
             layers = [stored(reduce(DataFrame.unionByName, layers).groupBy(*at).agg(most), "known")]
     return layers[0] if len(layers) == 1 else reduce(DataFrame.unionByName, layers).groupBy(*at).agg(most)
+
+
+def spread_bits(edges: DataFrame, start: DataFrame, keys: list[str], max_depth: int | None = None) -> DataFrame:
+    """keys, node, word, bits, hops: the bits that each node first gets after so many hops.
+
+    start: keys, node, word, bits. Many searches over one edge table (keys, src, dst) at once: a
+    search is a bit of a word, so 64 of them share a row, and a hop hands on only bits that the
+    far node lacks. Rows of one node and word hold different bits.
+    """
+    cell = [*keys, "node", "word"]
+    edges = edges.select(*keys, F.col("src").alias("node"), "dst")
+    all_bits = F.bit_or("bits").alias("bits")
+    newest, found = materialize(start.groupBy(*cell).agg(all_bits).withColumn("hops", F.lit(0)), "bits")
+    layers, known, depth = [newest], [newest.drop("hops")], 0
+    while found and (max_depth is None or depth < max_depth):
+        depth += 1
+        step = newest.join(edges, [*keys, "node"]).select(*keys, F.col("dst").alias("node"), "word", "bits").groupBy(*cell).agg(all_bits)
+        had = reduce(DataFrame.unionByName, known).groupBy(*cell).agg(F.bit_or("bits").alias("had"))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long"))))
+        newest, found = materialize(step.join(had, cell, "left").select(*cell, fresh.alias("bits"), F.lit(depth).alias("hops"))
+                                    .where("bits <> 0"), "bits")
+        layers.append(newest)
+        known.append(newest.drop("hops"))
+        if len(known) > _MERGE_AFTER:
+            known = [stored(reduce(DataFrame.unionByName, known).groupBy(*cell).agg(all_bits), "known")]
+    return reduce(DataFrame.unionByName, layers)
