@@ -76,3 +76,29 @@ def test_overlap_of_hundreds_of_changes(spark):
     assert got == {n: (g, d, len(g)) for n, (g, d) in want.items()}
     up = impact.seed_overlap(nodes, edges, groups, "package", Filters(3, ("imports",))).collect()
     assert [(r.node, r.hits, r.distance) for r in up] == [("d", len({g for g, _ in seeds}), 0)]
+
+
+def test_a_module_that_every_root_holds_is_asked_for_once(spark, monkeypatch):
+    """2,000 roots with the same names: one answer per statement, and no table of statements times roots."""
+    from pyspark.sql import functions as F
+
+    from rippletrace.operators import resolve
+
+    n = 2000
+    files = spark.range(n).select(F.lit("r").alias("repo_id"), F.explode(F.array(
+        F.format_string("p%04d/utils.py", "id"), F.format_string("p%04d/include/config.h", "id"))).alias("rel"))
+    roots = spark.range(n).selectExpr("'r' AS repo_id", "format_string('p%04d', id) AS root", "cast(id AS int) AS ord")
+    stmts = spark.range(300).selectExpr(
+        "'r' AS repo_id", "concat('m', id, '.py') AS rel", "0 AS ord", "'utils' AS module", "0 AS level",
+        "array('a', 'b') AS names", "1 AS line", "'x' AS snippet")
+    sizes = []
+    best = resolve._best
+    monkeypatch.setattr(resolve, "_best", lambda found, key: (sizes.append(found.count()), best(found, key))[1])
+    got = resolve.resolve_python(stmts, roots, files).collect()
+    assert {(r.dst, r.ambiguous) for r in got} == {("p0000/utils.py", True)} and len(got) == 300
+    assert max(sizes) <= 2 * n
+    include_roots = roots.withColumn("root", F.concat("root", F.lit("/include")))
+    asks = stmts.selectExpr("repo_id", "rel", "ord", "'config.h' AS path", "true AS angled", "line", "snippet")
+    sizes.clear()
+    got = resolve.resolve_cpp(asks, include_roots, files).collect()
+    assert {(r.dst, r.ambiguous) for r in got} == {("p0000/include/config.h", True)} and len(got) == 300 and not sizes
