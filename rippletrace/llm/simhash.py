@@ -253,16 +253,19 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius
 
     Equal fingerprints are one node (copies combine before the shuffle), so a group of any
     number of copies is one tree member. Null and empty texts have fingerprint 0 and link
-    like any other. A row with a null id keeps its fingerprint and takes its group's
-    component, but lends no name; a group of null ids alone has component null. Repeated
+    like any other. A row with a null id links like any other and takes its group's component,
+    but lends no name; a group of null ids alone has component null. Repeated
     rows stay. Other columns of ``df`` are not handed on. No input gives no rows.
     """
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     each = stored(fingerprints(source, "body", "fp", keep_text=False), "fingerprints")
-    nodes, n = materialize(each.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
-    named = components(links(nodes, radius, n))
-    moved = (nodes.join(named.withColumnRenamed("node", "rep"), "rep", "left")
-             .select("fp", F.coalesce("component", "rep").alias("component")))
+    nodes, n = materialize(each.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    # a fingerprint stands for itself, so that one without an id still links the others
+    named = components(links(nodes.select("fp", F.col("fp").alias("rep")), radius, n))
+    whole = (nodes.join(named.withColumnRenamed("node", "fp"), "fp", "left")
+             .select("fp", F.coalesce("component", "fp").alias("part"), "least"))
+    least = whole.groupBy("part").agg(F.min("least").alias("component"))
+    moved = whole.select("fp", "part").join(least, "part").select("fp", "component")
     return each.join(moved, "fp").select(
         F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 

@@ -62,10 +62,15 @@ def signatures(text: Column) -> Column:
 
 
 def digest(sigs: Column) -> Column:
-    """A fingerprint as a short string: equal sets have equal ones."""
+    """A short name of a fingerprint: equal sets have equal ones."""
     return F.md5(F.array_join(sigs.cast("array<string>"), ","))
 
 
+def written(sigs: Column) -> Column:
+    """A fingerprint as text: the signatures in order, so that likeness can be told from two of them."""
+    return F.array_join(sigs.cast("array<string>"), ",")
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of two signature sets."""
     return _let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
@@ -126,7 +131,9 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Fingerprints of each text and of its edited text, with their likeness and that to the next text.
 
     The edited text ends in the first half of the next text by descending id instead of its
-    own second half. Null texts count as empty; a lone row is its own next one.
+    own second half. Fingerprints are written out (``written``), and both likenesses are those of
+    the sets that they hold. Null texts count as empty; a lone row is its own next one; no rows
+    give no rows. Other columns are not handed on.
     """
     base = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     signed = base.withColumn("sigs", signatures(F.col("body")))
@@ -140,8 +147,8 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     both = edited.select("id", "n_chars", "sigs", F.sha2("edited", 256).alias("edited_sha256"),
                          likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
                          _let(signatures(F.col("edited")), lambda s: F.struct(
-                             digest(s).alias("fingerprint"), likeness(F.col("sigs"), s).alias("near"))).alias("e"))
-    return both.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", digest(F.col("sigs")).alias("fingerprint"),
+                             written(s).alias("fingerprint"), likeness(F.col("sigs"), s).alias("near"))).alias("e"))
+    return both.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", written(F.col("sigs")).alias("fingerprint"),
                        F.col("e.fingerprint").alias("edited_fingerprint"), F.col("e.near").alias("near_edited"), "near_next")
 
 

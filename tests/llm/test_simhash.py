@@ -91,3 +91,20 @@ def test_groups_and_deduplication_of_odd_rows(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(None) == 2 and ids.count(6) == 1 and not {1, 2, 5, 7} & set(ids)
     assert simhash.groups(none(spark)).count() == 0
+
+
+def test_a_null_id_links_the_others(spark):
+    """Ids 1, null, 2 in a chain whose ends are too far apart are one component."""
+    draw = random.Random(4)
+    words = [f"w{k}" for k in range(300)]
+    chain = [" ".join(words)]
+    for _ in range(60):
+        words[draw.randrange(300)] = f"x{draw.randrange(10**6)}"
+        chain.append(" ".join(words))
+    fp = [simhash.fingerprint(t) for t in chain]
+    near = lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 4
+    a, b, c = next((a, b, c) for a in range(60) for b in range(a + 1, 60) for c in range(b + 1, 60)
+                   if near(a, b) and near(b, c) and not near(a, c) and len({fp[a], fp[b], fp[c]}) == 3)
+    df = spark.createDataFrame([(1, chain[a]), (None, chain[b]), (2, chain[c]), (None, "far away")], "doc_id long, text string")
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.groups(df).collect()}
+    assert sorted(v for k, v in got.items() if v is not None) == [1, 1, 1] and None in got.values()

@@ -22,6 +22,10 @@ def test_edited_texts_and_order(spark, monkeypatch):
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert abs(got[i].near_next - len(sets[i] & sets[j]) / len(sets[i] | sets[j])) < 1e-12
         assert (got[i].edited_fingerprint == got[i].fingerprint) == (got[i].near_edited == 1)
+        # both likenesses follow from the fingerprints
+        own, other, after = (set(x.split(",")) for x in (got[i].fingerprint, got[i].edited_fingerprint, got[j].fingerprint))
+        assert abs(got[i].near_edited - len(own & other) / len(own | other)) < 1e-12
+        assert abs(got[i].near_next - len(own & after) / len(own | after)) < 1e-12
     assert len({r.fingerprint for r in got.values()}) >= len({t for _, t in rows}) - 2
 
 
