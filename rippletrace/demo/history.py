@@ -246,6 +246,12 @@ def graph_edges_streamed(spark, sf):
     return edges.select("repo_id", "id", "src", "dst", "valid_from", "valid_to", "provider")
 
 
+def generation_violations_streamed(spark, sf):
+    query, found = live.violations(_live_events(spark, sf), new_path(spark, "monitor"), new_path(spark, "progress"))
+    query.awaitTermination()
+    return found()
+
+
 def bursts_streamed(spark, sf):
     change = (F.when(F.col("event_type") == "purchase", F.lit("created"))
               .when(F.col("event_type") == "error", F.lit("deleted")).otherwise(F.lit("modified")))
@@ -323,6 +329,7 @@ QUERIES = {f.__name__: f for f in (
     decoded_events, quarantined_events, changed_files, changed_files_until, adapter_status, latest_impact,
     checkpoints, current_generation, session_summary, event_log, timeline_markers, graph_nodes_at,
     graph_edges_at, graph_edges_midway, graph_delta, endpoint_warnings, generation_violations,
+    generation_violations_streamed,
     dead_letters, change_bursts, events_read_back, changed_files_from_files, nodes_read_back, changed_files_streamed, adapter_status_streamed, latest_impact_streamed,
     graph_edges_streamed,
     bursts_streamed)}
@@ -379,6 +386,10 @@ ASOF LEFT JOIN present n ON n.repo_id = x.repo_id AND n.id = x.missing AND n.at
 WHERE n.op IS NULL OR n.op = 'rm'""", _OPS, """
 present AS (SELECT repo_id, id, op, CASE WHEN op = 'rm' THEN seq + 0.5 ELSE seq END AS at FROM node_op)"""),
     "generation_violations": _ask("""
+SELECT repo_id, seq, generation, highest FROM (
+  SELECT *, max(generation) OVER (PARTITION BY repo_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest
+  FROM log) x WHERE generation < highest"""),
+    "generation_violations_streamed": _ask("""
 SELECT repo_id, seq, generation, highest FROM (
   SELECT *, max(generation) OVER (PARTITION BY repo_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest
   FROM log) x WHERE generation < highest"""),

@@ -158,6 +158,16 @@ def affected_between(spark, sf):
     return impact.affected_between((n, e.where("evidence.line <> 2")), (n, e), "file", Filters(3, ("imports",)))
 
 
+def affected_by_removal(spark, sf):
+    """A revision without the edges found on line 2, against one that has lost its pending files and their edges."""
+    n, e = fleet.nodes(spark, sf), fleet.edges(spark, sf)
+    stays = n.where("not (kind = 'file' and freshness = 'pending')")
+    ids = stays.select("repo_id", "id")
+    kept = e.join(ids.withColumnRenamed("id", "src"), ["repo_id", "src"], "left_semi").join(
+        ids.withColumnRenamed("id", "dst"), ["repo_id", "dst"], "left_semi").select(*e.columns)
+    return impact.affected_between((n, e.where("evidence.line <> 2")), (stays, kept), "file", Filters(3, ("imports",)))
+
+
 def dangling_edges(spark, sf):
     """Endpoints checked against a graph that has lost its stale files."""
     return integrity.check_endpoints(fleet.nodes(spark, sf).where("freshness <> 'stale'"),
@@ -279,7 +289,7 @@ QUERIES = {f.__name__: f for f in (
     hide_by_pattern, text_filter, architecture_nodes, filesystem_nodes, relevance_filter, hidden_count,
     only_affected, stale_filter, representatives, collapsed_edges, file_graph_edges, containment_edges,
     boundary_links, changed_nodes, impact_state, view_stats, impact_for_view, dangling_edges,
-    seed_overlap, seed_overlap_many, affected_between, containment_problems, path_problems, impact_differences, integrity_report, graph_counts,
+    seed_overlap, seed_overlap_many, affected_between, affected_by_removal, containment_problems, path_problems, impact_differences, integrity_report, graph_counts,
     impact_description, file_owners, package_dependencies, common_directories)}
 
 SQL = {
@@ -399,6 +409,22 @@ felt AS (
 mseeds AS MATERIALIZED (
   SELECT c.repo_id, c.node FROM came c JOIN nodes n ON n.repo_id = c.repo_id AND n.id = c.node AND n.kind = 'file')""",
                             policy("usable", ("imports",)), trace("usable", "mseeds", depth=3)),
+    "affected_by_removal": ask("""
+SELECT f.repo_id, f.node, min(f.distance) AS distance,
+       bool_and(NOT EXISTS (SELECT 1 FROM gone g WHERE g.repo_id = f.repo_id AND g.node = f.node)) AS present
+FROM found f GROUP BY f.repo_id, f.node""", """
+gone AS MATERIALIZED (SELECT repo_id, id AS node FROM nodes WHERE kind = 'file' AND freshness = 'pending'),
+marked AS MATERIALIZED (
+  SELECT e.*, a.node IS NOT NULL OR b.node IS NOT NULL AS lost FROM edges e
+  LEFT JOIN gone a ON a.repo_id = e.repo_id AND a.node = e.src LEFT JOIN gone b ON b.repo_id = e.repo_id AND b.node = e.dst),
+pseeds AS MATERIALIZED (
+  SELECT DISTINCT 'now' AS phase, m.repo_id, m.src AS node FROM marked m
+  JOIN nodes n ON n.repo_id = m.repo_id AND n.id = m.src AND n.kind = 'file' AND n.freshness <> 'pending'
+  WHERE m.lost <> (m.line = 2)
+  UNION ALL SELECT 'was', repo_id, node FROM gone)""", policy("usable", ("imports",), source="marked"), """
+pedges AS MATERIALIZED (
+  SELECT 'now' AS phase, * FROM usable WHERE NOT lost UNION ALL SELECT 'was', * FROM usable WHERE line <> 2)""",
+                               trace("pedges", "pseeds", depth=3, keys="phase, repo_id")),
     "dangling_edges": ask("""
 SELECT DISTINCT e.repo_id, e.id FROM edges e WHERE
   NOT EXISTS (SELECT 1 FROM nodes n WHERE n.repo_id = e.repo_id AND n.id = e.src AND n.freshness <> 'stale')

@@ -33,8 +33,8 @@ def blank_tokens(text: Column, token_pattern: str, is_blank, filler: Column | No
 
 
 def number_lines(text: Column) -> Column:
-    """Suffix every line with ``MARK`` and its 1-based number."""
-    lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n", -1)
+    """Suffix every line with ``MARK`` and its 1-based number; a mark in the text itself becomes a space."""
+    lines = F.split(F.regexp_replace(F.translate(text, MARK, " "), r"\r\n?", "\n"), "\n", -1)
     return F.array_join(
         F.transform(lines, lambda line, i: F.concat(line, F.lit(MARK), (i + 1).cast("string"))),
         "\n",

@@ -8,11 +8,14 @@ overwritten when the batch is retried, so a restart never counts anything twice.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import BooleanType, StructField, StructType
 
+from ..operators.diff import graph_delta
 from ..operators.impact import Filters, blast_radius
 from ..operators.temporal import (
     adapter_aggregates, changed_file_aggregates, state_at,
@@ -23,8 +26,68 @@ from ..schemas import DEAD_LETTER_LIMIT, EDGES, NODES
 from ..sources.events import decode_events
 
 
-#: States that a fold keeps: the newest, and some before it for readers that are still at work.
-KEPT_VERSIONS = 4
+#: Batches after which a kept table is written whole.
+COMPACT_EVERY = 8
+
+
+class KeyedLog:
+    """A table with one row per key, as a full copy and the changes of the batches after it.
+
+    Batch ``n`` writes only rows that it changed, or removed (``gone``); a reader takes the newest of
+    each key. Every ``COMPACT_EVERY`` batches the table is written whole, and what the copy before
+    that covers is dropped. All places follow from the batch's number, so a retried batch overwrites
+    its own. ``first`` is the table before batch 0, empty if not given.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str], first: DataFrame | None = None):
+        self.spark, self.path, self.schema, self.keys = spark, path, schema, keys
+        self.first = spark.createDataFrame([], schema) if first is None else first
+        self.marked = StructType([*schema.fields, StructField("gone", BooleanType())])
+
+    def _place(self, name: str):
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _complete(self, name: str) -> bool:
+        place, fs = self._place(f"{name}/_SUCCESS")
+        return fs.exists(place)
+
+    def last(self) -> int:
+        """The newest batch whose changes are completely written, -1 if there is none."""
+        place, fs = self._place("")
+        if not fs.exists(place):
+            return -1
+        names = [s.getPath().getName() for s in fs.listStatus(place)]
+        return max((int(n.partition("=")[2]) for n in names if n.startswith("delta=") and self._complete(n)), default=-1)
+
+    def at(self, batch: int, below: int | None = None) -> DataFrame:
+        """The table after a batch, from the newest full copy (older than ``below``)."""
+        base = (batch + 1) // COMPACT_EVERY * COMPACT_EVERY - 1
+        while base >= 0 and (base == below or not self._complete(f"base={base}")):
+            base -= COMPACT_EVERY
+        names, rest = self.schema.names, [c for c in self.schema.names if c not in self.keys]
+        rows = (self.first if base < 0 else self.spark.read.schema(self.schema).parquet(f"{self.path}/base={base}")).select(*names)
+        if batch <= max(base, -1):
+            return rows
+        moved = reduce(DataFrame.unionByName, [
+            self.spark.read.schema(self.marked).parquet(f"{self.path}/delta={n}").withColumn("delta", F.lit(n))
+            for n in range(max(base, -1) + 1, batch + 1)])
+        newest = moved.groupBy(*self.keys).agg(F.max_by(F.struct("gone", *rest), "delta").alias("now"))
+        kept = newest.where("not now.gone").select(*self.keys, *[F.col(f"now.{c}") for c in rest]).select(*names)
+        return rows.join(newest.select(*self.keys), self.keys, "left_anti").select(*names).unionByName(kept)
+
+    def write(self, changes: DataFrame, batch: int) -> None:
+        """Keep the changes (the schema's columns and ``gone``) of a batch."""
+        changes.select(*self.marked.names).write.mode("overwrite").parquet(f"{self.path}/delta={batch}")
+        if (batch + 1) % COMPACT_EVERY:
+            return
+        # from the copy before, never from the one that a retry overwrites
+        self.at(batch, below=batch).write.mode("overwrite").parquet(f"{self.path}/base={batch}")
+        covered = batch - COMPACT_EVERY
+        if covered >= 0:
+            drop(self.spark, f"{self.path}/base={covered - COMPACT_EVERY}")
+            for n in range(max(covered - COMPACT_EVERY, -1) + 1, covered + 1):
+                drop(self.spark, f"{self.path}/delta={n}")
 
 
 def stream_events(spark: SparkSession, path: str, repo_id: Column, seq: Column) -> DataFrame:
@@ -63,20 +126,15 @@ def upserts(rows: DataFrame, keys: list[str], aggregates: list[Column], path: st
     """Keep one aggregated row per key up to date: the query's handle, and how to read the table now.
 
     The streaming aggregate is partial before its shuffle. Each batch stores the rows it
-    changed; the newest version of a key is its current row.
+    changed in a ``KeyedLog``.
     """
     updates = rows.groupBy(*keys).agg(*aggregates)
-    spark = rows.sparkSession
-    query = start(updates, _versions(path), checkpoint, "update", trigger)
-    rest = [c for c in updates.columns if c not in keys]
+    log = KeyedLog(rows.sparkSession, path, updates.schema, keys)
 
-    def current() -> DataFrame:
-        versions = (spark.read.schema(updates.schema.add("version", "long")).option("basePath", path)
-                    .parquet(f"{path}/version=*"))
-        return (versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("now"))
-                .select(*keys, "now.*"))
+    def each(batch: DataFrame, batch_id: int) -> None:
+        log.write(batch.withColumn("gone", F.lit(False)), batch_id)
 
-    return query, current
+    return start(updates, each, checkpoint, "update", trigger), lambda: log.at(log.last())
 
 
 def upsert_stream(rows: DataFrame, keys: list[str], aggregates: list[Column], path: str,
@@ -192,16 +250,33 @@ def generation_violations(events: DataFrame) -> DataFrame:
     return seen.where("generation < highest").select("repo_id", "seq", "generation", "highest")
 
 
-def _last_version(spark: SparkSession, path: str) -> int:
-    """The newest completely written version below ``path``, -1 if there is none."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return -1
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    done = [int(n.partition("=")[2]) for n in names if n.startswith("version=") and fs.exists(
-        spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/edges/_SUCCESS"))]
-    return max(done, default=-1)
+def violations(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+               ) -> tuple[StreamingQuery, Callable[[], DataFrame]]:
+    """``generation_violations`` as events arrive: the query's handle, and how to read what was found.
+
+    The highest generation since a repository's last snapshot is kept by key; a batch reads
+    that of its repositories and writes theirs. Events must arrive in order of ``seq``, as they do
+    from one file or partition of a repository.
+    """
+    spark = events.sparkSession
+    kept = KeyedLog(spark, f"{path}/highest", StructType.fromDDL("repo_id string, highest long"), ["repo_id"])
+    found = StructType.fromDDL("repo_id string, seq long, generation long, highest long")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        rows = stored(batch.select("repo_id", "seq", "type", "generation"), "batch")
+        before = kept.at(batch_id - 1).withColumnRenamed("highest", "carried")
+        epochs = running(rows, ["repo_id"], ["seq"], {"epoch": ("sum", (F.col("type") == "snapshot").cast("long"))})
+        seen = running(epochs, ["repo_id", "epoch"], ["seq"], {"highest": ("max", F.col("generation"))}, exclusive=True)
+        carried = F.when(F.col("epoch") == 0, F.col("carried"))
+        judged = stored(seen.join(before, "repo_id", "left").withColumn("highest", F.greatest("highest", carried)), "judged")
+        bad = judged.where("generation < highest").select(*found.names)
+        bad.write.mode("overwrite").parquet(f"{path}/bad/batch={batch_id}")
+        ends = judged.groupBy("repo_id", "epoch").agg(F.max(F.greatest("highest", "generation")).alias("highest"))
+        now = ends.groupBy("repo_id").agg(F.max_by("highest", "epoch").alias("highest"))
+        kept.write(now.withColumn("gone", F.lit(False)), batch_id)
+
+    return (start(events, each, checkpoint, "append", trigger),
+            lambda: spark.read.schema(found).parquet(f"{path}/bad").select(*found.names))
 
 
 def fold(events: DataFrame, nodes: DataFrame, edges: DataFrame, path: str, checkpoint: str,
@@ -209,31 +284,36 @@ def fold(events: DataFrame, nodes: DataFrame, edges: DataFrame, path: str, check
          ) -> tuple[StreamingQuery, Callable[[], tuple[DataFrame, DataFrame]]]:
     """Graph state kept by a stream of events: the query's handle, and how to read (nodes, edges) now.
 
-    Batch ``n`` applies its events to the tables of batch ``n - 1`` and writes new ones; all but
-    the last ``KEPT_VERSIONS`` are dropped. ``on_state(batch, nodes, edges, id)`` may derive more
-    from each state.
+    A batch writes as many rows as it changes, however large the graph; the tables are written
+    whole every ``COMPACT_EVERY`` batches. ``on_state(batch, nodes, edges, id)`` may derive more from
+    each state.
     """
     spark = events.sparkSession
-
-    def tables(batch_id: int) -> tuple[DataFrame, DataFrame]:
-        if batch_id < 0:
-            return nodes, edges
-        return (spark.read.schema(NODES).parquet(f"{path}/version={batch_id}/nodes"),
-                spark.read.schema(EDGES).parquet(f"{path}/version={batch_id}/edges"))
+    kept = [KeyedLog(spark, f"{path}/{name}", schema, ["repo_id", "id"], first)
+            for name, schema, first in (("nodes", NODES, nodes), ("edges", EDGES, edges))]
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch = stored(batch, "batch")
-        was_nodes, was_edges = tables(batch_id - 1)
-        now_nodes, now_edges = state_at(was_nodes, was_edges, batch)
-        now_nodes.select(*NODES.names).write.mode("overwrite").parquet(f"{path}/version={batch_id}/nodes")
-        now_edges.select(*EDGES.names).write.mode("overwrite").parquet(f"{path}/version={batch_id}/edges")
+        touched = batch.where(F.col("type").isin("graph.updated", "snapshot")).select("repo_id").distinct()
+        was = [log.at(batch_id - 1).join(touched, "repo_id", "left_semi") for log in kept]
+        for log, old, new in zip(kept, was, state_at(*was, batch), strict=True):
+            names = log.schema.names
+            new = stored(new.select(*names), "now")
+            change = graph_delta(old.select(*names), new)
+            none = [F.lit(None).cast(log.schema[c].dataType).alias(c) for c in names if c not in log.keys]
+            gone = change.where("change = 'removed'").select(*log.keys, *none, F.lit(True).alias("gone"))
+            came = new.join(change.where("change <> 'removed'"), log.keys, "left_semi").withColumn("gone", F.lit(False))
+            log.write(came.select(*names, "gone").unionByName(gone), batch_id)
         if on_state is not None:
-            on_state(batch, *tables(batch_id), batch_id)
-        if batch_id >= KEPT_VERSIONS:
-            drop(spark, f"{path}/version={batch_id - KEPT_VERSIONS}")
+            on_state(batch, *[log.at(batch_id) for log in kept], batch_id)
 
     query = start(events, each, checkpoint, "append", trigger)
-    return query, lambda: tables(_last_version(spark, path))
+
+    def current() -> tuple[DataFrame, DataFrame]:
+        newest = kept[1].last()
+        return kept[0].at(newest), kept[1].at(newest)
+
+    return query, current
 
 
 def fold_stream(events: DataFrame, nodes: DataFrame, edges: DataFrame, path: str, checkpoint: str,
