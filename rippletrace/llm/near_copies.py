@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippletrace.plans.durable import materialize, stored
+from rippletrace.plans.durable import Rounds, materialize, stored
 
 from . import simhash
 from .common import annotate, free, give_back
@@ -37,7 +37,7 @@ THRESHOLD = 0.8
 BANDS = 24
 ROWS = 5
 SEED = 42
-#: Pairs of a round up to which they are broadcast to the table of sets.
+#: Pairs of a round, or sets to fetch, up to which they are broadcast (3 MB).
 BROADCAST_PAIRS = 100_000
 #: Counters of the table of shingle counts: 2 MB, whatever the corpus.
 COUNTERS = 1 << 18
@@ -254,7 +254,8 @@ def links(sets: DataFrame, first_pairs: DataFrame | None = None, threshold: floa
             compare(pairs, n)
     rows = stored(sets.mapInArrow(_prefixes(_counted(sets), threshold), "key long, node long, size int, place int"), "prefixes")
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    left, most = materialize(rows.join(shared, "key", "left_semi"), "shared")
+    rounds = Rounds("open")
+    left, most = rounds.write(rows.join(shared, "key", "left_semi"))
     new, first, last = 1, 1, 1
     while most:
         parted = left.drop("n")
@@ -265,7 +266,7 @@ def links(sets: DataFrame, first_pairs: DataFrame | None = None, threshold: floa
         # keys of one component, and those whose members have all met, are done
         open_ = parted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
         open_ = open_.where((F.col("low") < F.col("high")) & (F.col("n") > first)).select("key", "n")
-        left, most = materialize(parted.join(open_, "key").select(*_COLUMNS, "n"), "open", F.max("n"))
+        left, most = rounds.write(parted.join(open_, "key").select(*_COLUMNS, "n"), F.max("n"))
         if not most:
             break
         dealt = _chunked(left, most).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "size", "node")
@@ -297,8 +298,11 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     crowded = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     some = (buckets.join(crowded, "key", "left_semi").select("node")
             .unionByName(trees.select(F.explode(F.array("a", "b")).alias("node"))).distinct())
-    need = some.join(nodes, "node").select("node", F.col("lead.id").alias("of"), F.col("lead.mark").alias("of_mark"))
-    texts = (source.join(need, (F.col("mark") == F.col("of_mark")) & F.col("id").eqNullSafe(F.col("of")))
+    need, n = materialize(some.join(nodes, "node").select(
+        "node", F.col("lead.id").alias("of"), F.col("lead.mark").alias("of_mark")), "need")
+    # the texts themselves travel only if many are asked for
+    asked = F.broadcast(need) if n <= BROADCAST_PAIRS else need
+    texts = (source.join(asked, (F.col("mark") == F.col("of_mark")) & F.col("id").eqNullSafe(F.col("of")))
              .select("node", "body"))
     sets = stored(annotate(texts, "body", "sh array<long>", _sets, keep_text=False).dropDuplicates(["node"]), "sets")
     named = links(sets, trees, threshold)

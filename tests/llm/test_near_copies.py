@@ -1,8 +1,9 @@
 import random
 
 import corpus_pipeline
+import pytest
 
-from rippletrace.llm import near_copies
+from rippletrace.llm import graph, near_copies
 
 from .cases import none, odd, words
 
@@ -35,7 +36,9 @@ def _edited(draw, base, times):
     return " ".join(w)
 
 
-def test_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("local", [graph.LOCAL_LINKS, 0])
+def test_groups_equal_brute_force(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL_LINKS", local)
     draw = random.Random(5)
     texts = []
     for k in range(40):
