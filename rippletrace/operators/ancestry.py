@@ -6,8 +6,6 @@ than the nodes; a node then needs one join with the chain of its parent.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from ..plans.durable import materialize, stored
 from ..schemas import MAX_ANCESTORS
 
 _KEY = ["repo_id", "node"]
-_STEPS_PER_JOB = 4
+_DOUBLINGS_PER_JOB = 2
 
 
 def parent_links(nodes: DataFrame) -> DataFrame:
@@ -24,7 +22,11 @@ def parent_links(nodes: DataFrame) -> DataFrame:
 
 
 def _climb(nodes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(existing containers, ancestors of containers at depth 1..limit)."""
+    """(existing containers, ancestors of containers at depth 1..limit).
+
+    By doubling: what is up to 2k above a node is what is up to k above it, and up to k above its
+    k-th ancestor, so 64 levels take six steps. Chains in a parent cycle just go round.
+    """
     ids = nodes.select("repo_id", F.col("id").alias("node"))
     links = parent_links(nodes)
     containers = stored(
@@ -34,26 +36,25 @@ def _climb(nodes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
         links.join(containers, _KEY, "left_semi")
         .join(containers.withColumnRenamed("node", "parent"), ["repo_id", "parent"], "left_semi")
         .select("repo_id", "node", "parent"), "up")
-    hop = up.select("repo_id", F.col("node").alias("ancestor"), F.col("parent").alias("above"))
-    step = up.select("repo_id", "node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    layers, depth, found = [step], 1, 1
-    while found and depth < limit:
-        # containers are few: climb several steps per job
-        current, climbed = step, []
-        for _ in range(min(_STEPS_PER_JOB, limit - depth)):
-            depth += 1
-            current = (current.where("node <> ancestor").join(hop, ["repo_id", "ancestor"])
-                       .select("repo_id", "node", F.col("above").alias("ancestor"),
-                               F.lit(depth).alias("depth")))
-            if depth > 2 * _STEPS_PER_JOB:  # deeper chains are cycles more often than trees
-                current = current.join(reduce(DataFrame.unionByName, layers),
-                                       ["repo_id", "node", "ancestor"], "left_anti")
-            climbed.append(current)
-        layer, found = materialize(reduce(DataFrame.unionByName, climbed), "climb",
-                                   F.count_if(F.col("depth") == depth))
-        layers.append(layer)
-        step = layer.where(F.col("depth") == depth)
-    return containers, reduce(DataFrame.unionByName, layers)
+    at = ["repo_id", "node"]
+    far = up.select(*at, F.col("parent").alias("ancestor"))
+    table, span, found = far.withColumn("depth", F.lit(1)), 1, 1
+    while found and span < limit:
+        began = span
+        for _ in range(_DOUBLINGS_PER_JOB):
+            if span >= limit:
+                break
+            # all ancestors up to ``span`` of the node that is ``span`` above
+            jump = far.select(*at, F.col("ancestor").alias("over"))
+            further = jump.join(table.select("repo_id", F.col("node").alias("over"), "ancestor", "depth"), ["repo_id", "over"]).select(
+                *at, "ancestor", (F.col("depth") + span).alias("depth"))
+            table = table.unionByName(further.where(F.col("depth") <= limit))
+            far = jump.join(far.select("repo_id", F.col("node").alias("over"), "ancestor"), ["repo_id", "over"]).select(*at, "ancestor")
+            span *= 2
+        table, found = materialize(table, "climb", F.count_if(F.col("depth") > began))
+        if span < limit:
+            far = table.where(F.col("depth") == span).select(*at, "ancestor")
+    return containers, table
 
 
 def container_chain(nodes: DataFrame, limit: int = MAX_ANCESTORS) -> DataFrame:

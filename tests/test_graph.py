@@ -251,3 +251,21 @@ def test_sketched_reach_is_near(spark, monkeypatch):
     exact = {(r.repo_id, r.node): r.dependents for r in closure.transitive_counts(edges).collect()}
     assert set(near) == set(exact) and max(exact.values()) > 300 and near["s", "c"] == 2
     assert max(abs(near[n] - c) / c for n, c in exact.items()) < 0.03
+
+
+def test_deep_trees_and_parent_cycles(spark):
+    """Sixty levels, a shallow branch, a cycle of three with a tail, and a missing parent, against plain climbing."""
+    parent = {f"d{k:02d}": f"d{k - 1:02d}" if k else "" for k in range(60)}
+    parent |= {"leaf": "d59", "side": "d10", "c1": "c2", "c2": "c3", "c3": "c1", "tail": "c1", "own": "own", "lost": "gone"}
+    nodes = nodes_of(spark, [(i, "directory", p) for i, p in parent.items()])
+    want = set()
+    for node in parent:
+        at, depth, seen = node, 0, {node}
+        want.add((node, node, 0))
+        while (at := parent.get(at, "")) and at in parent and at not in seen and depth < 63:
+            depth += 1
+            seen.add(at)
+            want.add((node, at, depth))
+    got = {(r.node, r.ancestor, r.depth) for r in ancestry.ancestors(nodes).collect()}
+    assert got == want
+    assert rows(ancestry.parent_cycles(nodes), "node") == [("c1",), ("c2",), ("c3",), ("own",)]
