@@ -10,18 +10,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, Query]:
-    from . import corpus, dirty, graph, history, views
+    from . import changes, corpus, dirty, graph, history, views
 
     out: dict[str, Query] = {}
-    for module in (graph, views, history, corpus, dirty):
+    for module in (graph, views, history, corpus, dirty, changes):
         out.update(module.QUERIES)
     return out
 
 
 def all_sql() -> dict[str, str]:
-    from . import corpus, dirty, graph, history, views
+    from . import changes, corpus, dirty, graph, history, views
 
     out: dict[str, str] = {}
-    for module in (graph, views, history, corpus, dirty):
+    for module in (graph, views, history, corpus, dirty, changes):
         out.update(module.SQL)
     return out
