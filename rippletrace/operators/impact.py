@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import is_dependency_kind, level_admits, worse_freshness
 from ..plans.blocks import sequence_number
 from ..plans.durable import stored
-from ..plans.frontier import reach_set, spread_bits, trace_back
+from ..plans.frontier import spread_bits, trace_back
 from ..schemas import DEPENDENCY_KINDS, MAX_DEPTH
 from .ancestry import container_chain, nearest, project
 from .diff import graph_delta
