@@ -253,24 +253,27 @@ WITH p AS (
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents),
-w AS (
+w AS MATERIALIZED (
   SELECT lang, ws, count(*) AS times
   FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p) GROUP BY lang, ws),
-g AS (
+g AS MATERIALIZED (
   SELECT lang, size, phrase, CAST(sum(times) AS BIGINT) AS f
   FROM (SELECT lang, times, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase
         FROM (SELECT lang, ws, times, size, unnest(range(1, len(ws) - size + 2)) AS i
               FROM w, range(1, {collocations.LONGEST + 1}) s(size) WHERE len(ws) >= size))
   GROUP BY lang, size, phrase),
 n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE size = 1 GROUP BY lang),
-c AS (
+c AS MATERIALIZED (
   SELECT *, string_split(phrase, ' ') AS ws FROM g WHERE size > 1 AND f >= {collocations.MIN_COUNT}),
+parts AS MATERIALIZED (
+  SELECT lang, phrase, f AS a, k, array_to_string(ws[1:k], ' ') AS first, array_to_string(ws[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+often AS MATERIALIZED (SELECT lang, phrase, f FROM g WHERE f >= {collocations.MIN_COUNT}),
 cut AS (
-  SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r,
-         ({collocations.SCALE}::HUGEINT * c.f) // (l.f::HUGEINT + r.f::HUGEINT) AS score
-  FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c
-  JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:k], ' ')
-  JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[k + 1:], ' ')),
+  SELECT p.lang, p.phrase, a, k, l.f AS l, r.f AS r,
+         ({collocations.SCALE}::HUGEINT * a) // (l.f::HUGEINT + r.f::HUGEINT) AS score
+  FROM parts p JOIN often l ON l.lang = p.lang AND l.phrase = p.first
+  JOIN often r ON r.lang = p.lang AND r.phrase = p.rest),
 weakest AS (
   SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 around AS (
