@@ -6,8 +6,9 @@ deleted, and the ranks of the two neighbouring boundaries are refreshed, until n
 has a rank. Longer words keep the same two arrays and find the smallest rank with a heap,
 because a scan for each merge would be quadratic.
 
-A word is merged once in a task, however often it occurs; the pieces of a block between
-single spaces are numbered by a dictionary and looked up as one array.
+A word is merged once in a task, however often it occurs; the short words that a block brings
+are merged side by side, each by its own arrays. The pieces of a block between single spaces
+are numbered by a dictionary and looked up as one array.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from .common import blocks, give_back
 
 #: How byte-level tokenizers part a text into words (a fixed value of the format).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes up to which the smallest rank of a word is found by a scan.
+#: Bytes up to which the smallest rank of a word is found by a scan; below 256, so that a boundary fits a byte.
 SHORT = 128
+#: Words of like length that are merged side by side, and fewest for which that pays.
+BATCH, FEW = 4096, 16
 #: Pieces, and characters in them, whose ids a task remembers between blocks.
 MEMO = 300_000
 MEMO_CHARS = 16_000_000
@@ -107,6 +110,78 @@ def merge_short(word: bytes, ranks: dict[tuple[bytes, int], int]) -> list[int]:
     return bounds
 
 
+class RankTable:
+    """The merges by number: parts are numbered, and a pair of parts is looked up in a sorted array."""
+
+    def __init__(self, ids: dict[bytes, int], ranks: dict[tuple[bytes, int], int]):
+        parts: dict[bytes, int] = {bytes([b]): b for b in range(256)}
+        pairs = [(parts.setdefault(whole[:cut], len(parts)), parts.setdefault(whole[cut:], len(parts)),
+                  parts.setdefault(whole, len(parts)), rank) for (whole, cut), rank in ranks.items()]
+        left, right, whole, rank = np.array(pairs, np.int64).reshape(-1, 4).T
+        self.parts = len(parts)
+        pair = left * self.parts + right
+        order = np.argsort(pair)
+        # a last pair that nobody asks for, so that every search ends inside
+        self.pair = np.append(pair[order], np.iinfo(np.int64).max)
+        self.rank = np.append(rank[order], _NEVER >> 8)
+        self.whole = np.append(whole[order], 0)
+        #: the id of a part, -1 where it has none
+        self.ids = np.array([ids.get(p, -1) for p in parts], np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of each pair's merge, ``_NEVER >> 8`` where it has none, and what it becomes."""
+        pair = left * self.parts + right
+        at = np.searchsorted(self.pair, pair)
+        return np.where(self.pair[at] == pair, self.rank[at], _NEVER >> 8), self.whole[at]
+
+
+def merge_batch(words: list[bytes], table: RankTable) -> tuple[np.ndarray, np.ndarray]:
+    """As ``merge_short`` for many words of ``SHORT`` bytes at most: the ids of all, and how many each has.
+
+    A word is a column. Row b holds its boundary before byte b, as the rank of the merge that would
+    remove it times 256 plus b, so that a column's smallest number is the first of its smallest ranks.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    n, longest = len(words), int(sizes.max())
+    part = np.zeros((n, longest + 1), np.int64)
+    inside = np.arange(longest + 1) < sizes[:, None]
+    part[inside] = np.frombuffer(b"".join(words), np.uint8)
+    part = np.ascontiguousarray(part.T)
+    stays = np.ascontiguousarray(inside.T)
+    rows = np.arange(longest + 1)[:, None]
+    before = np.repeat(rows - 1, n, axis=1)
+    after = np.repeat(rows + 1, n, axis=1)
+    at = np.full((longest + 1, n), _NEVER, np.int64)
+    becomes = np.zeros((longest + 1, n), np.int64)
+    b, c = np.nonzero(stays[1:])
+    b += 1
+    rank, becomes[b, c] = table.find(part[b - 1, c], part[b, c])
+    at[b, c] = (rank << 8) + b
+
+    def refresh(b: np.ndarray, c: np.ndarray) -> None:
+        rank, becomes[b, c] = table.find(part[before[b, c], c], part[b, c])
+        at[b, c] = (rank << 8) + b
+
+    columns = np.arange(n)
+    while len(columns):
+        least = (at if len(columns) == n else at[:, columns]).min(axis=0)
+        live = (least >> 8) < (_NEVER >> 8)
+        columns, b = columns[live], least[live] & 255
+        left, right = before[b, columns], after[b, columns]
+        part[left, columns] = becomes[b, columns]
+        at[b, columns] = _NEVER
+        stays[b, columns] = False
+        after[left, columns], before[right, columns] = right, left
+        inner = left > 0
+        refresh(left[inner], columns[inner])
+        inner = right < sizes[columns]
+        refresh(right[inner], columns[inner])
+    ids = table.ids[part.T[stays.T]]
+    if (ids < 0).any():
+        raise ValueError("a merge makes a token that the vocabulary lacks")
+    return ids.astype(np.uint32), stays.sum(axis=0)
+
+
 def merge_long(word: bytes, ranks: dict[tuple[bytes, int], int]) -> list[int]:
     """As ``merge_short``: the smallest rank comes from a heap, deleted boundaries are linked over."""
     n = len(word)
@@ -139,6 +214,31 @@ def merge_long(word: bytes, ranks: dict[tuple[bytes, int], int]) -> list[int]:
     return bounds
 
 
+class _Runs:
+    """Numbered runs of ids in one array."""
+
+    def __init__(self):
+        self.flat = np.zeros(0, np.uint32)
+        self.start = self.size = np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def add_lists(self, lists: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.add(np.fromiter((i for ids in lists for i in ids), np.uint32, int(sizes.sum())), sizes)
+
+    def take(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered runs, one after the other, and how many ids ``counts`` runs have each time."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[numbers] - ends + size, size)
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return self.flat[where], np.diff(bounds)
+
+
 class Encoder:
     """Ids of texts, block by block; the memory of pieces is dropped when it has grown to its bound."""
 
@@ -150,15 +250,17 @@ class Encoder:
         strings = sorted(vocabulary.added, key=len, reverse=True)
         self._added = regex.compile("(" + "|".join(map(regex.escape, strings)) + ")") if strings else None
         self._library = ByteLevel(add_prefix_space=False)
+        self._table = RankTable(vocabulary.ids, vocabulary.ranks)
         self._forget()
 
     def _forget(self) -> None:
         self.codes: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
+        # words by text, strings that are one token by id
+        self.words: dict[str | int, int] = {}
+        self.word_ids = _Runs()
         self.open: set[int] = set()
         self.held = 0
-        self.flat = np.zeros(0, np.uint32)
-        self.start = self.size = np.zeros(0, np.int64)
+        self.piece_ids = _Runs()
 
     def _split(self, piece: str) -> list[str]:
         """Words of a piece.
@@ -179,29 +281,50 @@ class Encoder:
         merge = merge_short if len(raw) <= SHORT else merge_long
         return [ids[raw[a:b]] for a, b in pairwise(merge(raw, self.vocabulary.ranks))]
 
-    def _piece_ids(self, piece: str) -> list[int]:
+    def _mixed(self, piece: str) -> list[str | int]:
+        """Words of a piece, and the ids of the strings in it that are one token."""
         out = []
         # odd places hold the strings that are one token
-        for k, part in enumerate(self._added.split(piece) if self._added else [piece]):
+        for k, part in enumerate(self._added.split(piece)):
             if k % 2:
                 out.append(self.vocabulary.added[part])
-                continue
-            for word in self._split(part):
-                ids = self.words.get(word)
-                if ids is None:
-                    ids = self.words[word] = self._merge(word)
-                out += ids
+            else:
+                out += self._split(part)
         return out
 
+    def _learn_words(self, fresh: list[str | int]) -> None:
+        """Number the words and merge them, short ones beside others of like length."""
+        short, few = [], []
+        for word in fresh:
+            raw = word.encode("utf-8", "surrogatepass") if isinstance(word, str) else b""
+            (short if 2 <= len(raw) <= SHORT else few).append((len(raw), raw, word))
+        if len(short) < FEW:
+            few, short = few + short, []
+        short.sort(key=lambda w: w[0])
+        for start in range(0, len(short), BATCH):
+            batch = short[start:start + BATCH]
+            self._name([word for _, _, word in batch])
+            self.word_ids.add(*merge_batch([raw for _, raw, _ in batch], self._table))
+        if few:
+            self._name([word for _, _, word in few])
+            self.word_ids.add_lists([self._merge(word) if isinstance(word, str) else [word] for _, _, word in few])
+
+    def _name(self, words: list[str | int]) -> None:
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
+
     def _learn(self, fresh: list[str]) -> None:
-        found = [self._piece_ids(p) for p in fresh]
+        # a string that is one token shows in the pieces put together, too
+        mixed = self._added and self._added.search("\0".join(fresh))
+        found = [(self._mixed if mixed else self._split)(p) for p in fresh]
+        unknown = [w for w in dict.fromkeys(w for f in found for w in f) if w not in self.words]
+        if unknown:
+            self._learn_words(unknown)
         self.held += sum(map(len, fresh))
         self.open.update(len(self.codes) + k for k, p in enumerate(fresh) if self._blank_end.search(p))
         self.codes.update(zip(fresh, range(len(self.codes), len(self.codes) + len(fresh)), strict=True))
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for f in found for i in f), np.uint32, int(size.sum()))])
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        numbers = np.fromiter((self.words[w] for f in found for w in f), np.int64, int(counts.sum()))
+        self.piece_ids.add(*self.word_ids.take(numbers, counts))
 
     def _closed(self, pieces: list[str]) -> list[str]:
         """Pieces joined with the next one wherever they end in white space."""
@@ -253,11 +376,7 @@ class Encoder:
                 parts[k] = np.array(self._numbered([texts[k]]), np.int64)
             counts = np.fromiter(map(len, parts), np.int64, len(parts))
             codes = np.concatenate(parts)
-        size = self.size[codes]
-        ends = np.cumsum(size)
-        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[codes] - ends + size, size)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return self.flat[where], np.diff(bounds)
+        return self.piece_ids.take(codes, counts)
 
 
 def _texts(raw: pa.Array, offsets: np.ndarray) -> pa.Array:

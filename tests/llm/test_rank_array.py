@@ -51,6 +51,15 @@ def test_scan_and_heap_agree():
         assert rank_array.merge_short(word, OWN.ranks) == rank_array.merge_long(word, OWN.ranks)
 
 
+def test_words_merged_side_by_side_are_those_merged_alone():
+    draw = random.Random(4)
+    words = [bytes(draw.choice(b"theinaros \xc3\xa9") for _ in range(draw.randint(1, rank_array.SHORT))) for _ in range(400)]
+    ids, counts = rank_array.merge_batch(words, rank_array.RankTable(OWN.ids, OWN.ranks))
+    bounds = [rank_array.merge_short(w, OWN.ranks) for w in words]
+    assert counts.tolist() == [len(b) - 1 for b in bounds]
+    assert ids.tolist() == [OWN.ids[w[a:z]] for w, b in zip(words, bounds, strict=True) for a, z in zip(b, b[1:])]
+
+
 def test_one_word_of_a_million_letters():
     text = "ha" * 500_000
     assert _own([text])[0] == _other(text)[0]
