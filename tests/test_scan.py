@@ -196,3 +196,35 @@ def test_symbol_uses_follow_reexports(spark):
     assert rows(got, "rel", "target", "symbol", "kind", "line") == [
         ("main.py", "pkg/c.py", "build", "calls", 3), ("main.py", "pkg/deep.py", "low", "calls", 5),
         ("main.py", "pkg/sub.py", "run", "references", 4)]
+
+
+def test_comments_go_in_one_pass_where_they_hold_no_line_break(spark):
+    """Counts of Java regex calls don't show; each text is read as the token-by-token reading reads it."""
+    from pyspark.sql import functions as F
+
+    from rippletrace.functions import blank_tokens, drop_tokens
+    from rippletrace.sources import scan
+
+    texts = ["", "a", "/", "//", "/**/x", "/*/ \n*/y", "a /* b\nc */ d // e\nf", "'/*' \"//\" `/*`", "x /* never closed",
+             "x /* never\nclosed", "// a /* b\nc", 'R"x(/* )" )x" y', 'u8R"(a\nb)" // c\nd', 'aR"(b)"', "1'000 /* c */ 'd'",
+             "$1 ${kept} \\ /* x */ $", "/* é\U0001f600 */ é\U0001f600 // z", "inc/**/lude", "/* a */" * 500 + "\n" + "q" * 5000, None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    raw = r"^(u8|[uUL])?R\""
+    for dropped, kept, more in ((scan._TS_DROPPED, scan._TS_KEPT, ""), (scan._CPP_DROPPED, scan._CPP_KEPT, '|R"')):
+        def gone(t, raw=raw if more else r"\A\z"):
+            return t.rlike(r"^/[/*]") | t.rlike(raw)
+        got = df.select("t", drop_tokens(F.col("t"), dropped, kept, scan._COMMENT + more, scan._LONG_COMMENT + more, gone).alias("one"),
+                        blank_tokens(F.col("t"), f"(?:{dropped}|{kept})", gone).alias("each")).collect()
+        assert [r.one for r in got] == [r.each for r in got]
+
+
+def test_statements_parted_by_comments_are_found(spark):
+    from rippletrace.sources import scan
+
+    files = spark.createDataFrame([
+        ("r", "a.cpp", '#inc/* x */lude "a.h"\n'), ("r", "b.cpp", '#/**/include <b.h>\n'), ("r", "c.h", "#pragma once\n"),
+        ("r", "d.ts", 'im/* x */port x from "./d"\n'), ("r", "e.ts", "req/**/uire('./e')\n"), ("r", "f.ts", "export const v = 1\n"),
+        ("r", "g.ts", 'const a = import ( "./g" ); require(`./h`)\nexport * from \'./i\' // "j"\n')], "repo_id string, rel string, content string")
+    assert sorted((r.rel, r.path) for r in scan.cpp_includes(files).collect()) == [("a.cpp", "a.h"), ("b.cpp", "b.h")]
+    assert sorted((r.rel, r.spec) for r in scan.ts_import_specs(files).collect()) == [
+        ("d.ts", "./d"), ("e.ts", "./e"), ("g.ts", "./g"), ("g.ts", "./h"), ("g.ts", "./i")]
