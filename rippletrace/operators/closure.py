@@ -9,7 +9,9 @@ Exact sets are bit cells: a row holds 64 super nodes, so a pair costs a bit inst
 row, and ``bit_or`` combines before the shuffle. Sketches hold a bounded number of bytes per node and are
 merged the same way, for graphs whose exact closure would be too large.
 
-A repository of at most ``cycles.LOCAL_EDGES`` edges is closed in a task of its own, by the same steps.
+Nodes that no path of edges joins, whatever its direction, have nothing to do with each other. A repository of at most
+``cycles.LOCAL_EDGES`` edges is taken apart in a task of its own, which closes the parts of up to ``PART_EDGES`` edges
+by the same steps and hands the larger ones back, to be walked by all tasks.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,11 @@ from .scores import level_filters
 BAND = 6
 #: Registers of a sketch, as a power of two: a standard error of about 0.8 %.
 SKETCH_BITS = 14
-#: Columns of a task's bit table that are worked out at once.
+#: Edges of a part of the graph up to which one task closes it; its work grows with the square of the part.
+PART_EDGES = 50_000
+#: Columns of a task's bit table that are worked out at once, and those that small parts share.
 _COLUMNS = 4096
+_SHARED = 512
 
 
 def _merged(rows: DataFrame, cell: list[str], merge: Column) -> DataFrame:
@@ -86,50 +91,96 @@ def _topological(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
     return np.array(out)
 
 
+def parts_of(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that edges, taken both ways, join with each of ``n`` nodes."""
+    part = np.arange(n)
+    while True:
+        a, b = part[src], part[dst]
+        apart = a != b
+        if not apart.any():
+            return part
+        src, dst, a, b = src[apart], dst[apart], a[apart], b[apart]
+        np.minimum.at(part, np.maximum(a, b), np.minimum(a, b))
+        while (part[part] != part).any():
+            part = part[part]
+
+
 def reached_by(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
     """How many other nodes reach each of ``n`` nodes: components, then bit rows in topological order.
 
-    The columns of the bit table are taken ``_COLUMNS`` at a time, so it never holds n x n bits.
+    A part of the graph has a bit table of its own, or shares one with others as small. Its
+    columns are taken ``_COLUMNS`` at a time, so it never holds n x n bits.
     """
     root, component = np.unique(cycles.components_of(src, dst, n), return_inverse=True)
     a, b = component[src], component[dst]
-    dag = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
     c = len(root)
+    dag = np.unique(a[a != b] * c + b[a != b])
+    a, b = dag // c, dag % c
+    rank = np.empty(c, np.int64)
+    rank[_topological(a, b, c)] = np.arange(c)
+    part = parts_of(a, b, c)
+    by_part = np.lexsort((rank, part))
+    ends = np.append(np.flatnonzero(np.diff(part[by_part])) + 1, c)
     place = np.empty(c, np.int64)
-    place[_topological(dag[:, 0], dag[:, 1], c)] = np.arange(c)
+    place[by_part] = np.arange(c)
     size = np.bincount(place[component], minlength=c)
-    a, b = place[dag[:, 0]], place[dag[:, 1]]
+    a, b = place[a], place[b]
     order = np.argsort(b, kind="stable")
     before, first = a[order], np.searchsorted(b[order], np.arange(c + 1)).tolist()
     total = np.zeros(c, np.int64)
-    for low in range(0, c, _COLUMNS):
-        high = min(c, low + _COLUMNS)
-        bits = np.zeros((c - low, _COLUMNS // 64), np.uint64)
-        own = np.arange(high - low)
-        bits[own, own >> 6] = np.uint64(1) << (own & 63).astype(np.uint64)
-        for v in range(low, c):
-            into = before[first[v]:first[v + 1]]
-            into = into[into >= low] - low
-            if len(into):
-                bits[v - low] |= np.bitwise_or.reduce(bits[into], axis=0)
-        weight = np.zeros(_COLUMNS, np.int64)
-        weight[:high - low] = size[low:high]
-        for at in range(0, c - low, 1024):
-            some = np.unpackbits(bits[at:at + 1024].view(np.uint8), axis=1, bitorder="little")
-            total[low + at:low + at + len(some)] += some @ weight
+    begin = 0
+    while begin < c:
+        # whole parts, as many as share a table, or one
+        end = int(ends[max(np.searchsorted(ends, begin + _SHARED, "right") - 1, np.searchsorted(ends, begin, "right"))])
+        for low in range(begin, end, _COLUMNS):
+            high = min(end, low + _COLUMNS)
+            words = -(-(high - low) // 64)
+            bits = np.zeros((end - low, words), np.uint64)
+            own = np.arange(high - low)
+            bits[own, own >> 6] = np.uint64(1) << (own & 63).astype(np.uint64)
+            for v in range(low, end):
+                if first[v] == first[v + 1]:
+                    continue
+                into = before[first[v]:first[v + 1]]
+                into = into[into >= low] - low
+                if len(into):
+                    bits[v - low] |= np.bitwise_or.reduce(bits[into], axis=0)
+            weight = np.zeros(64 * words, np.int64)
+            weight[:high - low] = size[low:high]
+            for at in range(0, end - low, 1024):
+                some = np.unpackbits(bits[at:at + 1024].view(np.uint8), axis=1, bitorder="little")
+                total[low + at:low + at + len(some)] += some @ weight
+        begin = end
     return (total - 1)[place[component]]
 
 
 def _local(pairs: DataFrame) -> DataFrame:
-    """repo_id, node, dependents for repositories of a bounded number of edges, each in one task."""
-    def close(part: pd.DataFrame) -> pd.DataFrame:
-        code, names = pd.factorize(pd.concat([part["src"], part["dst"]], ignore_index=True))
-        half = len(part)
-        return pd.DataFrame({"repo_id": part["repo_id"].iloc[0], "node": names,
-                             "dependents": reached_by(code[:half], code[half:], len(names))})
+    """repo_id, node, dependents of repositories of a bounded number of edges, each in one task.
+
+    An edge of a part that is too large for that has a row with ``dst`` instead.
+    """
+    bound = PART_EDGES
+
+    def close(key: tuple, rows: pa.Table) -> pa.Table:
+        src, dst, names = cycles.numbered(rows)
+        part = parts_of(src, dst, len(names))
+        large = (np.bincount(part[src], minlength=len(names)) > bound)[part]
+        left = np.flatnonzero(large[src])
+        kept = ~large[src]
+        some, code = np.unique(np.concatenate([src[kept], dst[kept]]), return_inverse=True)
+        half = np.count_nonzero(kept)
+        counts = reached_by(code[:half], code[half:], len(some)) if half else np.zeros(0, np.int64)
+        felt = counts > 0
+        mine = names.take(pa.array(some[felt]))
+        none, far = pa.nulls(len(mine), names.type), names.take(pa.array(dst[left]))
+        return pa.table({
+            "repo_id": pa.repeat(key[0], len(mine) + len(far)),
+            "node": pa.concat_arrays([mine, names.take(pa.array(src[left]))]), "dst": pa.concat_arrays([none, far]),
+            "dependents": pa.concat_arrays([pa.array(counts[felt], pa.int64()), pa.nulls(len(far), pa.int64())])})
 
     kind = dict(pairs.dtypes)
-    return pairs.groupBy("repo_id").applyInPandas(close, f"repo_id {kind['repo_id']}, node {kind['src']}, dependents long").where("dependents > 0")
+    return pairs.groupBy("repo_id").applyInArrow(
+        close, f"repo_id {kind['repo_id']}, node {kind['src']}, dst {kind['src']}, dependents long")
 
 
 def transitive_counts(edges: DataFrame, approx: bool = False) -> DataFrame:
@@ -141,10 +192,15 @@ def transitive_counts(edges: DataFrame, approx: bool = False) -> DataFrame:
     pairs = stored(edges.select("repo_id", "src", "dst").where("src <> dst").distinct(), "pairs")
     large, many = materialize(pairs.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
                               .where(F.col("n") > cycles.LOCAL_EDGES).select("repo_id"), "large")
-    if not many:
-        return _local(pairs)
-    counted = _distributed(stored(pairs.join(large, "repo_id", "left_semi"), "pairs"), approx)
-    return _local(pairs.join(large, "repo_id", "left_anti")).unionByName(counted)
+    closed = _local(pairs.join(large, "repo_id", "left_anti") if many else pairs).withColumn("walk", F.col("dst").isNotNull())
+    closed, left = materialize(closed, "closed", F.count_if("walk"))
+    counts = closed.where("not walk").select("repo_id", "node", "dependents")
+    if not many and not left:
+        return counts
+    rest = closed.where("walk").select("repo_id", F.col("node").alias("src"), "dst")
+    if many:
+        rest = rest.unionByName(pairs.join(large, "repo_id", "left_semi"))
+    return counts.unionByName(_distributed(stored(rest, "pairs"), approx))
 
 
 def _distributed(pairs: DataFrame, approx: bool) -> DataFrame:

@@ -6,8 +6,8 @@ rounds, and the nodes in both are its component. What is left falls into parts t
 crosses (reached only, reaching only, neither), loses most of its edges to trimming, and is
 settled by colouring, where a round writes only the labels that moved.
 
-A repository that has at most ``LOCAL_EDGES`` left at any of these points is finished in a task of
-its own; the bound is on what trimming leaves, not on the repository.
+A repository that has at most ``LOCAL_EDGES`` at any of these points, the first included, is finished in a task of
+its own, in time and memory linear in its edges; only larger ones are trimmed and walked in rounds.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +24,8 @@ from ..plans.frontier import raise_values, sweep
 
 # Edge kinds that hold the tree together rather than express a dependency.
 STRUCTURAL_KINDS = ["contains", "owns"]
-#: Edges of a repository, after trimming, up to which one task settles it.
-LOCAL_EDGES = 50_000
+#: Edges of a repository, at the start or after trimming, up to which one task settles it.
+LOCAL_EDGES = 2_000_000
 _WAY = ["repo_id", "way"]
 
 
@@ -86,8 +86,31 @@ def _labels(live: DataFrame) -> DataFrame:
         F.max(F.when(F.col("way") == 2, F.col("value.node"))).alias("below"))
 
 
+def numbered(part: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The ends of a repository's edges as numbers of nodes, and the names of these."""
+    ends = pa.chunked_array([*part["src"].chunks, *part["dst"].chunks], part.schema.field("src").type).combine_chunks().dictionary_encode()
+    code = ends.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return code[:part.num_rows], code[part.num_rows:], ends.dictionary
+
+
 def components_of(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
-    """Number of the component of each of ``n`` nodes: one depth-first search with an explicit stack."""
+    """A node of the component of each of ``n`` nodes, the same for all of its members.
+
+    Nodes without an edge in or out go first, while that removes a good share.
+    """
+    found, before = np.arange(n), None
+    while before is None or len(src) < 0.9 * before:
+        before = len(src)
+        kept = (np.bincount(dst, minlength=n) > 0)[src] & (np.bincount(src, minlength=n) > 0)[dst]
+        src, dst = src[kept], dst[kept]
+    core, code = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    if len(core):
+        found[core] = core[_depth_first(code[:len(src)], code[len(src):], len(core))]
+    return found
+
+
+def _depth_first(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """``components_of`` by one depth-first search with an explicit stack."""
     order = np.argsort(src, kind="stable")
     to = dst[order].tolist()
     first = np.searchsorted(src[order], np.arange(n + 1)).tolist()
@@ -122,14 +145,13 @@ def components_of(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
 
 def _settled(live: DataFrame) -> DataFrame:
     """repo_id, root, node for repositories of a bounded number of edges, each in one task."""
-    def settle(part: pd.DataFrame) -> pd.DataFrame:
-        code, names = pd.factorize(pd.concat([part["src"], part["dst"]], ignore_index=True))
-        half = len(part)
-        found = components_of(code[:half], code[half:], len(names))
-        return pd.DataFrame({"repo_id": part["repo_id"].iloc[0], "root": names[found], "node": names})
+    def settle(key: tuple, part: pa.Table) -> pa.Table:
+        src, dst, names = numbered(part)
+        found = components_of(src, dst, len(names))
+        return pa.table({"repo_id": pa.repeat(key[0], len(names)), "root": names.take(pa.array(found)), "node": names})
 
     kind = dict(live.dtypes)
-    return live.groupBy("repo_id").applyInPandas(settle, f"repo_id {kind['repo_id']}, root {kind['src']}, node {kind['src']}")
+    return live.groupBy("repo_id").applyInArrow(settle, f"repo_id {kind['repo_id']}, root {kind['src']}, node {kind['src']}")
 
 
 def _coloured(live: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -151,18 +173,23 @@ def cycle_groups(edges: DataFrame) -> DataFrame:
 
     edges: repo_id, src, dst. A group is named by its smallest member.
     """
-    found, take = [], _giants
-    live, size = _trim(*materialize(edges.select("repo_id", "src", "dst").where("src <> dst").distinct(), "edges"))
+    found, take, trimmed = [], _giants, False
+    live, size = materialize(edges.select("repo_id", "src", "dst").where("src <> dst").distinct(), "edges")
     while size:
         large, many = materialize(live.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LOCAL_EDGES)
                                   .select("repo_id"), "large")
         found.append(stored(_settled(live.join(large, "repo_id", "left_anti") if many else live), "settled"))
         if not many:
             break
-        members, rest = take(live.join(large, "repo_id", "left_semi"))
+        rest = live.join(large, "repo_id", "left_semi")
+        if not trimmed:
+            live, size = _trim(*materialize(rest, "large-edges"))
+            trimmed = True
+            continue
+        members, rest = take(rest)
         found.append(members)
-        live, size = _trim(*materialize(rest, "rest"))
-        take = _coloured
+        live, size = materialize(rest, "rest")
+        take, trimmed = _coloured, False
     if not found:
         return edges.select("repo_id", F.col("src").alias("group"), F.col("dst").alias("node")).limit(0)
     members = reduce(DataFrame.unionByName, found)

@@ -241,6 +241,40 @@ def test_reach_in_a_task_of_columns(monkeypatch):
         assert got.tolist() == [sum(1 for o in down if v in down[o] and o != v) for v in range(n)]
 
 
+def test_small_parts_need_no_rounds(spark, monkeypatch):
+    """One repository of far more edges than a part may have: chains of four, rings of two, a null name of the repository."""
+    def refuse(*_):
+        raise AssertionError("walked in rounds")
+
+    monkeypatch.setattr(closure, "_distributed", refuse)
+    monkeypatch.setattr(cycles, "_giants", refuse)
+    chains = spark.range(30_000).selectExpr("'r' as repo_id", "id", "explode(array(0, 1, 2)) as k").selectExpr(
+        "repo_id", "concat('c', id, '_', k) as src", "concat('c', id, '_', k + 1) as dst")
+    rings = spark.range(40_000).selectExpr("if(id < 3, null, 'r') as repo_id", "id", "explode(array(0, 1)) as k").selectExpr(
+        "repo_id", "concat('o', id, '_', k) as src", "concat('o', id, '_', 1 - k) as dst")
+    got = closure.transitive_counts(chains.unionByName(rings))
+    assert rows(got.groupBy(got.node.startswith("c").alias("c"), "dependents").count()) == [
+        (False, 1, 80_000), (True, 1, 30_000), (True, 2, 30_000), (True, 3, 30_000)]
+    assert got.where("repo_id is null").count() == 6
+    found = cycles.cycle_groups(rings.where("repo_id is not null").unionByName(chains))
+    assert found.count() == 79_994 and found.where("group <> concat(split_part(node, '_', 1), '_0')").count() == 0
+
+
+def test_large_parts_are_handed_back(spark, monkeypatch):
+    """A part above the bound is walked by all tasks, the others beside it are closed where they are."""
+    rng = random.Random(5)
+    monkeypatch.setattr(closure, "PART_EDGES", 20)
+    es = [(q, f"a{rng.randrange(60)}", f"a{rng.randrange(60)}") for q in ("r", "s") for _ in range(70)]
+    es += [("r", "x", "y"), ("r", "y", "z"), ("r", "z", "y"), ("t", "x", "y")]
+    up = {}
+    for repo in ("r", "s", "t"):
+        down = reachable([("", s, d) for q, s, d in es if q == repo and s != d])
+        up |= {(repo, n): len({m for m in down if n in down[m] and m != n}) for n in down}
+    got = closure.transitive_counts(spark.createDataFrame(es, "repo_id string, src string, dst string")).collect()
+    assert {(r.repo_id, r.node): r.dependents for r in got} == {n: c for n, c in up.items() if c}
+    assert len(got) == sum(1 for c in up.values() if c)
+
+
 def test_sketched_reach_is_near(spark, monkeypatch):
     monkeypatch.setattr(cycles, "LOCAL_EDGES", 100)
     rng = random.Random(7)
