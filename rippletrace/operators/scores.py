@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import stored
+from ..plans.frontier import asked
 from ..schemas import HUB_THRESHOLD, LEVEL_EDGE_KINDS
 from .impact import Filters, admitted_ids, traversable
 
@@ -32,9 +34,10 @@ def specificity(nodes: DataFrame, edges: DataFrame, level: str,
     members = admitted_ids(nodes, level)
     population = members.groupBy("repo_id").agg(F.count(F.lit(1)).alias("population"))
     used_by = (traversable(edges, filters).select("repo_id", "src", "dst")
-               .join(members.withColumnRenamed("id", "src"), ["repo_id", "src"], "left_semi")
+               # rows lie by src here, so that equal ones meet without another shuffle
+               .join(members.withColumnRenamed("id", "src"), ["repo_id", "src"], "left_semi").distinct()
                .groupBy("repo_id", F.col("dst").alias("id"))
-               .agg(F.count_distinct("src").alias("dependents")))
+               .agg(F.count("src").alias("dependents")))
     return (members.join(used_by, ["repo_id", "id"], "left").join(population, "repo_id")
             .withColumn("dependents", F.coalesce("dependents", F.lit(0)))
             .select("repo_id", F.col("id").alias("node"), "dependents", "population",
@@ -44,12 +47,13 @@ def specificity(nodes: DataFrame, edges: DataFrame, level: str,
 
 def relevance(impact: DataFrame, edges: DataFrame, scores: DataFrame) -> DataFrame:
     """``impact`` with ``relevance``: the best path's least specific hop target."""
-    hops = (impact.where((F.col("distance") > 0) & ~F.col("changed"))
-            .select("repo_id", "node", F.posexplode("paths").alias("path_no", "path"))
-            .select("repo_id", "node", "path_no", F.explode("path").alias("id")))
-    ends = edges.select("repo_id", "id", F.col("dst"))
-    known = scores.select("repo_id", F.col("node").alias("dst"), "specificity")
-    best = (hops.join(ends, ["repo_id", "id"], "left").join(known, ["repo_id", "dst"], "left")
+    hops = stored(impact.where((F.col("distance") > 0) & ~F.col("changed"))
+                  .select("repo_id", "node", F.posexplode("paths").alias("path_no", "path"))
+                  .select("repo_id", "node", "path_no", F.explode("path").alias("id")), "hops")
+    ends = asked(edges.select("repo_id", "id", F.col("dst")), hops, ["repo_id", "id"])
+    met = stored(hops.join(ends, ["repo_id", "id"], "left"), "met")
+    known = asked(scores.select("repo_id", F.col("node").alias("dst"), "specificity"), met, ["repo_id", "dst"])
+    best = (met.join(known, ["repo_id", "dst"], "left")
             .groupBy("repo_id", "node", "path_no")
             .agg(F.min(F.coalesce("specificity", F.lit(1.0))).alias("weakest"))
             .groupBy("repo_id", "node").agg(F.max("weakest").alias("relevance")))

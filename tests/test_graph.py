@@ -6,9 +6,10 @@ from collections import deque
 import pytest
 from conftest import rows
 
+from rippletrace import fleet
 from rippletrace.operators import ancestry, closure, cycles, impact, integrity, scores, temporal
 from rippletrace.operators.impact import Filters
-from rippletrace.plans import sequence_number
+from rippletrace.plans import sequence_number, trace_back
 from rippletrace.schemas import EDGES, NODES
 from rippletrace.sources import events as reader
 
@@ -303,3 +304,46 @@ def test_deep_trees_and_parent_cycles(spark):
     got = {(r.node, r.ancestor, r.depth) for r in ancestry.ancestors(nodes).collect()}
     assert got == want
     assert rows(ancestry.parent_cycles(nodes), "node") == [("c1",), ("c2",), ("c3",), ("own",)]
+
+
+def test_a_search_reaches_only_listed_nodes(spark):
+    """c is not listed, so neither c nor what only c leads to is reached; repeats in the list change nothing."""
+    edges = spark.createDataFrame([("r", f"{s}{d}", s, d, False, 1) for s, d in ("ba", "cb", "dc", "eb", "fe")],
+                                  "repo_id string, id string, src string, dst string, stale boolean, valid_from long")
+    seeds = spark.createDataFrame([("r", "a")], "repo_id string, node string")
+    among = spark.createDataFrame([("r", n) for n in "bbdef"] + [("q", "c"), (None, "c")], "repo_id string, node string")
+    found = trace_back(edges, seeds, 8, among)
+    assert [(n, d, ",".join(p)) for n, d, p in rows(found, "node", "distance", "path")] == [
+        ("a", 0, ""), ("b", 1, "ba"), ("e", 2, "eb,ba"), ("f", 3, "fe,eb,ba")]
+    assert trace_back(edges, seeds, 8).count() == 6
+
+
+def test_the_fleet_joins_numbers_and_agrees_with_its_sql(spark, tmp_path):
+    """Lines repeated, without number, part, supplier or amounts, an order twice and one without a date."""
+    from datetime import datetime
+
+    import duckdb
+
+    lines = [(1, 1, 5, 1, 48.0, 0.09, 0.08), (1, 2, 6, 2, 50.0, 0.1, 0.08), (1, 2, 7, 2, 1.0, 0.0, 0.0), (1, 3, 6, 3, None, None, None),
+             (1, 1, 5, 2, 49.0, 0.09, 0.07), (2, 9, 5, None, 1.0, 0.0, 0.0), (2, 8, 6, 1, 1.0, 0.0, 0.07), (2, 8, None, 2, 1.0, 0.0, 0.0),
+             (3, 1, 5, 1, 1.0, 0.0, 0.0), (3, 2, 5, 2, 1.0, 0.0, 0.0), (None, 1, 5, 1, 1.0, 0.0, 0.0), (3, None, 6, 3, 1.0, 0.0, 0.0)]
+    order = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double"
+    tables = {
+        "lineitem": (lines, order),
+        "orders": ([(1, datetime(1995, 2, 1)), (1, datetime(1995, 9, 1)), (2, datetime(1995, 3, 1)), (3, None), (None, datetime(1995, 3, 1))],
+                   "o_orderkey long, o_orderdate timestamp"),
+        "supplier": ([(5, 1), (6, 2), (6, 1), (7, None)], "s_suppkey long, s_nationkey int"),
+        "nation": ([(1, 0), (2, 0)], "n_nationkey int, n_regionkey int"),
+        "part": ([(1, "a", "x", 10), (2, "b", "x", 1), (3, None, "y", 2), (3, "c", "y", None)], "p_partkey long, p_name string, p_brand string, p_size int")}
+    other = duckdb.connect()
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+        other.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    shown = {"edges": "repo_id, id, kind, src, dst, confidence, freshness, valid_from, valid_to, ord, line",
+             "owners": "repo_id, node, owner", "homes": "repo_id, part, supp", "nodes": "repo_id, id, kind, name, path, parent, language, freshness"}
+    for name, columns in shown.items():
+        got = fleet.query(spark, str(tmp_path), f"SELECT {columns} FROM {name}").collect()
+        want = other.execute(f"WITH {fleet.ctes()} SELECT {columns} FROM {name}").fetchall()
+        assert want and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)), name
+    written = {key[3]: df for key, df in fleet._derived.items() if key[1] == str(tmp_path)}
+    assert "a" in written["import_pairs"].columns and "l_tax" not in written["lines"].columns
