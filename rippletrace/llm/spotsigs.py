@@ -76,14 +76,18 @@ def likeness(a: Column, b: Column) -> Column:
     return _let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
 
 
+def _constants(values: list, kind: str) -> Column:
+    """An array of constants, spelled as one text: Spark folds it, and a plan holds it as one node however long it is."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def _ranges(ids: DataFrame) -> list[int]:
     """Boundaries that cut the ids into ranges of about ``RANGE_ROWS`` rows, at most ``MAX_RANGES``."""
     n = ids.count()
     parts = min(MAX_RANGES, n // RANGE_ROWS)
     if parts < 2:
         return []
-    marks = F.array(*[F.lit(k / parts) for k in range(1, parts)]) if parts <= 2000 else F.transform(
-        F.sequence(F.lit(1), F.lit(parts - 1)), lambda k: k / F.lit(float(parts)))
+    marks = _constants([k / parts for k in range(1, parts)], "double")
     found = ids.agg(F.percentile_approx("id", marks, F.lit(20 * parts))).first()[0]
     return sorted(set(found or []))
 
@@ -93,12 +97,13 @@ def _range_of(value: Column, bounds: list[int]) -> Column:
     if not bounds:
         return F.lit(0)
     width = math.isqrt(len(bounds)) + 1
-    groups = [bounds[k:k + width] for k in range(0, len(bounds), width)]
-    heads = F.array(*[F.lit(g[0]).cast("long") for g in groups])
-    nested = F.array(*[F.array(*[F.lit(x).cast("long") for x in g]) for g in groups])
-    top = F.size(F.filter(heads, lambda h: h <= value))
-    inner = F.size(F.filter(F.get(nested, top - 1), lambda h: h <= value))
-    return F.when(value.isNull() | (top == 0), 0).otherwise((top - 1) * width + inner)
+    heads, every = _constants(bounds[::width], "bigint"), _constants(bounds, "bigint")
+
+    def within(top: Column) -> Column:
+        group = F.slice(every, F.greatest((top - 1) * width + 1, F.lit(1)), F.lit(width))
+        return F.when(value.isNull() | (top == 0), 0).otherwise(
+            (top - 1) * width + F.size(F.filter(group, lambda h: h <= value)))
+    return _let(F.size(F.filter(heads, lambda h: h <= value)), within)
 
 
 def with_next(df: DataFrame, columns: list[str], id_col: str = "id") -> DataFrame:

@@ -29,6 +29,16 @@ def test_edited_texts_and_order(spark, monkeypatch):
     assert len({r.fingerprint for r in got.values()}) >= len({t for _, t in rows}) - 2
 
 
+def test_more_ranges_than_two_thousand(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "RANGE_ROWS", 1)
+    ids = [7 * k - 9_000 for k in range(2_300)]
+    df = spark.createDataFrame([(k, f"the cat {k}") for k in ids], "id long, body string")
+    placed = df.withColumn("at", spotsigs._range_of(F.col("id"), spotsigs._ranges(df.select("id"))))
+    assert placed.agg(F.count_distinct("at")).first()[0] > 2_000
+    got = {r.id: r.next_body for r in spotsigs.with_next(df, ["body"]).collect()}
+    assert got == {k: f"the cat {k - 7 if k > ids[0] else ids[-1]}" for k in ids}
+
+
 def test_chains_follow_common_words(spark):
     df = spark.createDataFrame([("The cat, of the old barn!",), ("the CAT of (the) old barn",), ("cat old barn",), ("of the",)], "t string")
     a, b, c, d = (r.s for r in df.select(spotsigs.signatures(F.col("t")).alias("s")).collect())
