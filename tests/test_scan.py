@@ -228,3 +228,31 @@ def test_statements_parted_by_comments_are_found(spark):
     assert sorted((r.rel, r.path) for r in scan.cpp_includes(files).collect()) == [("a.cpp", "a.h"), ("b.cpp", "b.h")]
     assert sorted((r.rel, r.spec) for r in scan.ts_import_specs(files).collect()) == [
         ("d.ts", "./d"), ("e.ts", "./e"), ("g.ts", "./g"), ("g.ts", "./h"), ("g.ts", "./i")]
+
+
+def test_names_of_libraries_are_dropped_before_rows_move(spark):
+    from pyspark.sql import functions as F
+
+    texts = {f"src/pkg{n}/m{n}.py": f"import os\nfrom lib{n}.sub import x\nfrom pkg{n - 1}.m{n - 1} import y\nimport top\n"
+             for n in range(1, 40)}
+    files = tree_of(spark, {**texts, "top.py": "", "src/pkg0/__init__.py": "", "src/pkg0/m0.py": ""})
+    roots = resolve.python_roots(tree.listing_of(files), spark.createDataFrame([], "repo_id string, rel string"))
+    modules = resolve._modules(files, roots)
+    crumbs = resolve._crumbs(modules)
+    assert crumbs.count() == 1
+    kept = modules.where(resolve._may_be(crumbs.scalar(), F.col("repo_id"), F.col("inner")))
+    assert kept.count() == modules.count()
+    asked = spark.createDataFrame([("r", m) for m in ("os", "lib3/sub", "lib3/sub/x", "pkg3/m3/y", "pkg3/m3", "top")], "repo_id string, m string")
+    asked = asked.join(files.select("repo_id").distinct().withColumnRenamed("repo_id", "own"))
+    left = asked.where(resolve._may_be(crumbs.scalar(), F.col("own"), F.col("m")))
+    assert {r.m for r in left.collect()} == {"pkg3/m3", "top"}
+    got = rows(resolve.resolve_python(scan.python_import_stmts(scan.parse_python(files)), roots, files), "src", "dst")
+    assert got == sorted(e for n in range(1, 40) for e in (
+        (f"src/pkg{n}/m{n}.py", f"src/pkg{n - 1}/m{n - 1}.py"), (f"src/pkg{n}/m{n}.py", "top.py")))
+
+
+def test_comments_between_runs_of_kept_text(spark):
+    text = 'a /* "x" */ b\n#include "u8R.h" // R"( no\nauto s = u8R"q(#include <no.h>)q"; x1\'000/2; R "y";\n#include <yes.h>\n'
+    got = rows(scan.cpp_includes(tree_of(spark, {"a.cpp": text, "b.cpp": text.replace("\n", "\r\n"), "c.cpp": text.replace("\n", "\r")})),
+               "rel", "path", "angled", "line")
+    assert got == [(f, p, a, n) for f in ("a.cpp", "b.cpp", "c.cpp") for p, a, n in (("u8R.h", False, 2), ("yes.h", True, 4))]
